@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, token_counts
+from . import extendible_sharding, quality_rules, token_counts, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,11 +21,29 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_rules.mine(url_rules.label_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.verdicts(pages, url_rules.LISTED, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: One MiB, a shard that a loader reads at once.
+SHARD_BYTES = 2**20
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op5_url_filters": op5_url_filters,
+    "op7_sharding": op7_sharding,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op5_url_filters": url_rules.ORACLE,
+    "op7_sharding": extendible_sharding.ORACLE.replace("__LIMIT__", str(SHARD_BYTES)),
 }

@@ -19,7 +19,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-_MOST_KEPT = 500_000
+_MOST_KEPT = 1_000_000
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: Letters of Latin scripts that have one-character lower forms, ASCII, and marks of common typography.
