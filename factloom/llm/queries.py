@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extendible_sharding, quality_rules, token_counts, url_rules
+from . import bin_slack_packing, edit_decontamination, extendible_sharding, quality_rules, quality_trees, token_counts, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,11 +35,30 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
 
 
+def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bin_slack_packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_trees.train(docs, table(spark, sf_dir, "labels"))
+    return quality_trees.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op5_url_filters": op5_url_filters,
     "op7_sharding": op7_sharding,
+    "op8_bin_slack_packing": op8_bin_slack_packing,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
