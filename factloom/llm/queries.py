@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_slack_packing, edit_decontamination, extendible_sharding, quality_rules, quality_trees, token_counts, url_rules
+from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, quality_rules, quality_trees, token_counts, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.verdicts(pages, url_rules.LISTED, mined).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrappers.extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
 #: One MiB, a shard that a loader reads at once.
 SHARD_BYTES = 2**20
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op5_url_filters": op5_url_filters,
+    "op6_html_extraction": op6_html_extraction,
     "op7_sharding": op7_sharding,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_quality_classifier": op9_quality_classifier,
