@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, quality_rules, quality_trees, token_counts, url_rules
+from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, token_counts, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     mined = url_rules.mine(url_rules.label_pages(pages, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_url_filters": op5_url_filters,
     "op6_html_extraction": op6_html_extraction,
     "op7_sharding": op7_sharding,
@@ -69,6 +74,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_url_filters": url_rules.ORACLE,
     "op7_sharding": extendible_sharding.ORACLE.replace("__LIMIT__", str(SHARD_BYTES)),
 }
