@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, token_counts, url_rules
+from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, quote_linking, token_counts, url_rules
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # No parent is -1 here, so that the columns stay whole numbers in every reader.
+    return quote_linking.link(table(spark, sf_dir, "conversations")).fillna(-1, ["parent_conv", "parent_turn"])
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     mined = url_rules.mine(url_rules.label_pages(pages, table(spark, sf_dir, "labels")))
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quote_linking": op4_quote_linking,
     "op5_url_filters": op5_url_filters,
     "op6_html_extraction": op6_html_extraction,
     "op7_sharding": op7_sharding,
@@ -75,6 +81,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
+    "op4_quote_linking": quote_linking.ORACLE,
     "op5_url_filters": url_rules.ORACLE,
     "op7_sharding": extendible_sharding.ORACLE.replace("__LIMIT__", str(SHARD_BYTES)),
 }
