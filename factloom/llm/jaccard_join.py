@@ -16,8 +16,7 @@ one-deletion neighbourhoods of its segments, and in the extreme a prefix of its
 *Verification.* Equal sets are one (fingerprints of sets). Under each key the members are
 verified against a leader, the one that shares most. Members that are not both linked to
 the leader can still be linked to each other; few are compared directly, many through an
-index of rare shingles: those of the set itself or those in which it differs from the
-leader, whichever costs less. All bounds are exact, so no link between different sets
+index of shingles that the leader lacks or in which they differ from it. All bounds are exact, so no link between different sets
 is lost, except that links inside a group that is linked through its leader anyway are
 not listed. Sets are sets of 64-bit hashes of shingles.
 
@@ -264,52 +263,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_sets(pairs, sets).select("a", "b", "_sa", "_sb").mapInArrow(check, "a long, b long, linked boolean, apart long, size_a long, size_b long")
 
 
-def _tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, kind, token): shingles of b that its leader a lacks (1), shares (0) or has alone (-1)."""
+def _clues(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, way, token, b, probes, indexed): what members b of a leader a look up and can be found by.
+
+    Let y be a member that is not linked to the leader and x any other member. A member whose
+    prefix (in an order that puts shingles the leader lacks first) holds only such shingles
+    looks up those (way 1), and y is found by those in its own prefix. Any other member x is
+    close to the leader: if y is linked to x, the two agree in more than ``agree`` of the
+    shingles in which x differs from the leader, so x looks up all but so many of these
+    (way 2, added; way 3, missing), and y is found by every one of its own if it shares enough
+    with the leader to be linked to a close member at all.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2)), _lists(batch.column(3)), strict=True)
-            for a, b, s, t in rows:
-                parts = [(1, np.setdiff1d(t, s, assume_unique=True)), (0, np.intersect1d(s, t, assume_unique=True)), (-1, np.setdiff1d(s, t, assume_unique=True))]
-                token = np.concatenate([p for _, p in parts]).view(np.int64)
-                kind = np.concatenate([np.full(len(p), k, np.int32) for k, p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), a)), pa.array(np.full(len(token), b)), pa.array(kind), pa.array(token)], ["a", "b", "kind", "token"])
-
-    return _with_sets(members.select("a", "b"), sets).select("a", "b", "_sa", "_sb").mapInArrow(make, "a long, b long, kind int, token long")
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4)), strict=True)
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+
+            def add(a: int, way: int, token: np.ndarray, b: int, probes: np.ndarray | bool, indexed: bool, out=out) -> None:
+                n = len(token)
+                values = (np.full(n, a), np.full(n, way, np.int32), token.view(np.int64), np.full(n, b), np.full(n, probes) if isinstance(probes, bool) else probes, np.full(n, indexed))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+
+            for a, b, linked, s, t in rows:
+                added, size = np.setdiff1d(t, s, assume_unique=True), len(t)
+                prefix = size - (4 * size + 4) // 5 + 1
+                common = size - len(added)
+                far = len(added) >= prefix
+                if far or not linked:
+                    add(a, 1, added[:prefix], b, far, not linked)
+                close = not linked and 25 * common >= 12 * size - 25
+                if not far or close:
+                    missing = np.setdiff1d(s, t, assume_unique=True)
+                    apart = len(added) + len(missing)
+                    sought = 0 if far else apart - ((9 * apart + len(s) - size) // 18 + 1) + 1
+                    for way, own, start in ((2, added, 0), (3, missing, len(added))):
+                        probes = np.arange(start, start + len(own)) < sought
+                        chosen = slice(None) if close else probes
+                        add(a, way, own[chosen], b, probes[chosen], close)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "way", "token", "b", "probes", "indexed"])
+
+    chosen = _with_sets(members.select("a", "b", "linked"), sets).select("a", "b", "linked", "_sa", "_sb")
+    return chosen.mapInArrow(make, "a long, way int, token long, b long, probes boolean, indexed boolean")
 
 
 def _other_pairs(led: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of members of one leader that may be linked though not both are linked to it."""
     groups = led.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("off"))
     open_groups = groups.where((F.col("off") > 0) & (F.col("n") > 1))
-    members = led.join(open_groups, "a")
-    few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    members = materialise(led.join(open_groups, "a").select("a", "b", "linked", "n"), "open-members")
+    few = members.where(F.col("n") <= FEW)
     x, y = few.select("a", F.col("b").alias("x")), few.where(~F.col("linked")).select("a", F.col("b").alias("y"))
     direct = x.join(y, "a").where(F.col("x") != F.col("y")).select("x", "y")
-
-    tokens = materialise(_tokens(many, sets), "leader-tokens")
-    off = many.where(~F.col("linked")).select("a", "b")
-    index = tokens.join(off, ["a", "b"])
-    frequency = index.groupBy("a", "token", "kind").agg(F.count(F.lit(1)).alias("f"))
-    rated = tokens.join(frequency, ["a", "token", "kind"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    # How many of its rarest shingles a member must look up, in either way.
-    agree = F.floor((F.col("apart") * 9 + F.col("size_a") - F.col("size_b")) / 18) + 1
-    need = many.select("a", "b", F.when(agree > 0, F.col("apart") - agree + 1).alias("by_change"), F.expr("size_b - (4 * size_b + 4) div 5 + 1").alias("by_set"))
-
-    def probes(kinds: tuple[int, int], count: str, way: int) -> DataFrame:
-        order = Window.partitionBy("a", "b").orderBy("f", "kind", "token")
-        own = rated.where(F.col("kind").isin(*kinds)).select("*", F.row_number().over(order).alias("_r"))
-        return own.join(need.where(F.col(count).isNotNull()).select("a", "b", count), ["a", "b"]).where(F.col("_r") <= F.col(count)).select("a", "b", "token", "kind", "f", F.lit(way).alias("way"))
-
-    both = probes((1, -1), "by_change", 1).unionByName(probes((1, 0), "by_set", 2))
-    both = materialise(both, "leader-probes")
-    cost = both.groupBy("a", "b", "way").agg(F.sum("f").alias("cost"))
-    # A member that differs in nothing it would have to look up has no other partner.
-    offered = need.select("a", "b", F.explode(F.when(F.col("by_change").isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("way"))
-    cheapest = offered.join(cost, ["a", "b", "way"], "left").groupBy("a", "b").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "way")).alias("_c")).select("a", "b", F.col("_c.way").alias("way"))
-    chosen = both.where(F.col("f") > 0).join(cheapest, ["a", "b", "way"]).select("a", "token", "kind", F.col("b").alias("x"))
-    found = chosen.join(index.select("a", "token", "kind", F.col("b").alias("y")), ["a", "token", "kind"]).where(F.col("x") != F.col("y")).select("x", "y")
+    clues = materialise(_clues(members.where(F.col("n") > FEW), sets), "clues")
+    probes = clues.where("probes").select("a", "way", "token", F.col("b").alias("x"))
+    index = clues.where("indexed").select("a", "way", "token", F.col("b").alias("y"))
+    found = probes.join(index, ["a", "way", "token"]).where(F.col("x") != F.col("y")).select("x", "y")
     return direct.union(found).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
