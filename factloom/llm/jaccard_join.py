@@ -44,7 +44,7 @@ from .common import materialise
 from .components import components
 
 WORDS = 5
-RESERVE = 3
+RESERVE = 24
 #: Members under a leader up to which they are compared directly.
 FEW = 8
 #: Rows of ids (16 bytes each) that may be broadcast; more are joined by shuffle.
@@ -264,7 +264,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _clues(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, way, token, b, probes, indexed): what members b of a leader a look up and can be found by.
+    """(a, way, token, b, top, probes, indexed): what members b of a leader a look up and can be found by.
 
     Let y be a member that is not linked to the leader and x any other member. A member whose
     prefix (in an order that puts shingles the leader lacks first) holds only such shingles
@@ -277,22 +277,22 @@ def _clues(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4)), strict=True)
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), _lists(batch.column(4)), _lists(batch.column(5)), strict=True)
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
 
-            def add(a: int, way: int, token: np.ndarray, b: int, probes: np.ndarray | bool, indexed: bool, out=out) -> None:
+            def add(way: int, token: np.ndarray, ids: tuple[int, int, int], probes: np.ndarray | bool, indexed: bool, out=out) -> None:
                 n = len(token)
-                values = (np.full(n, a), np.full(n, way, np.int32), token.view(np.int64), np.full(n, b), np.full(n, probes) if isinstance(probes, bool) else probes, np.full(n, indexed))
+                values = (np.full(n, ids[0]), np.full(n, way, np.int32), token.view(np.int64), np.full(n, ids[1]), np.full(n, ids[2]), np.full(n, probes) if isinstance(probes, bool) else probes, np.full(n, indexed))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
 
-            for a, b, linked, s, t in rows:
+            for a, b, top, linked, s, t in rows:
                 added, size = np.setdiff1d(t, s, assume_unique=True), len(t)
                 prefix = size - (4 * size + 4) // 5 + 1
                 common = size - len(added)
                 far = len(added) >= prefix
                 if far or not linked:
-                    add(a, 1, added[:prefix], b, far, not linked)
+                    add(1, added[:prefix], (a, b, top), far, not linked)
                 close = not linked and 25 * common >= 12 * size - 25
                 if not far or close:
                     missing = np.setdiff1d(s, t, assume_unique=True)
@@ -301,26 +301,29 @@ def _clues(members: DataFrame, sets: DataFrame) -> DataFrame:
                     for way, own, start in ((2, added, 0), (3, missing, len(added))):
                         probes = np.arange(start, start + len(own)) < sought
                         chosen = slice(None) if close else probes
-                        add(a, way, own[chosen], b, probes[chosen], close)
+                        add(way, own[chosen], (a, b, top), probes[chosen], close)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "way", "token", "b", "probes", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "way", "token", "b", "top", "probes", "indexed"])
 
-    chosen = _with_sets(members.select("a", "b", "linked"), sets).select("a", "b", "linked", "_sa", "_sb")
-    return chosen.mapInArrow(make, "a long, way int, token long, b long, probes boolean, indexed boolean")
+    chosen = _with_sets(members.select("a", "b", "top", "linked"), sets).select("a", "b", "top", "linked", "_sa", "_sb")
+    return chosen.mapInArrow(make, "a long, way int, token long, b long, top long, probes boolean, indexed boolean")
 
 
 def _other_pairs(led: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of members of one leader that may be linked though not both are linked to it."""
-    groups = led.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("off"))
-    open_groups = groups.where((F.col("off") > 0) & (F.col("n") > 1))
-    members = materialise(led.join(open_groups, "a").select("a", "b", "linked", "n"), "open-members")
+    groups = led.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("off"), F.min("top").alias("_t"), F.max("top").alias("_u"))
+    # Members with the same top leader are compared under that one alone.
+    elsewhere = (F.col("_t") == F.col("_u")) & (F.col("_t") != F.col("a"))
+    open_groups = groups.where((F.col("off") > 0) & (F.col("n") > 1) & ~elsewhere).select("a", "n")
+    members = materialise(led.join(open_groups, "a").select("a", "b", "linked", "top", "n"), "open-members")
     few = members.where(F.col("n") <= FEW)
-    x, y = few.select("a", F.col("b").alias("x")), few.where(~F.col("linked")).select("a", F.col("b").alias("y"))
-    direct = x.join(y, "a").where(F.col("x") != F.col("y")).select("x", "y")
+    here = (F.col("x") != F.col("y")) & ((F.col("tx") != F.col("ty")) | (F.col("tx") == F.col("a")))
+    x, y = few.select("a", F.col("b").alias("x"), F.col("top").alias("tx")), few.where(~F.col("linked")).select("a", F.col("b").alias("y"), F.col("top").alias("ty"))
+    direct = x.join(y, "a").where(here).select("x", "y")
     clues = materialise(_clues(members.where(F.col("n") > FEW), sets), "clues")
-    probes = clues.where("probes").select("a", "way", "token", F.col("b").alias("x"))
-    index = clues.where("indexed").select("a", "way", "token", F.col("b").alias("y"))
-    found = probes.join(index, ["a", "way", "token"]).where(F.col("x") != F.col("y")).select("x", "y")
+    probes = clues.where("probes").select("a", "way", "token", F.col("b").alias("x"), F.col("top").alias("tx"))
+    index = clues.where("indexed").select("a", "way", "token", F.col("b").alias("y"), F.col("top").alias("ty"))
+    found = probes.join(index, ["a", "way", "token"]).where(here).select("x", "y")
     return direct.union(found).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -330,14 +333,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     rows = materialise(sorted_rows.mapInArrow(_shared_only, "key long, fp long, note int"), "signatures")
     members = rows.where(F.col("note") < 0).select("key", "fp", (-1 - F.col("note")).cast("long").alias("size"))
     kept = materialise(_allocated(rows.where(F.col("note") >= 0)), "allocated")
-    leaders = kept.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("_l"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", F.col("_l.fp").alias("a"))
-    led = kept.join(leaders, "key").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
+    leaders = kept.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("_l"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "_l")
+    led = kept.join(leaders, "key").where(F.col("fp") != F.col("_l.fp")).select(F.col("_l.fp").alias("a"), F.col("_l.degree").alias("degree"), F.col("fp").alias("b")).distinct()
     led = materialise(led, "leader-pairs")
+    tops = led.groupBy("b").agg(F.max_by("a", F.struct("degree", "a")).alias("top"))
     used = led.select(F.col("a").alias("fp")).union(led.select("b")).distinct()
     wanted = members.join(used, "fp").groupBy("fp").agg(F.min("key").alias("key"))
     sets = materialise(_sets(docs, key, text, materialise(wanted, "representatives")), "sets")
-    first = materialise(_verified(led, sets), "leader-links")
-    others = materialise(_other_pairs(first, sets).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "other-pairs")
+    first = materialise(_verified(led.select("a", "b"), sets), "leader-links")
+    others = materialise(_other_pairs(first.join(tops, "b"), sets).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "other-pairs")
     second = _verified(others, sets)
     links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
     return members, materialise(links, "set-links")
