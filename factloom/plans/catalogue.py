@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import retrieval, versions
+
+_MODULES = (retrieval, versions)
+
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Fused retrieval: the twenty best turns of each query."""
+    return retrieval.noisy_or_fusion(spark, sf_dir)
