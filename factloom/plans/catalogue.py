@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reading, retrieval, versions
+from . import reading, retrieval, versions, writing
 
-_MODULES = (retrieval, versions, reading)
+_MODULES = (retrieval, versions, reading, writing)
 
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
