@@ -93,7 +93,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _sorted_windows(F.col("_h"))).alias("_s"),
     )
     four = three.select(*keep, *(c for c in MEASURES if c in three.columns), _repeat_starts(F.col("_s")).alias("_p"))
-    return four.select(*keep, *(_covered(F.col("_p")).alias(c) if c == "n_repeat_words" else F.col(c) for c in MEASURES))
+    # The row's number (never below 0) keeps the optimiser from moving a condition on the
+    # measures below these projections, where it would copy each helper wherever it is used.
+    fixed = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
+    return four.select(*keep, *((_covered(F.col("_p")) + fixed).alias(c) if c == "n_repeat_words" else F.col(c) for c in MEASURES))
 
 
 #: In the order in which they appear in the result.
@@ -150,10 +153,7 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RUL
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that pass every rule, with the columns of docs."""
-    judged = judge(docs, text).withColumn("_row", F.monotonically_increasing_id())
-    # A condition on the row's number keeps the optimiser from moving the verdict below the
-    # projections, where it would copy each measure into every place that refers to it.
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(docs.columns)
+    return judge(docs, text).filter("kept").select(docs.columns)
 
 
 #: The same verdicts in DuckDB's SQL.

@@ -103,11 +103,12 @@ def grow(x: np.ndarray, y: np.ndarray, how: Settings = Settings()) -> Forest:
     share = float(y.mean()) if len(y) else 0.5
     start = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     nodes = 2 ** (how.depth + 1) - 1
-    trees = how.trees if 0 < share < 1 else 1
+    both = len(y) > 0 and 0 < share < 1
+    trees = how.trees if both else 1
     feature, limit = np.zeros((trees, nodes), np.int32), np.full((trees, nodes), np.inf)
     left = np.tile(np.arange(nodes, dtype=np.int32), (trees, 1))
     right, value = left.copy(), np.zeros((trees, nodes))
-    if 0 < share < 1:
+    if both:
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, how.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
         raw = np.full(len(y), start)
