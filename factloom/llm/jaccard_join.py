@@ -338,7 +338,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     led = materialise(led, "leader-pairs")
     tops = led.groupBy("b").agg(F.max_by("a", F.struct("degree", "a")).alias("top"))
     used = led.select(F.col("a").alias("fp")).union(led.select("b")).distinct()
-    wanted = members.join(used, "fp").groupBy("fp").agg(F.min("key").alias("key"))
+    # One row a set before the join: a set of very many copies is no hot key there.
+    wanted = members.groupBy("fp").agg(F.min("key").alias("key")).join(used, "fp").select("fp", "key")
     sets = materialise(_sets(docs, key, text, materialise(wanted, "representatives")), "sets")
     first = materialise(_verified(led.select("a", "b"), sets), "leader-links")
     others = materialise(_other_pairs(first.join(tops, "b"), sets).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "other-pairs")
