@@ -48,11 +48,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1, key: str
                     rows.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("int64")] if with_ids else [])))
             yield pd.DataFrame(rows, columns=names)
 
-    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.IntegerType()) for n in ("piece",)), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
+    # Keys travel as text: pandas would turn whole numbers with nulls among them into floats.
+    schema = T.StructType([T.StructField(key, T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("piece",)), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.LongType()))
     names = schema.fieldNames()
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInPandas(cut, schema)
+    done = docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("_text")).mapInPandas(cut, schema)
+    return done.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -117,6 +119,7 @@ def ranked(cut: DataFrame, key: str) -> tuple[DataFrame, dict[int, int]]:
 def pack(cut: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """cut (rows with key, piece, start, length) with sequence_id and offset."""
     rows, histogram = ranked(cut, key)
+    rows = rows.withColumn(key, F.col(key).cast("string"))
     shared = cut.sparkSession.sparkContext.broadcast(plan(histogram, capacity))  # as long as the histogram, about
     schema = T.StructType([*(f for f in rows.schema if f.name != "_rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -131,7 +134,7 @@ def pack(cut: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
             batch["offset"] = offset[at] + inner % each[at] * n
             yield batch.drop(columns="_rank")[schema.fieldNames()]
 
-    return rows.mapInPandas(place, schema)
+    return rows.mapInPandas(place, schema).withColumn(key, F.col(key).cast(cut.schema[key].dataType))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

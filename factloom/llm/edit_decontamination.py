@@ -164,8 +164,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least:
 
     end is where that place ends in the document's normalised text.
     """
-    schema = T.StructType([docs.schema[key], benchmark.schema["item_id"], T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
-    named = docs.select(F.col(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    # Keys travel as text: pandas would turn whole numbers with nulls among them into floats.
+    schema = T.StructType([T.StructField(key, T.StringType()), benchmark.schema["item_id"], T.StructField("distance", T.IntegerType()), T.StructField("end", T.LongType())])
+    named = docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
 
     def searched(shared: SharedMatcher) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least:
         return named.mapInPandas(search, schema)
 
     found = [searched(SharedMatcher(docs.sparkSession, items, percent)) for items in item_blocks(benchmark, least)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    every = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    return every.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least: int = 40, text: str = "text") -> DataFrame:

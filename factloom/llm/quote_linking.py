@@ -90,8 +90,10 @@ def _parse(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
                 rows.append((said, len(quotes), list(units(said)), [{"hash": h, "size": n} for h, n in quoted.items()]))
             yield pd.concat([b[["conv", "turn", "role"]].reset_index(drop=True), pd.DataFrame(rows, columns=["said", "n_quotes", "wrote", "quoted"])], axis=1)
 
-    given = messages.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col(text).alias("_text"))
-    return given.mapInPandas(parse, "conv long, turn long, role string, said string, n_quotes int, wrote array<string>, quoted array<struct<hash: string, size: long>>")
+    # Numbers travel as text: pandas would turn whole numbers with nulls among them into floats.
+    given = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).cast("string").alias("turn"), F.col("role").cast("string").alias("role"), F.col(text).alias("_text"))
+    done = given.mapInPandas(parse, "conv string, turn string, role string, said string, n_quotes int, wrote array<string>, quoted array<struct<hash: string, size: long>>")
+    return done.withColumns({"conv": F.col("conv").cast("long"), "turn": F.col("turn").cast("long")})
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:

@@ -277,7 +277,7 @@ def test_shards_are_written_whole(spark, tmp_path):
 
 def test_packing_is_exact_and_tight(spark):
     rng = random.Random(8)
-    given = [(k, " ".join(rng.choice(["the", "zqxj", "of", "and"]) for _ in range(rng.choice([0, 1, 5, 30, 100])))) for k in range(150)] + [(3, "twice"), (3, "twice"), (900, None)]
+    given = [(k, " ".join(rng.choice(["the", "zqxj", "of", "and"]) for _ in range(rng.choice([0, 1, 5, 30, 100])))) for k in range(150)] + [(3, "twice"), (3, "twice"), (900, None), (2**60 + 1, "large id")]
     lib, capacity = library(), 64
     found = bin_slack_packing.pack_documents(docs(spark, given), PATH, capacity, with_ids=True)
     rows_ = found.collect()
@@ -298,6 +298,18 @@ def test_packing_is_exact_and_tight(spark):
     assert bin_slack_packing.pack_documents(docs(spark, []), PATH).count() == 0
 
 
+def test_null_keys_stay_and_large_ones_stay_whole(spark):
+    given = docs(spark, [(None, "the cat"), (2**60 + 1, "the dog"), (2**60 + 1, None)])
+    packed = bin_slack_packing.pack_documents(given, PATH).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packed) == [(0, 3), (2**60 + 1, 1), (2**60 + 1, 3)]
+    item = "one two three four five six seven eight nine ten"
+    held = docs(spark, [(None, item), (2**60 + 1, item), (1, "x")])
+    found = edit_decontamination.contaminated(held, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0) for r in found) == [0, 2**60 + 1]
+    talk = spark.createDataFrame([(None, 0, "user", "a"), (2**60 + 1, None, "user", "b"), (2**60 + 1, 1, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert {(r["conv_id"], r["turn"], r["text"]) for r in quote_linking.link(talk).collect()} == {(None, 0, "a"), (2**60 + 1, None, "b"), (2**60 + 1, 1, "c")}
+
+
 def test_fullest_finds_the_best_sum():
     rng = random.Random(1)
     for _ in range(200):
