@@ -243,6 +243,30 @@ def test_wrapper_learns_repeats_options_slots_and_template_texts():
     assert html_wrappers.extract(pages[1], found) == "T1 text 1 0 text 1 1 q"
 
 
+def neutral(article, k, tail="All rights are with the owners of this site."):
+    return f'<html><body><div class="x"><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></div><div class="y">{article}</div><div class="z"><p>{tail}</p><p>Page {k}</p></div></body></html>'
+
+
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_wrappers.extract_pages(frame).collect()}
+
+
+def words_of(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_constants_go_where_no_name_says_what_the_article_is(spark):
+    # Copies of one page count once, and there are more of them than a sample would hold.
+    texts = [words_of(k) for k in range(8)]
+    pages = [("http://n.io/0", neutral(f"<p>{texts[0]}</p>", 0))] * 40 + [(f"http://n.io/{k}", neutral(f"<p>{t}</p>", k)) for k, t in enumerate(texts)]
+    found = extracted(spark, pages)
+    assert [found[40 + k] for k in range(8)] == [f"{t} Page {k}" for k, t in enumerate(texts)] and found[0] == found[40]
+    plain = html_wrappers.infer([h for _, h in pages])
+    assert [html_wrappers.extract(h, plain) for _, h in pages] == list(found.values())
+
+
 # ---- 7
 
 
