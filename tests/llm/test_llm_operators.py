@@ -267,6 +267,16 @@ def test_constants_go_where_no_name_says_what_the_article_is(spark):
     assert [html_wrappers.extract(h, plain) for _, h in pages] == list(found.values())
 
 
+def test_what_near_copies_or_some_pages_share_stays(spark):
+    same = "".join(f"<p>{words_of(k)}</p>" for k in range(5))
+    copies = [("http://c.io/", page("Title", same + f"<p>Edition {k}</p>")) for k in range(6)]
+    licence = words_of(99)
+    some = [("http://l.io/", page(f"T{k}", f"<p>{words_of(200 + k)}</p>" + (f"<p>{licence}</p>" if k < 20 else ""))) for k in range(40)]
+    found = extracted(spark, copies + some)
+    assert all(found[k] == " ".join(["Title", *(words_of(j) for j in range(5)), f"Edition {k}"]) for k in range(6))
+    assert all((licence in found[6 + k]) == (k < 20) for k in range(40))
+
+
 # ---- 7
 
 
