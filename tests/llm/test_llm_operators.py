@@ -277,6 +277,13 @@ def test_what_near_copies_or_some_pages_share_stays(spark):
     assert all((licence in found[6 + k]) == (k < 20) for k in range(40))
 
 
+def test_pages_of_another_template_have_their_own_article(spark):
+    one = [("http://t.io/", f'<div class="content"><p>{words_of(k)}</p></div>') for k in range(20)]
+    two = [("http://t.io/", f'<div class="content"><p>Box {k}</p></div><div class="story"><p>{words_of(50 + k)}</p></div>') for k in range(3)]
+    found = extracted(spark, one + two)
+    assert [found[k] for k in range(23)] == [words_of(k) for k in range(20)] + [words_of(50 + k) for k in range(3)]
+
+
 # ---- 7
 
 
