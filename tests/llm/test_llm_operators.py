@@ -284,6 +284,11 @@ def test_pages_of_another_template_have_their_own_article(spark):
     assert [found[k] for k in range(23)] == [words_of(k) for k in range(20)] + [words_of(50 + k) for k in range(3)]
 
 
+def test_all_parts_of_an_article_are_taken():
+    body = '<div class="entry-content"><p>First part.</p></div><div class="ad">Buy</div><div class="entry-content"><p>The second, longer part.</p></div>'
+    assert html_wrappers.extract(f"<html><body>{body}</body></html>", None) == "First part. The second, longer part."
+
+
 # ---- 7
 
 
