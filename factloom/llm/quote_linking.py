@@ -3,13 +3,14 @@
 Lines that begin with ``>`` are quoted, as deep as they have such marks. Quoted passages
 and their lines are normalised and hashed, and so are the texts, paragraphs and lines that
 messages write themselves. A message answers the earlier message that wrote most of what it
-quotes at its shallowest level: within its own conversation if any did, else the earliest
-writer anywhere. Without such a quotation it answers the turn before it. Conversations that
+quotes at the shallowest level that any earlier message wrote: one of its own conversation
+or, for what is quoted from elsewhere, the earliest writer anywhere (on a tie its own
+conversation's). Without such a quotation it answers the turn before it. Conversations that
 quotations tie together become one thread, in an order in which every reply follows what it
 answers, and quotations are left out of the texts.
 
-Links within a conversation are found by an equi-join on conversation and hash. Across
-conversations only the earliest writer of each hash is looked up, which is aggregated
+Links within a conversation are found by an equi-join on conversation and hash; all levels
+are looked up, here and there. Across conversations only the earliest writer of each hash is looked up, which is aggregated
 before it is shuffled: a passage in very many messages makes no pairs.
 
 Defined results for edge cases: a null or empty text writes and quotes nothing and stays as
@@ -73,7 +74,7 @@ def units(passage: str) -> dict[str, int]:
 
 
 def _parse(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """(conv, turn, said, n_quotes, wrote array, quoted array of (hash, size)) of each distinct message."""
+    """(conv, turn, said, n_quotes, wrote array, quoted array of (depth, hash, size)) of each distinct message."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,17 +83,13 @@ def _parse(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
                 parts = levels(t)
                 quotes = [(d, p) for d, p in parts if d > 0 and p.strip()]
                 said = own_text(parts)
-                first = min((d for d, _ in quotes), default=0)
-                quoted: dict[str, int] = {}
-                for d, p in quotes:
-                    if d == first:
-                        quoted |= units(p)
-                rows.append((said, len(quotes), list(units(said)), [{"hash": h, "size": n} for h, n in quoted.items()]))
+                quoted = {(d, h): n for d, p in quotes for h, n in units(p).items()}
+                rows.append((said, len(quotes), list(units(said)), [{"depth": d, "hash": h, "size": n} for (d, h), n in quoted.items()]))
             yield pd.concat([b[["conv", "turn", "role"]].reset_index(drop=True), pd.DataFrame(rows, columns=["said", "n_quotes", "wrote", "quoted"])], axis=1)
 
     # Numbers travel as text: pandas would turn whole numbers with nulls among them into floats.
     given = messages.select(F.col(conv).cast("string").alias("conv"), F.col(turn).cast("string").alias("turn"), F.col("role").cast("string").alias("role"), F.col(text).alias("_text"))
-    done = given.mapInPandas(parse, "conv string, turn string, role string, said string, n_quotes int, wrote array<string>, quoted array<struct<hash: string, size: long>>")
+    done = given.mapInPandas(parse, "conv string, turn string, role string, said string, n_quotes int, wrote array<string>, quoted array<struct<depth: int, hash: string, size: long>>")
     return done.withColumns({"conv": F.col("conv").cast("long"), "turn": F.col("turn").cast("long")})
 
 
@@ -103,15 +100,15 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     """
     parsed = materialise(_parse(messages, conv, turn, text), "messages")
     wrote = parsed.select("conv", "turn", F.explode("wrote").alias("hash"))
-    quoted = parsed.where(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("_q")).select("conv", "turn", "_q.hash", "_q.size").distinct()
+    quoted = parsed.where(F.size("quoted") > 0).select("conv", "turn", F.explode("quoted").alias("_q")).select("conv", "turn", "_q.depth", "_q.hash", "_q.size").distinct()
     near = quoted.join(wrote.select("conv", F.col("turn").alias("p_turn"), "hash").distinct(), ["conv", "hash"]).where(F.col("p_turn") < F.col("turn"))
-    near = near.groupBy("conv", "turn", F.col("conv").alias("p_conv"), "p_turn").agg(F.sum("size").alias("size"))
-    far = quoted.join(near.select("conv", "turn").distinct(), ["conv", "turn"], "left_anti")
-    # Only hashes that are still sought are looked up, each at its earliest writer.
-    earliest = wrote.join(far.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("_e"))
-    far = far.join(earliest, "hash").where(F.struct(F.col("_e.conv"), F.col("_e.turn")) < F.struct("conv", "turn"))
-    far = far.groupBy("conv", "turn", F.col("_e.conv").alias("p_conv"), F.col("_e.turn").alias("p_turn")).agg(F.sum("size").alias("size"))
-    best = near.unionByName(far).groupBy("conv", "turn").agg(F.max(F.struct("size", "p_conv", "p_turn")).alias("_b"))
+    near = near.groupBy("conv", "turn", "depth", F.col("conv").alias("p_conv"), "p_turn").agg(F.sum("size").alias("size"))
+    # Only hashes that are quoted are looked up, each at its earliest writer.
+    earliest = wrote.join(quoted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("_e"))
+    far = quoted.join(earliest, "hash").where((F.struct(F.col("_e.conv"), F.col("_e.turn")) < F.struct("conv", "turn")) & ~F.col("_e.conv").eqNullSafe(F.col("conv")))
+    far = far.groupBy("conv", "turn", "depth", F.col("_e.conv").alias("p_conv"), F.col("_e.turn").alias("p_turn")).agg(F.sum("size").alias("size"))
+    either = near.withColumn("home", F.lit(True)).unionByName(far.withColumn("home", F.lit(False)))
+    best = either.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("depth")).alias("level"), "size", "home", "p_conv", "p_turn")).alias("_b"))
     best = materialise(best.select("conv", "turn", F.col("_b.p_conv").alias("p_conv"), F.col("_b.p_turn").alias("p_turn")), "quotation-links")
 
     tied = components(best.where(F.col("conv") != F.col("p_conv")).select("conv", "p_conv"), "conv", "p_conv")
@@ -135,7 +132,7 @@ def threads(linked: DataFrame) -> DataFrame:
     return linked.groupBy("thread_id").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-#: The same in DuckDB's SQL.
+#: The same in DuckDB's SQL, where no message quotes at several levels or from home and elsewhere.
 ORACLE = r"""
 WITH RECURSIVE lines AS (
   SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k

@@ -190,6 +190,15 @@ def test_quotations_link_messages(spark):
     assert quote_linking.link(frame.limit(0)).count() == 0
 
 
+def test_deeper_levels_and_other_conversations_link_too(spark):
+    long = "A long passage that was written in the first conversation."
+    talk = [(1, 0, long), (1, 1, "thanks"), (2, 0, "thanks"), (2, 1, f"> thanks\n\n> {long}\nHere again."), (3, 0, f"> an edited reply\n>> {long}\nSee above."), (4, 0, "thanks"), (4, 1, "> thanks\nok")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in talk], "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["turn"]): (r["thread_id"], r["parent_conv"], r["parent_turn"], r["link"]) for r in quote_linking.link(frame).collect()}
+    assert found[2, 1] == (1, 1, 0, "quote") and found[3, 0] == (1, 1, 0, "quote")
+    assert found[4, 1] == (4, 4, 0, "quote")  # on a tie, home
+
+
 # ---- 5
 
 
