@@ -32,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    return edit_decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return edit_decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,14 +10,19 @@ are the query set: they are read on the driver in blocks of a bounded number of
 and each block is broadcast and held against all texts, where they are read. There is no
 shuffle.
 
-Defined results for edge cases: null and empty texts hold no item; null items and items
-under ``least`` characters (too short to be evidence) are not looked for; very long texts
+Items under ``least`` characters have no error budget: with ``short`` they are found verbatim
+between word boundaries (scripts written without spaces have one at every letter), by the
+same automaton; without it they are not looked for.
+
+Defined results for edge cases: null and empty texts hold no item; null and empty items are
+not looked for; very long texts
 are searched whole; repeated rows are searched row by row; empty tables give an empty
 result; further columns do not matter (keys are returned).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +33,8 @@ from pyspark.sql import types as T
 
 #: Characters of items in a block.
 BLOCK = 4_000_000
+#: Letters of words that spaces separate: not those of Thai, Lao, Burmese, Khmer, Chinese or Japanese.
+_IN_WORD = re.compile("(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])\\w")
 
 
 def normalise(text: str) -> str:
@@ -82,10 +89,12 @@ def letter_masks(item: str) -> dict[str, int]:
 class Matcher:
     """All pieces of a block of items (id, text) in one automaton."""
 
-    def __init__(self, items: list[tuple], percent: int):
+    def __init__(self, items: list[tuple], percent: int, least: int = 0):
         import ahocorasick
 
-        self.items, self.errors, self.masks = items, [budget(len(t), percent) for _, t in items], {}
+        self.items, self.masks = items, {}
+        self.short = [len(t) < least for _, t in items]
+        self.errors = [0 if s else budget(len(t), percent) for s, (_, t) in zip(self.short, items, strict=True)]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(items):
             for at, piece in split_pieces(item, self.errors[k]):
@@ -105,6 +114,11 @@ class Matcher:
         found = []
         for k, at in sorted(starts.items()):
             key, item = self.items[k]
+            if self.short[k]:
+                whole = (a + len(item) for a in sorted(at) if _stands_alone(text, a, a + len(item)))
+                if end := next(whole, 0):
+                    found.append((key, 0, end))
+                continue
             e, best = self.errors[k], None
             for a, b in _windows(sorted(at), e, len(item), len(text)):
                 if text.startswith(item, a + e):
@@ -119,6 +133,11 @@ class Matcher:
         return found
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on across either end of a stretch."""
+    return not any(0 < k < len(text) and _IN_WORD.match(text[k - 1]) and _IN_WORD.match(text[k]) for k in (start, end))
+
+
 def _windows(starts: list[int], errors: int, length: int, end: int) -> list[tuple[int, int]]:
     """Stretches that hold every place within the budget of a start."""
     out: list[list[int]] = []
@@ -132,7 +151,7 @@ def _windows(starts: list[int], errors: int, length: int, end: int) -> list[tupl
 
 
 def item_blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple]]:
-    """The items (id, normalised text) in sorted blocks of a bounded number of characters."""
+    """The items (id, normalised text) of least characters or more in sorted blocks of a bounded number of characters."""
     real = benchmark.where(F.col("text").isNotNull())
     blocks = -(-(real.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
     for k in range(blocks):
@@ -148,9 +167,9 @@ _matchers: dict[int, Matcher] = {}
 class SharedMatcher:
     """A block of items broadcast once; ``get`` gives the matcher of an executor's process."""
 
-    def __init__(self, spark, items: list[tuple], percent: int):
-        self.mark = hash((percent, *items))
-        self.content = spark.sparkContext.broadcast((items, percent))
+    def __init__(self, spark, items: list[tuple], percent: int, least: int):
+        self.mark = hash((percent, least, *items))
+        self.content = spark.sparkContext.broadcast((items, percent, least))
 
     def get(self) -> Matcher:
         if self.mark not in _matchers:
@@ -159,7 +178,7 @@ class SharedMatcher:
         return _matchers[self.mark]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least: int = 40, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """(key, item_id, distance, end): each item that a document holds, with its nearest place.
 
     end is where that place ends in the document's normalised text.
@@ -177,12 +196,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least:
 
         return named.mapInPandas(search, schema)
 
-    found = [searched(SharedMatcher(docs.sparkSession, items, percent)) for items in item_blocks(benchmark, least)]
+    found = [searched(SharedMatcher(docs.sparkSession, items, percent, least)) for items in item_blocks(benchmark, 1 if short else least)]
     every = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return every.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least: int = 40, text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, least: int = 40, text: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs that hold no item, with the columns of docs; judged where they are read."""
 
     def without(rows: DataFrame, shared: SharedMatcher) -> DataFrame:
@@ -193,4 +212,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 6, l
 
         return rows.where(F.pandas_udf(clean, "boolean")(F.col(text)))
 
-    return reduce(without, (SharedMatcher(docs.sparkSession, items, percent) for items in item_blocks(benchmark, least)), docs)
+    return reduce(without, (SharedMatcher(docs.sparkSession, items, percent, least) for items in item_blocks(benchmark, 1 if short else least)), docs)

@@ -62,7 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return edit_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return edit_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 QUERIES = {

@@ -463,6 +463,19 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     assert {tuple(r) for r in edit_decontamination.contaminated(d, bench).collect()} == whole and whole
 
 
+def test_short_items_are_found_whole(spark, tmp_path):
+    import corpus_pipeline
+
+    given = [(0, "What is two plus two?"), (1, "He asked: what  is two plus TWO? Four."), (2, "somewhat is two plus two?"), (3, "what is two plus to?"), (4, "地球是什么形状的"), (5, "a cat sat"), (6, "concat")]
+    bench = spark.createDataFrame([(1, "What is two plus two?"), (2, "是什么"), (3, "cat"), (4, ""), (5, None)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in QUERIES["op10_decontamination"](spark, str(tmp_path)).collect()}
+    assert found == {(0, 1, 0, 21), (1, 1, 0, 31), (4, 2, 0, 5), (5, 3, 0, 5)}
+    kept = corpus_pipeline.decontaminate(spark, table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 6]
+
+
 # ---- the pipeline
 
 
