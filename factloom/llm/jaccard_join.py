@@ -362,15 +362,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component, the one with the least key."""
+    """One row of docs for each component, the one with the least key other than null, then the least text.
+
+    Rows without shingles all stay.
+    """
+    if docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        return _keep_first_row(docs, key, text)
     placed = materialise(join(docs, key, text), "components")
-    extra = placed.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    extra = placed.where(F.col(key) != F.col("component_id")).select(key)
     out = docs.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, key, "left_anti")
-    if placed.groupBy(key).count().where("count > 1").limit(1).count():  # rows repeat their keys
-        out = out.dropDuplicates([key])
     return out.select(docs.columns)
 
 
+def _keep_first_row(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """keep_first where keys are null or repeated: rows are told apart by numbers of their own."""
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    placed = materialise(join(numbered, "_row", text), "components")
+    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(text).alias("t"), F.col("_row").alias("r"))
+    kept = numbered.join(placed, "_row").groupBy("component_id").agg(F.min(order)["r"].alias("_row")).select("_row")
+    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+
+
 #: The same in DuckDB's SQL, by counting common shingles outright.
 ORACLE = r"""
 WITH RECURSIVE w AS (

@@ -158,6 +158,15 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard_join.join(docs(spark, [])).count() == 0
 
 
+def test_jaccard_keeps_documents_with_null_or_repeated_keys(spark):
+    a, b, c, d = ("".join(f"{x}{k} " for k in range(30)) for x in "abcd")
+    given = [(1, a), (1, b), (2, a), (2, c), (None, a), (None, d), (None, d), (None, b), (None, ""), (None, ""), (3, c)]
+    kept = jaccard_join.keep_first(docs(spark, given))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (2, c), (None, d), (None, ""), (None, "")], key=str)
+    copy = jaccard_join.keep_first(docs(spark, [(7, a), (None, a), (8, b)]))
+    assert sorted(r["doc_id"] for r in copy.collect()) == [7, 8]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert {tuple(r) for r in components(links, "a", "b").collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
