@@ -225,6 +225,16 @@ def test_listed_and_mined_rules(spark):
     assert url_rules.mine(labelled.limit(0)).count() == 0
 
 
+def test_rules_of_four_tokens_are_mined(spark):
+    # Any three of the four paths are as often good as bad, the four together only bad.
+    bad = [("http://h.io/a/b/c/d", True)] * 40
+    good = [(f"http://h.io/{'/'.join(x)}", False) for x in ("abc", "abd", "acd", "bcd") for _ in range(40)]
+    mined = url_rules.mine(spark.createDataFrame(bad + good, "url string, bad boolean"))
+    assert {tuple(r["antecedent"]) for r in mined.collect()} == {("path:a", "path:b", "path:c", "path:d")}
+    pages = spark.createDataFrame([(1, "http://h.io/a/b/c/d"), (2, "http://h.io/a/b/c")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.verdicts(pages, (), mined).collect()} == {1: "block", 2: "allow"}
+
+
 # ---- 6
 
 
