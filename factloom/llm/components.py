@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -38,6 +38,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if mark == before:
             break
         before = mark
-        now = materialise(_star(_star(now, True), False), "links")
+        shorter = materialise(_star(_star(now, True), False), "links")
+        release(now)
+        now = shorter
     # Now every link leads from a node to its component's least node.
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -14,11 +14,12 @@ A set with so many empty segments that exact segments can miss a partner also of
 one-deletion neighbourhoods of its segments, and in the extreme a prefix of its shingles.
 
 *Verification.* Equal sets are one (fingerprints of sets). Under each key the members are
-verified against a leader, the one that shares most. Members that are not both linked to
-the leader can still be linked to each other; few are compared directly, many through an
-index of shingles that the leader lacks or in which they differ from it. All bounds are exact, so no link between different sets
-is lost, except that links inside a group that is linked through its leader anyway are
-not listed. Sets are sets of 64-bit hashes of shingles.
+verified against a leader, the one that shares most, and these links make components.
+Members of one leader in different components can still be linked to each other; few are
+compared directly, many through an index of the shingles in which they differ from the
+leader, the rarest first. All bounds are exact, so no link between different components
+is lost; further links inside one component are not sought. Sets are sets of 64-bit hashes
+of shingles.
 
 Defined results for edge cases: a null or empty text, or one without words, has an empty
 set, 0 shingles and is its own component; a text of fewer words than a shingle has one
@@ -36,11 +37,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, release
 from .components import components
 
 WORDS = 5
@@ -160,17 +162,24 @@ def _bands_of(size: int) -> list[int]:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a document (key, fp, -1 - size) and one a signature (its key, fp, allocation)."""
+    """One row a document (key, fp, -1 - size) and one a signature (its key, fp, allocation).
+
+    A task offers the signatures of equal sets once, so that very many copies of a text
+    put no more rows on its keys than there are tasks.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).fill_null(NO_KEY).to_numpy(zero_copy_only=False)
             keys, prints, notes = [], [], []
             for k, body in zip(ids, batch.column(1), strict=True):
                 found = shingles(body.as_py())
-                own, note = signatures(found)
+                fp = fingerprint(found)
+                own, note = signatures(found[:0] if fp in seen else found)
+                seen.add(fp)
                 keys += [np.array([k], np.int64), own.view(np.int64)]
-                prints.append(np.full(len(own) + 1, fingerprint(found), np.int64))
+                prints.append(np.full(len(own) + 1, fp, np.int64))
                 notes += [np.array([-1 - len(found)], np.int32), note]
                 if sum(map(len, notes[-2000:])) > 2_000_000:
                     yield _batch(keys, prints, notes)
@@ -263,72 +272,95 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_sets(pairs, sets).select("a", "b", "_sa", "_sb").mapInArrow(check, "a long, b long, linked boolean, apart long, size_a long, size_b long")
 
 
-def _clues(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, way, token, b, top, probes, indexed): what members b of a leader a look up and can be found by.
+def _kind(n: Column) -> Column:
+    """A class of numbers n >= 1: four for each power of two."""
+    power = F.length(F.bin(n)) - 1
+    return F.when(n < 4, n).otherwise(4 * (power - 1) + F.call_function("shiftright", n, (power - 2).cast("int")) - 4).cast("int")
 
-    Let y be a member that is not linked to the leader and x any other member. A member whose
-    prefix (in an order that puts shingles the leader lacks first) holds only such shingles
-    looks up those (way 1), and y is found by those in its own prefix. Any other member x is
-    close to the leader: if y is linked to x, the two agree in more than ``agree`` of the
-    shingles in which x differs from the leader, so x looks up all but so many of these
-    (way 2, added; way 3, missing), and y is found by every one of its own if it shares enough
-    with the leader to be linked to a close member at all.
-    """
+
+def _least_of(kind: Column) -> Column:
+    """The least number of a class."""
+    return F.when(kind < 4, kind).otherwise(F.call_function("shiftleft", 4 + kind % 4, (kind / 4).cast("int") - 1)).cast("long")
+
+
+def _differing(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members with each shingle in which b differs from its leader a, and how many these are."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), _lists(batch.column(4)), _lists(batch.column(5)), strict=True)
-            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
-
-            def add(way: int, token: np.ndarray, ids: tuple[int, int, int], probes: np.ndarray | bool, indexed: bool, out=out) -> None:
-                n = len(token)
-                values = (np.full(n, ids[0]), np.full(n, way, np.int32), token.view(np.int64), np.full(n, ids[1]), np.full(n, ids[2]), np.full(n, probes) if isinstance(probes, bool) else probes, np.full(n, indexed))
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-
-            for a, b, top, linked, s, t in rows:
-                added, size = np.setdiff1d(t, s, assume_unique=True), len(t)
-                prefix = size - (4 * size + 4) // 5 + 1
-                common = size - len(added)
-                far = len(added) >= prefix
-                if far or not linked:
-                    add(1, added[:prefix], (a, b, top), far, not linked)
-                close = not linked and 25 * common >= 12 * size - 25
-                if not far or close:
-                    missing = np.setdiff1d(s, t, assume_unique=True)
-                    apart = len(added) + len(missing)
-                    sought = 0 if far else apart - ((9 * apart + len(s) - size) // 18 + 1) + 1
-                    for way, own, start in ((2, added, 0), (3, missing, len(added))):
-                        probes = np.arange(start, start + len(own)) < sought
-                        chosen = slice(None) if close else probes
-                        add(way, own[chosen], (a, b, top), probes[chosen], close)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "way", "token", "b", "top", "probes", "indexed"])
-
-    chosen = _with_sets(members.select("a", "b", "top", "linked"), sets).select("a", "b", "top", "linked", "_sa", "_sb")
-    return chosen.mapInArrow(make, "a long, way int, token long, b long, top long, probes boolean, indexed boolean")
-
-
-def _other_pairs(led: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of one leader that may be linked though not both are linked to it."""
-    groups = led.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("off"), F.min("top").alias("_t"), F.max("top").alias("_u"))
+            found = [np.setxor1d(t, s, assume_unique=True) for s, t in zip(_lists(batch.column(6)), _lists(batch.column(7)), strict=True)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            at = pa.array(np.repeat(np.arange(len(found)), n))
+            size = np.array(list(map(len, _lists(batch.column(7)))), np.int64)
+            more = [pa.array(np.repeat(n, n)), pa.array(np.repeat(size, n)), pa.array(np.concatenate([*found, np.zeros(0, _U)]).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(6)] + more, [*fields, "n", "size", "token"])
+
+    fields = ["a", "b", "ca", "cb", "top", "outside"]
+    chosen = _with_sets(members.select(fields), sets).select(*fields, "_sa", "_sb")
+    return chosen.mapInArrow(make, "a long, b long, ca long, cb long, top long, outside boolean, n long, size long, token long")
+
+
+def _clues(tokens: DataFrame) -> DataFrame:
+    """Rows of tokens with ``place`` and ``partner``: what members are found by, for each class of partners.
+
+    Let d(x) be the shingles in which x differs from the leader. Linked x and y differ in
+    d(x) ^ d(y), so d(x) and d(y) share at least t = (|d(x)| + |d(y)| - (|x| + |y|) / 9) / 2 of
+    them, and t >= 1 unless both are linked to the leader. In any order, then, the first shared
+    shingle has t - 1 others behind it in both. The order puts first what costs nothing (held by
+    one member, or by none outside the leader's component), then what makes fewest pairs. For
+    each class of |d(y)| only the places that can come first are offered.
+    """
+    priced = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("f"), F.count_if("outside").alias("o")).where("f > 1 and o > 0")
+    own = Window.partitionBy("a", "b")
+    shared = tokens.join(priced.select("a", "token", (F.col("f") * F.col("o")).alias("price")), ["a", "token"])
+    placed = shared.select("*", F.row_number().over(own.orderBy("price", "token")).alias("r"), F.count(F.lit(1)).over(own).alias("shared"))
+    placed = placed.withColumn("place", F.col("n") - F.col("shared") + F.col("r") - 1).drop("price", "r", "shared")
+    apart = F.expr("(size + size * 5 div 4) div 9")
+    kinds = F.sequence(_kind(F.greatest(F.lit(1), F.col("n") - apart)), _kind(F.col("n") + apart))
+    least = lambda kind: F.greatest(F.lit(1), F.ceil((F.col("n") + _least_of(kind) - apart) / 2))
+    chosen = placed.withColumn("_kinds", F.filter(kinds, lambda kind: F.col("place") <= F.col("n") - least(kind)))
+    return chosen.select("*", _kind(F.col("n")).alias("kind"), F.explode("_kinds").alias("partner")).drop("_kinds")
+
+
+def _other_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one leader, of different components, that may be linked.
+
+    placed: (a, b, ca, cb, top): pairs of leader and member with the components that the links
+    to leaders make, and the member's top leader. A pair of members that are both linked to the
+    leader is in its component; so at least one of a pair sought is outside.
+    """
+    groups = placed.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ca") != F.col("cb")).alias("off"), F.min("top").alias("_t"), F.max("top").alias("_u"))
     # Members with the same top leader are compared under that one alone.
     elsewhere = (F.col("_t") == F.col("_u")) & (F.col("_t") != F.col("a"))
     open_groups = groups.where((F.col("off") > 0) & (F.col("n") > 1) & ~elsewhere).select("a", "n")
-    members = materialise(led.join(open_groups, "a").select("a", "b", "linked", "top", "n"), "open-members")
+    members = materialise(placed.join(open_groups, "a").select("a", "b", "ca", "cb", "top", (F.col("ca") != F.col("cb")).alias("outside"), "n"), "open-members")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("tx") != F.col("ty")) | (F.col("tx") == F.col("a"))) & (~F.col("oy") | (F.col("x") < F.col("y")))
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("a", *[F.col(f).alias(t + name) for f, t in (("b", ""), ("cb", "c"), ("top", "t"), ("outside", "o"))], *more)
+
     few = members.where(F.col("n") <= FEW)
-    here = (F.col("x") != F.col("y")) & ((F.col("tx") != F.col("ty")) | (F.col("tx") == F.col("a")))
-    x, y = few.select("a", F.col("b").alias("x"), F.col("top").alias("tx")), few.where(~F.col("linked")).select("a", F.col("b").alias("y"), F.col("top").alias("ty"))
-    direct = x.join(y, "a").where(here).select("x", "y")
-    clues = materialise(_clues(members.where(F.col("n") > FEW), sets), "clues")
-    probes = clues.where("probes").select("a", "way", "token", F.col("b").alias("x"), F.col("top").alias("tx"))
-    index = clues.where("indexed").select("a", "way", "token", F.col("b").alias("y"), F.col("top").alias("ty"))
-    found = probes.join(index, ["a", "way", "token"]).where(here).select("x", "y")
-    return direct.union(found).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    direct = side(few.where("outside"), "x").join(side(few, "y"), "a").where(apart).select("x", "y")
+    tokens = materialise(_differing(members.where(F.col("n") > FEW), sets), "differing")
+    clues = materialise(_clues(tokens), "clues")
+    more = lambda name: [F.col(f).alias(f + name) for f in ("n", "size", "place")]
+    probes = side(clues.where("outside"), "x", "token", F.col("kind").alias("k"), F.col("partner").alias("l"), *more("x"))
+    index = side(clues, "y", "token", F.col("partner").alias("k"), F.col("kind").alias("l"), *more("y"))
+    enough = F.expr("2 * least(nx - placex, ny - placey) >= nx + ny - (sizex + sizey) div 9 and 5 * sizex >= 4 * sizey and 5 * sizey >= 4 * sizex")
+    found = probes.join(index, ["a", "token", "k", "l"]).where(apart & enough).select("x", "y")
+    pairs = materialise(direct.union(found).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "other-pairs")
+    release(members, tokens, clues)
+    return pairs
+
+
+def _component_of(pairs: DataFrame, at: str, of: DataFrame, name: str) -> DataFrame:
+    """pairs with the component of column ``at`` as ``name``: itself where it has no link."""
+    joined = pairs.join(of.select(F.col("node").alias(at), F.col("component").alias("_c")), at, "left")
+    return joined.withColumn(name, F.coalesce("_c", at)).drop("_c")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (key, fp, size) and the links (a, b) between their sets' fingerprints."""
+    """Documents (key, fp, size) and the components (node, component) of their sets' fingerprints."""
     sorted_rows = _rows(docs, key, text).repartition("key").sortWithinPartitions("key", "fp")
     rows = materialise(sorted_rows.mapInArrow(_shared_only, "key long, fp long, note int"), "signatures")
     members = rows.where(F.col("note") < 0).select("key", "fp", (-1 - F.col("note")).cast("long").alias("size"))
@@ -340,18 +372,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     used = led.select(F.col("a").alias("fp")).union(led.select("b")).distinct()
     # One row a set before the join: a set of very many copies is no hot key there.
     wanted = members.groupBy("fp").agg(F.min("key").alias("key")).join(used, "fp").select("fp", "key")
-    sets = materialise(_sets(docs, key, text, materialise(wanted, "representatives")), "sets")
+    wanted = materialise(wanted, "representatives")
+    sets = materialise(_sets(docs, key, text, wanted), "sets")
     first = materialise(_verified(led.select("a", "b"), sets), "leader-links")
-    others = materialise(_other_pairs(first.join(tops, "b"), sets).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "other-pairs")
-    second = _verified(others, sets)
-    links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
-    return members, materialise(links, "set-links")
+    joined = components(first.where("linked"), "a", "b")
+    placed = _component_of(_component_of(first.join(tops, "b").select("a", "b", "top"), "a", joined, "ca"), "b", joined, "cb")
+    others = _other_pairs(placed, sets)
+    second = _verified(others, sets).where("linked").select("a", "b")
+    between = _component_of(_component_of(second, "a", joined, "ca"), "b", joined, "cb").select("ca", "cb")
+    merged = components(between, "ca", "cb")
+    ends = joined.select("node", "component").union(merged.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    final = _component_of(ends, "component", merged, "whole").select("node", F.col("whole").alias("component"))
+    final = materialise(final, "components-of-sets")
+    release(kept, led, wanted, sets, first, others)
+    return members, final
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for each row of docs."""
-    members, links = classes(docs, key, text)
-    found = components(links, "a", "b")
+    """(key, n_shingles, component_id) for each row of docs. The key is a column of whole numbers."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"the key {key} is not of a type of whole numbers")
+    members, found = classes(docs, key, text)
     least = members.where(F.col("size") > 0).groupBy("fp").agg(F.min(F.when(F.col("key") != NO_KEY, F.col("key"))).alias("least"))
     placed = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -366,7 +407,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows without shingles all stay.
     """
-    if docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+    if not isinstance(docs.schema[key].dataType, IntegralType) or docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
         return _keep_first_row(docs, key, text)
     placed = materialise(join(docs, key, text), "components")
     extra = placed.where(F.col(key) != F.col("component_id")).select(key)

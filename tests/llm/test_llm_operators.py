@@ -137,6 +137,27 @@ def test_jaccard_many_members_under_one_leader(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(brute.components(given))
 
 
+def test_jaccard_near_copies_that_mostly_do_not_link(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    given = []
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(80)] = f"x{rng.randrange(40)}"
+        given.append((i, " ".join(words)))
+    found = {tuple(r) for r in jaccard_join.join(docs(spark, given)).collect()}
+    assert found == set(brute.components(given))
+
+
+def test_jaccard_keys_that_are_not_whole_numbers(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    given = spark.createDataFrame([("a", text), ("b", text), (None, text), ("c", "other")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_first(given).collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        jaccard_join.join(given)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
