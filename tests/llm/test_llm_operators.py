@@ -256,6 +256,15 @@ def test_rules_of_four_tokens_are_mined(spark):
     assert {r["page_id"]: r["verdict"] for r in url_rules.verdicts(pages, (), mined).collect()} == {1: "block", 2: "allow"}
 
 
+def test_long_urls_are_mined_and_judged_in_bounded_time(spark):
+    long = "http://x.io/" + "/".join(f"p{k}" for k in range(60))
+    labelled = spark.createDataFrame([(long, k % 2 == 0) for k in range(60)] + [(f"{long}/a/b", True) for _ in range(25)] + [(f"{long}/a", False) for _ in range(25)] + [(f"{long}/b", False) for _ in range(25)], "url string, bad boolean")
+    mined = url_rules.mine(labelled)
+    assert [tuple(r) for r in mined.collect()] == [(["path:a", "path:b"], 25, 25)]
+    pages = spark.createDataFrame([(1, long, "x"), (2, long + "/a/b", "y"), (2, long + "/a/b", "y"), (3, long + "/b", "z")], "page_id long, url string, host string")
+    assert [(r["page_id"], r["host"], r["verdict"]) for r in url_rules.verdicts(pages, url_rules.LISTED, mined).orderBy("page_id").collect()] == [(1, "x.io", "allow"), (2, "x.io", "block"), (2, "x.io", "block"), (3, "x.io", "allow")]
+
+
 # ---- 6
 
 
