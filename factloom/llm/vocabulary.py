@@ -19,7 +19,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
-_MOST_KEPT = 1_000_000
+#: Bytes of stretches, about, whose results are kept; longer stretches than _LONGEST are never kept.
+_MOST_KEPT = 64_000_000
+_LONGEST = 1_000
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: Letters of Latin scripts that have one-character lower forms, ASCII, and marks of common typography.
@@ -77,18 +79,19 @@ class _Table(dict):
 
     def __init__(self, proved: dict, make):
         super().__init__(proved)
-        self.proved, self.make = proved, make
+        self.proved, self.make, self.kept = proved, make, 0
 
     def __missing__(self, stretch: str):
-        found = self[stretch] = self.make(stretch)
+        found = self.make(stretch)
+        if len(stretch) <= _LONGEST:
+            self.kept += 100 + 3 * len(stretch)
+            if self.kept > _MOST_KEPT:
+                self.clear()
+                self.update(self.proved)
+                self.kept = 0
+            self[stretch] = found
         return found
 
-    def bounded(self) -> _Table:
-        if len(self) > len(self.proved) + _MOST_KEPT:
-            self.clear()
-            self.update(self.proved)
-        return self
-
 
 class Encoder:
     """Ids and counts of whole texts, as the library gives them."""
@@ -116,14 +119,14 @@ class Encoder:
         return self.library.encode(stretch, add_special_tokens=False).ids
 
     def count(self, text: str) -> int:
-        counts = self.counts.bounded()
+        counts = self.counts
         if not self._hard(text):
             return sum(map(counts.__getitem__, text.lower().split()))
         return sum(len(self._library(p)) if self._hard(p) else counts[p.lower()] for p in _SPACE_RUN.split(text))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        ids = self.ids.bounded()
+        ids = self.ids
         if not self._hard(text):
             return b"".join(map(ids.__getitem__, text.lower().split()))
         return b"".join(_packed(self._library(p)) if self._hard(p) else ids[p.lower()] for p in _SPACE_RUN.split(text))
