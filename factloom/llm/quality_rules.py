@@ -51,7 +51,6 @@ BASE_RULES = (
 )
 
 RULES = (
-    Rule("too_long", "n_words", high=1_000_000),
     Rule("word_length", "word_chars", "n_words", low=200, high=1400),
     Rule("symbols", "n_symbols", "n_words", high=20),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=30),
@@ -186,7 +185,7 @@ m AS (
   FROM wins LEFT JOIN covered ON wins.doc_id = covered.doc_id),
 j AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_words > 1000000 OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1400 * n_words
+       NOT (base_failed OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1400 * n_words
             OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_stop_words < n_words
             OR 100 * n_upper > 60 * n_letters) AS kept
 FROM j
