@@ -108,7 +108,7 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def ranked(cut: DataFrame, key: str) -> tuple[DataFrame, dict[int, int]]:
     """cut with _rank, each row's place among the rows of its length, and the lengths' counts."""
     buckets = max(16, -(-cut.count() // _GROUP))
-    placed = cut.withColumn("_b", F.pmod(F.xxhash64(key, "piece"), F.lit(buckets)))
+    placed = cut.withColumn("_b", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.lit(buckets)))
     groups = placed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = groups.select("length", "_b", (F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_before"))
     histogram = {r[0]: r[1] for r in placed.groupBy("length").count().collect()}  # as many rows as the capacity at most
