@@ -49,20 +49,25 @@ def fuse(channels: list[DataFrame], boosts: DataFrame | None = None) -> DataFram
     return units.select("*", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("confidence", 9)), "ordinal", "unit")).alias("rank"))
 
 
-def merge_events(units: DataFrame, facts: DataFrame) -> DataFrame:
-    """Units of one event become one: (query_id, unit, members, ordinal).
+def merge_events(heads: DataFrame, facts: DataFrame) -> DataFrame:
+    """Units of one event become one: (query_id, unit, members, n_heads, confidence, ordinal).
 
-    facts (unit, fingerprint, completeness): of a fingerprint's units the one with most
-    heads, then the most complete, then the first, stands for all. Units without a
-    fingerprint stay and come before the groups.
+    heads (query_id, unit, head, c, ordinal): what supports a unit. facts (unit, fingerprint,
+    completeness): of a fingerprint's units the one with most heads, of these the most complete,
+    of these the first stands for all and takes over their heads, each at its largest
+    contribution. Units without a fingerprint stay and come before the groups.
     """
-    known = units.join(facts, "unit", "left")
-    order = Window.partitionBy("query_id", "fingerprint").orderBy(F.desc(F.greatest("n_heads", "completeness")), "ordinal")
-    ranked = known.where(F.col("fingerprint").isNotNull()).select("*", F.row_number().over(order).alias("_r"))
-    groups = ranked.groupBy("query_id", "fingerprint").agg(F.min(F.when(F.col("_r") == 1, F.col("unit"))).alias("unit"), F.count(F.lit(1)).alias("members"), F.min("ordinal").alias("ordinal"))
-    alone = known.where(F.col("fingerprint").isNull()).select("query_id", "unit", F.lit(1).cast("long").alias("members"), "ordinal", F.lit(0).alias("_g"))
-    both = alone.unionByName(groups.select("query_id", "unit", "members", "ordinal", F.lit(1).alias("_g")))
-    return both.select("query_id", "unit", "members", F.row_number().over(Window.partitionBy("query_id").orderBy("_g", "ordinal", "unit")).alias("ordinal"))
+    units = heads.groupBy("query_id", "unit").agg(F.countDistinct("head").alias("_n"), F.min("ordinal").alias("_o"))
+    known = units.join(facts.select("unit", "fingerprint", "completeness"), "unit", "left")
+    same = Window.partitionBy("query_id", "fingerprint")
+    order = same.orderBy(F.desc("_n"), F.desc("completeness"), "_o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    grouped = F.col("fingerprint").isNotNull()
+    placed = known.where(grouped).select("query_id", "unit", F.first("unit").over(order).alias("to"), F.min("_o").over(same).alias("_at"), F.lit(1).alias("_g"))
+    placed = placed.unionByName(known.where(~grouped).select("query_id", "unit", F.col("unit").alias("to"), F.col("_o").alias("_at"), F.lit(0).alias("_g")))
+    moved = heads.join(placed, ["query_id", "unit"]).groupBy("query_id", "to", "_g", "_at", "head").agg(F.max("c").alias("c"), F.collect_set("unit").alias("_us"))
+    merged = moved.groupBy("query_id", F.col("to").alias("unit"), "_g", "_at").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("_us")))).cast("long").alias("members"), F.count(F.lit(1)).alias("n_heads"), noisy_or(F.collect_list("c")).alias("confidence"))
+    return merged.select("query_id", "unit", "members", "n_heads", "confidence", F.row_number().over(Window.partitionBy("query_id").orderBy("_g", "_at", "unit")).cast("long").alias("ordinal"))
 
 
 def reciprocal(routes: DataFrame, k: int = 60, cap: float = 5.0, weight: float = 0.05) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import entity_id
+from ..sources.storage import kept
 
 
 def edges_of_facts(facts: DataFrame, fact: str, user: str, objects: str, day: Column, quantity: Column) -> DataFrame:
@@ -46,8 +47,13 @@ def explore(starts: DataFrame, edges: DataFrame, depth: int, types: list[str] |
     seen, steps = front, []
     for step in range(1, depth + 1):
         out = front.join(usable, F.col("node") == F.col("src")).select("start", F.lit(step).alias("step"), "src", "edge_type", "dst")
+        if step < depth:
+            out = kept(out, "explored")
         steps.append(out)
         if step < depth:
+            if limit is not None:
+                full = reduce(DataFrame.unionByName, steps).groupBy("start").count().where(F.col("count") >= limit).select("start")
+                out = out.join(full, "start", "left_anti")
             front = out.select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
             seen = seen.union(front)
     found = reduce(DataFrame.unionByName, steps)

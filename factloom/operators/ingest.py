@@ -89,51 +89,6 @@ def parse_items(answers: DataFrame, text: str, schema: str) -> DataFrame:
     return answers.withColumn("items", F.from_json(chosen, f"array<{schema}>"))
 
 
-def fold_facts(facts: DataFrame) -> DataFrame:
-    """Statuses after ingesting facts one by one, in order of seq: the exact sequential semantics.
-
-    facts (user_id, fact_id, seq, predicate, unit, roles array, valid_from, document_time,
-    quantity, low, high, role, update_like). A fact and an earlier one of its slot compete if either is update-like; the greater order
-    key wins, the assistant never beats the user, and a point within a range is no conflict.
-    Returns (user_id, fact_id, status, valid_until, superseded_by). Users are folded one by
-    one, and slots apart from each other, so a task holds one slot of one user.
-    """
-
-    def competes(old: dict, new: dict) -> bool:
-        if not (new["update_like"] or (new["quantity"] == new["quantity"] and new["quantity"] is not None and old["update_like"])):
-            return False
-        if set(old["roles"]) and set(new["roles"]) and set(old["roles"]) != set(new["roles"]):
-            return False
-        for a, b in ((old, new), (new, old)):
-            if pd.notna(a["low"]) and pd.isna(b["low"]) and pd.notna(b["quantity"]) and a["low"] <= b["quantity"] <= a["high"]:
-                return False
-        return True
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state: list[dict] = []
-        for new in group.sort_values("seq").to_dict("records"):
-            new |= {"status": "active", "valid_until": None, "superseded_by": None}
-            key = (new["valid_from"], new["document_time"], new["fact_id"])
-            best = None
-            for old in state:
-                if old["status"] != "active" or not competes(old, new):
-                    continue
-                rank = (old["valid_from"], old["document_time"], old["fact_id"])
-                winner, loser = (old, new) if rank >= key else (new, old)
-                if winner["role"] == "assistant" and loser["role"] == "user":
-                    continue
-                if loser is old:
-                    old |= {"status": "superseded", "valid_until": new["valid_from"], "superseded_by": new["fact_id"]}
-                elif best is None or rank > best[0]:
-                    best = (rank, old)
-            if best:
-                new |= {"status": "superseded", "valid_until": best[1]["valid_from"], "superseded_by": best[1]["fact_id"]}
-            state.append(new)
-        return pd.DataFrame([(s["user_id"], s["fact_id"], s["status"], s["valid_until"], s["superseded_by"]) for s in state], columns=["user_id", "fact_id", "status", "valid_until", "superseded_by"])
-
-    return facts.groupBy("user_id", "predicate", "unit").applyInPandas(fold, "user_id string, fact_id string, status string, valid_until double, superseded_by string")
-
-
 def stale_entities(facts: DataFrame, entity: str = "entity_id", time: str = "valid_from") -> DataFrame:
     """(user_id, entity, first_time, last_time, n_new): what a profile refresh has to look at."""
     return facts.groupBy("user_id", entity).agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count(F.lit(1)).alias("n_new"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import search_tokens
 from ..operators import fusion, lexical, vectors
 from ..sources.adapters import table, turns
+from ..sources.storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,7 +57,8 @@ WITH tok AS (SELECT doc_id, unnest({SQL_TOKENS.replace('__TEXT__', 'text')}) AS
 SELECT term, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM tok GROUP BY term
 """)
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    each = table(spark, d, "documents").select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+    each = spread(table(spark, d, "documents")).select("doc_id", F.explode(search_tokens(F.col("text"))).alias("term"))
+    # All rows of a document are in one task, so counts by document are cheap before the shuffle.
     return each.groupBy("term", "doc_id").count().groupBy("term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
@@ -89,7 +91,7 @@ WITH docs AS (SELECT source AS corpus, doc_id AS unit, text FROM documents),
 asked AS (SELECT DISTINCT 'q' AS query_id, source AS corpus, '{ASKED_TERMS}' AS text FROM documents),
 """ + sql_bm25(10) + "SELECT corpus, unit, rank, round(score, 4) AS score FROM hits")
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     asked = docs.select(F.col("source").alias("corpus")).distinct().select(F.lit("q").alias("query_id"), "corpus", F.lit(ASKED_TERMS).alias("text"))
     return lexical.score(lexical.postings(docs, "source", "doc_id", "text"), asked, 10).select("corpus", "unit", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 

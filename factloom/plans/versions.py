@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as fx
-from ..operators import fusion, graph
+from ..operators import fusion, graph, maintenance
 from ..sources.adapters import facts, table
 from ..sources.adapters import graph as star
 
@@ -87,12 +87,11 @@ def duplicate_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("same_event_merge", f"""WITH {SQL_FACTS}
-SELECT user_id, event_type, day, arg_min(fact_id, seq) AS fact_id, count(*) AS n_merged, array_to_string(list_sort(list_distinct(list(object))), ',') AS objects
-FROM facts GROUP BY user_id, event_type, day""")
+SELECT fact_id, CASE WHEN object LIKE '%0' THEN fact_id ELSE first_value(fact_id) OVER (PARTITION BY user_id, event_type, day, object ORDER BY seq) END AS event_id FROM facts""")
 def same_event_merge(spark: SparkSession, d: str) -> DataFrame:
-    dated = facts(spark, d).withColumn("day", day(F.col("valid_from")))
-    merged = fx.merge_duplicates(dated, ("user_id", "event_type", "day"), sets=("object",))
-    return merged.select("user_id", "event_type", "day", "fact_id", "n_merged", F.array_join("object", ",").alias("objects"))
+    objects = F.when(F.col("object").endswith("0"), F.array().cast("array<string>")).otherwise(F.array("object"))
+    dated = facts(spark, d).withColumns({"day": day(F.col("valid_from")), "predicate": F.col("event_type"), "modality": F.lit("past_event"), "kind": F.lit("event"), "objects": objects})
+    return maintenance.same_event(dated).select("fact_id", "event_id")
 
 
 @_query("stale_expire", f"""WITH {SQL_FACTS}, lim AS (SELECT *, valid_from + 864000000000 AS valid_until, CASE event_type WHEN 'view' THEN 'state' WHEN 'signup' THEN 'profile' WHEN 'click' THEN 'preference' ELSE 'event' END AS kind FROM facts)
@@ -112,17 +111,28 @@ def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("event_fusion_merge", f"""WITH {SQL_FACTS},
-units AS (SELECT user_id AS query_id, fact_id AS unit, 1 + (quantity > 50)::INT AS n_heads, seq AS ordinal, CASE WHEN event_type <> 'error' THEN event_type || '|' || object || '|' || day END AS fingerprint, (quantity > 20)::INT + 1 AS completeness FROM facts),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, fingerprint ORDER BY greatest(n_heads, completeness) DESC, ordinal) AS r FROM units WHERE fingerprint IS NOT NULL),
-both_kinds AS (
-  SELECT query_id, unit, 1 AS members, ordinal, 0 AS g FROM units WHERE fingerprint IS NULL
-  UNION ALL SELECT query_id, min(unit) FILTER (r = 1), count(*), min(ordinal), 1 FROM ranked GROUP BY query_id, fingerprint)
-SELECT query_id, unit, members, row_number() OVER (PARTITION BY query_id ORDER BY g, ordinal, unit) AS ordinal FROM both_kinds""")
+units AS (
+  SELECT user_id AS query_id, fact_id AS unit, seq, quantity, CASE WHEN event_type <> 'error' THEN event_type || '|' || object END AS fingerprint, (quantity > 20)::INT + (quantity > 60)::INT * 3 AS completeness FROM facts),
+heads AS (
+  SELECT query_id, unit, 'a' || (seq % 3) AS head, 0.4::DOUBLE AS c, seq AS ordinal FROM units
+  UNION ALL SELECT query_id, unit, 'b' || (seq % 5), 0.2, seq FROM units WHERE quantity < 30
+  UNION ALL SELECT query_id, unit, 'a' || (seq % 3), 0.1, seq FROM units WHERE quantity < 10),
+sized AS (SELECT u.*, n, o FROM units u JOIN (SELECT query_id, unit, count(DISTINCT head) AS n, min(ordinal) AS o FROM heads GROUP BY ALL) h USING (query_id, unit)),
+best AS (SELECT query_id, fingerprint, arg_max(unit, (n, completeness, -o)) AS chosen, min(o) AS pos, count(*) AS members FROM sized WHERE fingerprint IS NOT NULL GROUP BY ALL),
+owner AS (
+  SELECT s.query_id, s.unit, b.chosen, b.pos, b.members, 1 AS g FROM sized s JOIN best b USING (query_id, fingerprint)
+  UNION ALL SELECT query_id, unit, unit, o, 1, 0 FROM sized WHERE fingerprint IS NULL),
+tops AS (SELECT o.query_id, o.chosen AS unit, g, pos, o.members, head, max(c) AS c FROM owner o JOIN heads h ON o.query_id = h.query_id AND o.unit = h.unit GROUP BY ALL)
+SELECT query_id, unit, members, count(*) AS n_heads, round(1 - product(1 - c), 9) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY g, pos, unit) AS ordinal
+FROM tops GROUP BY query_id, unit, members, g, pos""")
 def event_fusion_merge(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d)
-    units = f.select(F.col("user_id").alias("query_id"), F.col("fact_id").alias("unit"), (1 + (F.col("quantity") > 50).cast("int")).alias("n_heads"), F.col("seq").alias("ordinal"))
-    prints = f.select(F.col("fact_id").alias("unit"), F.when(F.col("event_type") != "error", F.concat_ws("|", "event_type", "object", day(F.col("valid_from")))).alias("fingerprint"), (1 + (F.col("quantity") > 20).cast("int")).alias("completeness"))
-    return fusion.merge_events(units, prints).withColumn("ordinal", F.col("ordinal").cast("long"))
+    f = facts(spark, d).withColumn("query_id", F.col("user_id"))
+    head = lambda rows, name, c: rows.select("query_id", F.col("fact_id").alias("unit"), name.alias("head"), F.lit(c).alias("c"), F.col("seq").alias("ordinal"))
+    a, b = F.concat(F.lit("a"), F.col("seq") % 3), F.concat(F.lit("b"), F.col("seq") % 5)
+    heads = head(f, a, 0.4).unionByName(head(f.where("quantity < 30"), b, 0.2)).unionByName(head(f.where("quantity < 10"), a, 0.1))
+    complete = (F.col("quantity") > 20).cast("int") + (F.col("quantity") > 60).cast("int") * 3
+    prints = f.select(F.col("fact_id").alias("unit"), F.when(F.col("event_type") != "error", F.concat_ws("|", "event_type", "object")).alias("fingerprint"), complete.alias("completeness"))
+    return fusion.merge_events(heads, prints).withColumn("confidence", F.round("confidence", 9))
 
 
 @_query("edge_materialize", f"""WITH {SQL_FACTS}

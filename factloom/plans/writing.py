@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import ingest
+from ..operators import ingest, maintenance
 from ..sources.adapters import facts, table, turns
 from ..sources.storage import shared_folder
 from ..streaming import state
@@ -77,13 +77,21 @@ def provenance_recovery(spark: SparkSession, d: str) -> DataFrame:
     return ingest.recover_provenance(items, ingest.spans(t))
 
 
-@_query("sequential_fold", f"WITH {SQL_FACTS}, w AS (SELECT *, lead(fact_id) OVER v AS superseded_by FROM facts WINDOW v AS (PARTITION BY user_id, event_type ORDER BY valid_from, seq)) SELECT fact_id, CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status, coalesce(superseded_by, '') AS superseded_by FROM w")
+@_query("sequential_fold", f"""WITH {SQL_FACTS},
+f AS (SELECT *, CASE event_type WHEN 'error' THEN '' ELSE event_type END AS predicate, valid_from - (seq % 7) * 86400000000 AS start FROM facts),
+k AS (SELECT *, (start, seq, fact_id) AS key FROM f)
+SELECT a.fact_id, CASE WHEN by_id IS NULL THEN 'active' ELSE 'superseded' END AS status, coalesce(by_id, '') AS superseded_by FROM (
+  SELECT a.fact_id, CASE WHEN a.predicate = '' THEN NULL WHEN max(b.key) FILTER (b.seq < a.seq) > any_value(a.key) THEN arg_max(b.fact_id, b.key) FILTER (b.seq < a.seq)
+         ELSE arg_min(b.fact_id, b.seq) FILTER (b.seq > a.seq AND b.key > a.key) END AS by_id
+  FROM k a JOIN k b ON a.user_id = b.user_id AND a.predicate = b.predicate GROUP BY a.fact_id, a.predicate) a""")
 def sequential_fold(spark: SparkSession, d: str) -> DataFrame:
+    # Late arrivals (up to six days), and a type whose predicate names no slot.
     f = facts(spark, d).select(
-        "user_id", "fact_id", "seq", F.col("event_type").alias("predicate"), F.lit("").alias("unit"), F.array().cast("array<string>").alias("roles"), F.col("valid_from").cast("double").alias("valid_from"),
-        F.col("seq").cast("double").alias("document_time"), "quantity", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("user").alias("role"), F.lit(True).alias("update_like"),
+        "user_id", "fact_id", "seq", F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("predicate"), F.lit("other").alias("event_type"), F.lit("state").alias("kind"), F.lit("").alias("unit"),
+        F.array().cast("array<string>").alias("roles"), (F.col("valid_from") - (F.col("seq") % 7) * 86400000000).cast("double").alias("valid_from"), F.col("seq").cast("double").alias("document_time"), "quantity",
+        F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit("user").alias("role"), F.lit(True).alias("update_like"),
     )
-    return ingest.fold_facts(f).select("fact_id", "status", F.coalesce("superseded_by", F.lit("")).alias("superseded_by"))
+    return maintenance.fold(f).select("fact_id", "status", F.coalesce("superseded_by", F.lit("")).alias("superseded_by"))
 
 
 @_query("stale_queue", f"WITH {SQL_FACTS}, e AS (SELECT user_id, event_type || ' ' || object AS entity_id, min(valid_from) AS first_time, max(valid_from) AS last_time, count(*) AS n_new FROM facts GROUP BY ALL) SELECT user_id, entity_id, n_new, position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_time, entity_id) AS position FROM e) WHERE position <= 5")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import context, facts, filters, fusion, graph, ingest, ops, vectors
+from factloom.operators import context, evidence, facts, filters, fusion, graph, ingest, items, maintenance, ops, vectors
 from factloom.sources.storage import Store, VersionMismatch
 
 
@@ -38,12 +38,12 @@ def test_upsert_keeps_first_creation_and_takes_the_last_row(spark):
     assert sorted((k, v, c) for k, v, c, _ in values(facts.upsert(old, new, ["k"], keep=["created"]).select("k", "v", "created", "seq"))) == [("a", 6, 10), ("b", 2, 11), ("c", 7, 97)]
 
 
-FACT = "user_id string, fact_id string, seq int, predicate string, unit string, roles array<string>, valid_from double, document_time double, quantity double, low double, high double, role string, update_like boolean"
+FACT = "user_id string, fact_id string, seq int, predicate string, event_type string, kind string, unit string, roles array<string>, valid_from double, document_time double, quantity double, low double, high double, role string, update_like boolean"
 
 
 def fold(spark, rows):
-    full = [("u", i, k, "p", "", roles, start, float(k), q, low, high, role, upd) for k, (i, roles, start, q, low, high, role, upd) in enumerate(rows)]
-    return {r["fact_id"]: (r["status"], r["superseded_by"]) for r in ingest.fold_facts(spark.createDataFrame(full, FACT)).collect()}
+    full = [("u", i, k, "p", "other", "state", "", roles, start, float(k), q, low, high, role, upd) for k, (i, roles, start, q, low, high, role, upd) in enumerate(rows)]
+    return {r["fact_id"]: (r["status"], r["superseded_by"]) for r in maintenance.fold(spark.createDataFrame(full, FACT)).collect()}
 
 
 def test_fold_rules(spark):
@@ -148,3 +148,74 @@ def test_answers_are_parsed(spark):
     said = [('```json\n[{"kind": "fact"}]\n```',), ('{"kind": "state"}',), ("none",)]
     found = ingest.parse_items(spark.createDataFrame(said, "t string"), "t", "struct<kind: string>").select(F.col("items.kind")).collect()
     assert [r[0] for r in found] == [["fact"], ["state"], None]
+
+
+def test_fold_slots_by_rules_and_by_plain_windows(spark):
+    """The fold against one fact after the other, over all routes to a slot."""
+    import random
+
+    rng = random.Random(11)
+    given = []
+    for k in range(400):
+        low = rng.choice([None] * 9 + [10.0])
+        given.append((
+            rng.choice("uv"), f"f{k:03d}", k, rng.choice(["", "p", "q", "r", "message_unit_statement"]), rng.choice(["trip", "other", "work"]), rng.choice(["state"] * 5 + ["profile"]), rng.choice(["", "", "", "kg"]),
+            rng.choice([[], [], ["item"], ["place", "subject"], ["value"]]), float(rng.randrange(50)), float(k), rng.choice([None, 15.0]), low, low and low + 10, rng.choice(["user"] * 6 + ["assistant"]), rng.random() < 0.9,
+        ))
+    found = {r["fact_id"]: (r["status"], r["superseded_by"]) for r in maintenance.fold(spark.createDataFrame(given, FACT)).collect()}
+    names = [c.split()[0] for c in FACT.split(", ")]
+    state: list[dict] = []
+    for row in given:
+        new = dict(zip(names, row, strict=True)) | {"status": "active", "by": None}
+        best = None
+        for old in state:
+            a, b = (set(f["roles"]) - {"subject", *maintenance.VALUE_ROLES} for f in (old, new))
+            same, kinds = old["predicate"] == new["predicate"], {old["kind"], new["kind"]}
+            slot = old["predicate"] not in maintenance.NO_SLOT and new["predicate"] not in maintenance.NO_SLOT and old["user_id"] == new["user_id"]
+            if "profile" in kinds:
+                slot = slot and same
+            else:
+                by_type = old["event_type"] == new["event_type"] != "other" and a and a == b
+                slot = slot and old["unit"] == new["unit"] and not (a and b and a != b) and (same or by_type)
+            worded = new["update_like"] or (new["quantity"] is not None and old["update_like"])
+            ranged = any(x["low"] is not None and y["low"] is None and y["quantity"] is not None and x["low"] <= y["quantity"] <= x["high"] for x, y in ((old, new), (new, old)))
+            if old["status"] != "active" or not slot or not worded or ranged:
+                continue
+            rank = lambda f: (f["valid_from"], f["document_time"], f["fact_id"])
+            winner, loser = (old, new) if rank(old) >= rank(new) else (new, old)
+            if (winner["role"], loser["role"]) == ("assistant", "user"):
+                continue
+            if loser is old:
+                old |= {"status": "superseded", "by": new["fact_id"]}
+            elif best is None or rank(old) > rank(best):
+                best = old
+        if best:
+            new |= {"status": "superseded", "by": best["fact_id"]}
+        state.append(new)
+    assert found == {f["fact_id"]: (f["status"], f["by"]) for f in state}
+    assert {s for s, _ in found.values()} == {"active", "superseded"}
+
+
+def test_events_are_the_same_if_they_share_an_object(spark):
+    given = [("u", "flight", "fly", "past_event", "2024-01-01", "event", o, k, f"f{k}") for k, o in enumerate([["rome"], ["oslo"], ["oslo", "bonn"], ["bonn"], None, ["rome"]])]
+    given += [("u", "flight", "fly", "past_event", "2024-01-02", "event", ["rome"], 9, "g0"), ("u", "flight", "fly", "past_event", "2024-01-02", "event", ["rome"], 10, "g1"), ("u", "flight", "fly", "past_event", "2024-01-02", "state", ["rome"], 11, "g2")]
+    frame = spark.createDataFrame(given, "user_id string, event_type string, predicate string, modality string, day string, kind string, objects array<string>, seq int, fact_id string")
+    assert {r["fact_id"]: r["event_id"] for r in maintenance.same_event(frame).collect()} == {"f0": "f0", "f1": "f1", "f2": "f1", "f3": "f1", "f4": "f4", "f5": "f0", "g0": "g0", "g1": "g0", "g2": "g2"}
+
+
+def test_most_heads_decide_before_completeness(spark):
+    heads = spark.createDataFrame([("q", "a", "h1", 0.4, 0), ("q", "b", "h1", 0.1, 1), ("q", "b", "h2", 0.2, 1), ("q", "c", "h9", 0.4, 2)], "query_id string, unit string, head string, c double, ordinal int")
+    prints = spark.createDataFrame([("a", "x", 9), ("b", "x", 1)], "unit string, fingerprint string, completeness int")
+    found = {r["unit"]: (r["members"], r["n_heads"], round(r["confidence"], 6), r["ordinal"]) for r in fusion.merge_events(heads, prints).collect()}
+    assert found == {"c": (1, 1, 0.4, 1), "b": (2, 2, 0.52, 2)}
+
+
+def test_date_policy(spark):
+    rows = [("", "yesterday", "", "2024-03-10", "past", ""), ("2020-01-01", "session_date", "", "2024-03-10", "past", ""), ("2020", "before session_date", "", "2024-03-10", "past", ""), ("2020-02-02", "", "", "2024-03-10", "past", "yesterday"), ("", "", "", "2024-03-10", "past", "yesterday"), ("2020", "tomorrow", "", "", "past", ""), ("2021", "some day", "", "2024-03-10", "past", "")]
+    frame = spark.createDataFrame(rows, "raw string, expr string, anchor string, day string, prefer string, text string")
+    assert [r[0] for r in items.field_date(frame, "raw", "expr", "anchor", "day", "prefer", "text", "out").select("out").collect()] == ["2024-03-09", "2024-03-10", "2020", "2020-02-02", "2024-03-09", "2020", "2021"]
+
+
+def test_a_pool_of_external_rows_alone_stays(spark):
+    rows = spark.createDataFrame([("a", 1, "external_info", "where"), ("b", 1, "external_info", "where"), ("b", 2, None, "where"), ("c", 1, "external_info", "What did you say?"), ("c", 2, "fact", "What did you say?")], "q string, n int, modality string, question string")
+    assert sorted((r["q"], r["n"]) for r in evidence.drop_external(rows, "q", "question").collect()) == [("a", 1), ("b", 2), ("c", 1), ("c", 2)]
