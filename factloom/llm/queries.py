@@ -6,23 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, quote_linking, token_counts, url_rules
-from .common import table
+from .common import spread, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.join(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return html_wrappers.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
@@ -50,18 +50,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bin_slack_packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     forest = quality_trees.train(docs, table(spark, sf_dir, "labels"))
     return quality_trees.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return edit_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
