@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bin_slack_packing, edit_decontamination, jaccard_join, quality_rules, quality_trees
-from factloom.llm.common import materialise, table
+from factloom.llm.common import materialise, spread, table
 from factloom.llm.queries import VOCABULARY
 
 
@@ -48,7 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return docs
