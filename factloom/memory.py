@@ -40,10 +40,10 @@ class MemoryFrame:
         """(query_id, user_id, unit, rank, score): the best turns and facts of each query's user."""
         asked = queries.select("query_id", F.col("user_id").alias("corpus"), "text")
         turns = self.tables["turns"]
-        hits = {"turn": lexical.score(lexical.postings(turns, "user_id", "turn_id", "content"), asked, 80)}
+        hits = {"turn": lexical.score(lexical.build(turns, "user_id", "turn_id", "content"), asked, 80)}
         if "facts" in self.tables:
             held = self.tables["facts"].withColumn("_text", F.concat_ws(" | ", "predicate", "object", "support"))
-            hits["fact"] = lexical.score(lexical.postings(held, "user_id", "fact_id", "_text"), asked, 80)
+            hits["fact"] = lexical.score(lexical.build(held, "user_id", "fact_id", "_text"), asked, 80)
         if route == "fusion":
             weight = {"turn": self.weights.weak_direct, "fact": self.weights.strong_direct}
             found = fusion.fuse([fusion.channel(h, name, weight[name], k, self.weights.heads) for k, (name, h) in enumerate(hits.items())]).withColumnRenamed("confidence", "score")

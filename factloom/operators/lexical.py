@@ -7,11 +7,13 @@ postings by term, so only the postings of terms that are asked for take part.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import search_tokens
+from ..sources.storage import kept, spread
 
 # The usual constants of BM25, and the floor for terms in most documents.
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -24,6 +26,23 @@ def postings(docs: DataFrame, corpus: str, unit: str, text: str) -> DataFrame:
     return each.groupBy("corpus", "unit", "length", "term").agg(F.count("term").alias("tf"))
 
 
+def build(docs: DataFrame, corpus: str, unit: str, text: str) -> DataFrame:
+    """The postings, written once to the shared folder: statistics, queries and hits read them from there."""
+    return kept(postings(spread(docs), corpus, unit, text), "postings")
+
+
+def stored(docs: DataFrame, corpus: str, unit: str, text: str, folder: str, version: str) -> DataFrame:
+    """The postings of a version of docs: read if that version was written before, else made and written."""
+    path = f"{folder.rstrip('/')}/version={version}"
+    try:
+        return docs.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    postings(docs, corpus, unit, text).write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(corpus, n, avgdl, mean_idf) and (corpus, term, idf), idf before the floor."""
     units = index.groupBy("corpus", "unit").agg(F.first("length").alias("length"))

@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import search_tokens
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def hashed(docs: DataFrame, corpus: str, unit: str, text: str, size: int = 64) -> DataFrame:
+    """(corpus, unit, v) without a model: tokens counted in as many places as v is long, a token's place by its hash."""
+    place = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % size
+    each = docs.select(F.col(corpus).alias("corpus"), F.col(unit).alias("unit"), F.explode(search_tokens(F.col(text))).alias("term"))
+    counted = each.groupBy("corpus", "unit", place.alias("b")).count().groupBy("corpus", "unit").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("_m"))
+    return counted.select("corpus", "unit", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0)).cast("double")).alias("v"))
+
+
+def degraded(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, degraded): the routes that a query has to do without, as its corpus has no vectors."""
+    known = vectors.select("corpus").distinct().withColumn("_k", F.lit(True))
+    return queries.join(known, "corpus", "left").select("query_id", F.when(F.col("_k"), F.array().cast("array<string>")).otherwise(F.array(F.lit("vector"))).alias("degraded"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, corpus, unit, similarity, rank) from vectors (corpus, unit, v) and queries (query_id, corpus, q).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import search_tokens
 from ..operators import fusion, lexical, vectors
 from ..sources.adapters import table, turns
-from ..sources.storage import spread
+from ..sources.storage import kept, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,7 +75,7 @@ asked AS (SELECT 'q_' || user_id AS query_id, user_id AS corpus, arg_min(text, c
 
 def turn_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     t = turns(spark, d)
-    return lexical.score(lexical.postings(t, "user_id", "turn_id", "content"), _turn_queries(t), k)
+    return kept(lexical.score(lexical.build(t, "user_id", "turn_id", "content"), _turn_queries(t), k), "hits")
 
 
 @_query("bm25_turns", "WITH" + SQL_TURN_ASK + sql_bm25(10) + "SELECT query_id, unit, rank, round(score, 4) AS score FROM hits")
@@ -91,9 +91,9 @@ WITH docs AS (SELECT source AS corpus, doc_id AS unit, text FROM documents),
 asked AS (SELECT DISTINCT 'q' AS query_id, source AS corpus, '{ASKED_TERMS}' AS text FROM documents),
 """ + sql_bm25(10) + "SELECT corpus, unit, rank, round(score, 4) AS score FROM hits")
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     asked = docs.select(F.col("source").alias("corpus")).distinct().select(F.lit("q").alias("query_id"), "corpus", F.lit(ASKED_TERMS).alias("text"))
-    return lexical.score(lexical.postings(docs, "source", "doc_id", "text"), asked, 10).select("corpus", "unit", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return lexical.score(lexical.build(docs, "source", "doc_id", "text"), asked, 10).select("corpus", "unit", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @_query("knn_cosine", """
@@ -125,8 +125,8 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(conf
 """
 
 
-def fused_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Three channels over turns: direct hits, the sessions of the first hits, and the speakers'."""
+def fused_turns(spark: SparkSession, d: str, more: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Three channels over turns: direct hits, the sessions of the first hits, and the speakers'; and any more."""
     w = fusion.Weights()
     t = turns(spark, d)
     hits = turn_hits(spark, d, 80).join(t.select(F.col("turn_id").alias("unit"), "session_id", "role"), "unit")
@@ -138,7 +138,7 @@ def fused_turns(spark: SparkSession, d: str) -> DataFrame:
 
     per_role = hits.select("*", F.row_number().over(Window.partitionBy("query_id", "role").orderBy("rank")).alias("_rr")).where(F.col("_rr") <= 3)
     entity = per_role.select("query_id", "unit", F.concat(F.lit("entity:"), "role").alias("head"), F.lit(w.strong_derived).alias("contribution"), ordinal(3).alias("ordinal"))
-    return fusion.fuse([direct, summary, entity])
+    return fusion.fuse([direct, summary, entity, *more])
 
 
 @_query("noisy_or_fusion", "WITH" + SQL_CHANNELS + "SELECT query_id, unit, rank, n_heads, round(confidence, 6) AS confidence FROM fused WHERE rank <= 20")
@@ -163,3 +163,69 @@ def rrf_wide(spark: SparkSession, d: str) -> DataFrame:
     second = second.select("query_id", "unit", "rank", F.greatest(F.lit(0.0), 1 - F.lit(0.03) * (F.col("rank") - 1)).alias("score"))
     routes = hits.select("query_id", "unit", "rank", "score").unionByName(second)
     return fusion.reciprocal(routes).select("query_id", "unit", F.round("score", 5).alias("score"))
+
+
+# Turns and questions as counts of tokens in 64 places.
+SQL_VECTORS = """,
+vt AS (SELECT corpus, unit, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*)::DOUBLE AS w FROM (SELECT corpus, unit, unnest(t) AS term FROM tok) GROUP BY ALL),
+vq AS (SELECT query_id, corpus, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, sum(times)::DOUBLE AS w FROM ask GROUP BY ALL),
+vd AS (SELECT query_id, vt.corpus, unit, sum(vt.w * vq.w) AS dot FROM vt JOIN vq ON vt.corpus = vq.corpus AND vt.b = vq.b GROUP BY ALL),
+vs AS (
+  SELECT query_id, a.unit, dot / (n * m) AS similarity FROM vd a JOIN (SELECT corpus, unit, sqrt(sum(w * w)) AS n FROM vt GROUP BY ALL) x ON a.corpus = x.corpus AND a.unit = x.unit
+  JOIN (SELECT query_id AS q, sqrt(sum(w * w)) AS m FROM vq GROUP BY ALL) y ON a.query_id = y.q),
+vhits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, unit) AS rank FROM vs) WHERE rank <= __K__)
+"""
+
+
+def vector_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    t = turns(spark, d)
+    asked = vectors.hashed(_turn_queries(t), "corpus", "query_id", "text").select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q"))
+    return vectors.nearest(vectors.hashed(spread(t), "user_id", "turn_id", "content"), asked, k).where(F.col("similarity") > 0).select("query_id", "unit", "similarity", "rank")
+
+
+@_query("vector_turns", "WITH" + SQL_TURN_ASK + sql_bm25(10) + SQL_VECTORS.replace("__K__", "10") + "SELECT query_id, unit, rank, round(similarity, 6) AS similarity FROM vhits")
+def vector_turns(spark: SparkSession, d: str) -> DataFrame:
+    return vector_hits(spark, d, 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@_query("fused_with_vectors", "WITH" + (SQL_CHANNELS.replace(",\nnear AS", SQL_VECTORS.replace("__K__", "10") + ",\nnear AS", 1)
+        .replace("UNION ALL SELECT * FROM ent)", "UNION ALL SELECT * FROM ent UNION ALL SELECT query_id, unit, unit, 'vector_turn', 0.2, 4000000 + rank FROM vhits)"))
+        + "SELECT query_id, unit, rank, n_heads, round(confidence, 6) AS confidence FROM fused WHERE rank <= 20")
+def fused_with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    w = fusion.Weights()
+    near = fusion.channel(vector_hits(spark, d, w.heads), "vector_turn", w.weak_direct, 4, w.heads)
+    fused = fused_turns(spark, d, (near,)).where(F.col("rank") <= 20)
+    return fused.select("query_id", "unit", F.col("rank").cast("long").alias("rank"), "n_heads", F.round("confidence", 6).alias("confidence"))
+
+
+@_query("rrf_four_routes", "WITH" + SQL_TURN_ASK + sql_bm25(80) + SQL_VECTORS.replace("__K__", "40") + """,
+place AS (SELECT h.query_id, h.rank AS pos, t.session_id, h.unit FROM hits h JOIN turn_docs t ON h.unit = t.turn_id),
+linked AS (
+  SELECT query_id, turn_id AS unit, row_number() OVER (PARTITION BY query_id ORDER BY pos, turn) AS rank
+  FROM (SELECT query_id, session_id, min(pos) AS pos FROM place GROUP BY ALL) s JOIN turn_docs t USING (session_id) WHERE pos <= 3),
+routes AS (
+  SELECT query_id, unit, rank, score, 'bm25' AS route FROM hits UNION ALL SELECT query_id, unit, rank, greatest(0, 1 - 0.03 * (rank - 1)), 'vector' FROM vhits
+  UNION ALL SELECT query_id, unit, rank, 0.9 - 0.02 * (rank - 1), 'linked' FROM linked UNION ALL SELECT query_id, unit, rank, 0.0, 'first' FROM hits WHERE rank <= 5),
+u AS (SELECT query_id, unit, sum(1.0::DOUBLE / (60 + rank) ORDER BY 1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS s, string_agg(route, ',' ORDER BY route) AS routes FROM routes GROUP BY ALL)
+SELECT query_id, unit, routes, round(rrf + least(s, 5) * 0.05, 5) AS score FROM u
+""")
+def rrf_four_routes(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    t = turns(spark, d).select(F.col("turn_id").alias("unit"), "session_id", "idx")
+    hits, near = turn_hits(spark, d, 80), kept(vector_hits(spark, d, 40), "vector-hits")
+    first = hits.join(t, "unit").groupBy("query_id", "session_id").agg(F.min("rank").alias("_at")).where(F.col("_at") <= 3)
+    linked = first.join(t, "session_id").select("query_id", "unit", F.row_number().over(Window.partitionBy("query_id").orderBy("_at", "idx")).alias("rank"))
+    route = lambda df, name, score: df.select("query_id", "unit", F.lit(name).alias("route"), "rank", score.cast("double").alias("score"))
+    step = F.col("rank") - 1
+    routes = route(hits, "bm25", F.col("score")).unionByName(route(near, "vector", F.greatest(F.lit(0.0), 1 - F.lit(0.03) * step)))
+    routes = kept(routes.unionByName(route(linked, "linked", 0.9 - F.lit(0.02) * step)).unionByName(route(hits.where("rank <= 5"), "first", F.lit(0.0))), "routes")
+    named = routes.groupBy("query_id", "unit").agg(F.array_join(F.array_sort(F.collect_list("route")), ",").alias("routes"))
+    return fusion.reciprocal(routes).join(named, ["query_id", "unit"]).select("query_id", "unit", "routes", F.round("score", 5).alias("score"))
+
+
+@_query("degraded_routes", "WITH" + SQL_TURNS + "q AS (SELECT DISTINCT user_id FROM turn_docs) SELECT 'q_' || user_id AS query_id, CASE WHEN user_id LIKE '%3' THEN 'vector' ELSE '' END AS degraded FROM q")
+def degraded_routes(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d)
+    have = t.where(~F.col("user_id").endswith("3")).select(F.col("user_id").alias("corpus"))
+    return vectors.degraded(_turn_queries(t), have).select("query_id", F.array_join("degraded", ",").alias("degraded"))

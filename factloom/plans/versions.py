@@ -9,6 +9,7 @@ from ..operators import facts as fx
 from ..operators import fusion, graph, maintenance
 from ..sources.adapters import facts, table
 from ..sources.adapters import graph as star
+from ..sources.storage import kept
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -188,7 +189,7 @@ s3 AS (SELECT start, 3 AS step, src, edge_type, dst FROM f2 JOIN star ON node =
 every AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)
 SELECT start, step, src, edge_type, dst FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY step, src, edge_type, dst) AS r FROM every) WHERE r <= 25""")
 def explore_bfs3(spark: SparkSession, d: str) -> DataFrame:
-    edges = star(spark, d)
+    edges = kept(star(spark, d), "star")
     starts = edges.where(F.col("src").startswith("customer:")).select(F.col("src").alias("start")).distinct()
     return graph.explore(starts, edges, 3, limit=25)
 

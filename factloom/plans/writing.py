@@ -127,6 +127,24 @@ def stream_supersede(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@_query("stream_windows", ORACLES["extract_windows"])
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    out, checkpoint = shared_folder(spark, "windows"), shared_folder(spark, "windows-state")
+    schema = table(spark, d, "conversations").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    session = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
+    cost = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
+    given = raw.where(F.trim("text") != "").select(F.concat(F.lit("u"), (F.col("conv_id") % 20).cast("string")).alias("user_id"), session.alias("session_id"), F.col("turn").alias("idx"), cost.alias("cost"), F.lit(False).alias("ends"))
+    windows = state.extract_windows(given, 120, 3)
+    windows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.parquet(out)
+    # What is still open when the stream is read out: the turns after the last closed window, fewer than fill one.
+    after = turns(spark, d).join(closed.groupBy("session_id").agg(F.max("last_idx").alias("_l"), F.max("window").alias("_w")), "session_id", "left").where(F.col("_l").isNull() | (F.col("idx") > F.col("_l")))
+    rest = ingest.extract_windows(after, most_tokens=120, most_turns=3).drop("reason").join(after.select("session_id", "_w").distinct(), "session_id")
+    rest = rest.withColumn("window", F.coalesce(F.col("_w") + 1, F.lit(0)) + F.col("window")).drop("_w")
+    return closed.drop("reason").unionByName(rest)
+
+
 @_query("event_windows", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

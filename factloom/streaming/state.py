@@ -57,3 +57,38 @@ def supersede_stream(facts: DataFrame, slot: list[str]) -> DataFrame:
         yield pd.DataFrame(rows, columns=[*slot, "loser", "winner", "valid_until"])
 
     return facts.groupBy(*slot).applyInPandasWithState(update, out, "start long, fact string", "append", GroupStateTimeout.NoTimeout)
+
+
+def extract_windows(turns: DataFrame, most_tokens: int = 1200, most_turns: int = 12) -> DataFrame:
+    """Windows of turns as sessions go on: (user_id, session_id, window, first_idx, last_idx, n_turns, n_tokens, reason).
+
+    turns (user_id, session_id, idx, cost, ends boolean). The state of a session is its open window; a turn that would take
+    it over its tokens closes it before, the last turn that it may hold and a turn that ends the session close it after. Turns of
+    one batch are taken in order; a batch is expected to bring later turns than the one before.
+    """
+    out = "user_id string, session_id string, window int, first_idx long, last_idx long, n_turns int, n_tokens long, reason string"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, first, last, n, tokens = state.get if state.exists else (0, 0, 0, 0, 0)
+        rows = []
+
+        def close(reason: str) -> None:
+            nonlocal number, n, tokens
+            if n:
+                rows.append((*key, number, first, last, n, tokens, reason))
+                number, n, tokens = number + 1, 0, 0
+
+        for idx, cost, ends in pd.concat(list(batches)).sort_values("idx")[["idx", "cost", "ends"]].itertuples(index=False):
+            if n and tokens + cost > most_tokens:
+                close("max_tokens")
+            if n == 0:
+                first = int(idx)
+            last, n, tokens = int(idx), n + 1, tokens + int(cost)
+            if n >= most_turns:
+                close("max_turns")
+            if ends:
+                close("session_end")
+        state.update((number, first, last, n, tokens))
+        yield pd.DataFrame(rows, columns=["user_id", "session_id", "window", "first_idx", "last_idx", "n_turns", "n_tokens", "reason"])
+
+    return turns.groupBy("user_id", "session_id").applyInPandasWithState(update, out, "number int, first long, last long, n int, tokens long", "append", GroupStateTimeout.NoTimeout)

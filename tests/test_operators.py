@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import context, evidence, facts, filters, fusion, graph, ingest, items, maintenance, ops, vectors
+from factloom.operators import context, evidence, facts, filters, fusion, graph, ingest, items, lexical, maintenance, ops, vectors
 from factloom.sources.storage import Store, VersionMismatch
 
 
@@ -219,3 +219,11 @@ def test_date_policy(spark):
 def test_a_pool_of_external_rows_alone_stays(spark):
     rows = spark.createDataFrame([("a", 1, "external_info", "where"), ("b", 1, "external_info", "where"), ("b", 2, None, "where"), ("c", 1, "external_info", "What did you say?"), ("c", 2, "fact", "What did you say?")], "q string, n int, modality string, question string")
     assert sorted((r["q"], r["n"]) for r in evidence.drop_external(rows, "q", "question").collect()) == [("a", 1), ("b", 2), ("c", 1), ("c", 2)]
+
+
+def test_an_index_is_read_again_by_version(spark, tmp_path):
+    docs = spark.createDataFrame([("c", "a", "red bus"), ("c", "b", "red car")], "corpus string, unit string, text string")
+    first = lexical.stored(docs, "corpus", "unit", "text", str(tmp_path), "1")
+    again = lexical.stored(docs.limit(0), "corpus", "unit", "text", str(tmp_path), "1")
+    assert first.count() == again.count() == 4
+    assert lexical.stored(docs.limit(1), "corpus", "unit", "text", str(tmp_path), "2").count() == 2
