@@ -52,6 +52,8 @@ FEW = 8
 #: Rows of ids (16 bytes each) that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 NO_KEY = -(2**63)
+#: Rows that a task hands over at once, about, where one row in makes many.
+MOST_ROWS = 300_000
 
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -172,7 +174,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).fill_null(NO_KEY).to_numpy(zero_copy_only=False)
-            keys, prints, notes = [], [], []
+            keys, prints, notes, total = [], [], [], 0
             for k, body in zip(ids, batch.column(1), strict=True):
                 found = shingles(body.as_py())
                 fp = fingerprint(found)
@@ -181,9 +183,10 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys += [np.array([k], np.int64), own.view(np.int64)]
                 prints.append(np.full(len(own) + 1, fp, np.int64))
                 notes += [np.array([-1 - len(found)], np.int32), note]
-                if sum(map(len, notes[-2000:])) > 2_000_000:
+                total += len(own) + 1
+                if total > MOST_ROWS:
                     yield _batch(keys, prints, notes)
-                    keys, prints, notes = [], [], []
+                    keys, prints, notes, total = [], [], [], 0
             if keys:
                 yield _batch(keys, prints, notes)
 
@@ -288,16 +291,23 @@ def _differing(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.setxor1d(t, s, assume_unique=True) for s, t in zip(_lists(batch.column(6)), _lists(batch.column(7)), strict=True)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            at = pa.array(np.repeat(np.arange(len(found)), n))
-            size = np.array(list(map(len, _lists(batch.column(7)))), np.int64)
-            more = [pa.array(np.repeat(n, n)), pa.array(np.repeat(size, n)), pa.array(np.concatenate([*found, np.zeros(0, _U)]).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(6)] + more, [*fields, "n", "size", "token"])
-
-    fields = ["a", "b", "ca", "cb", "top", "outside"]
+            of_leader, of_member = _lists(batch.column(5)), _lists(batch.column(6))
+            first = 0
+            while first < len(batch):
+                last, found, total = first, [], 0
+                while last < len(batch) and total <= MOST_ROWS:
+                    found.append(np.setxor1d(of_leader[last], of_member[last], assume_unique=True))
+                    last, total = last + 1, total + len(found[-1])
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                size = np.fromiter(map(len, of_member[first:last]), np.int64, len(found))
+                at = pa.array(np.repeat(np.arange(first, last), n))
+                more = [pa.array(np.repeat(n, n)), pa.array(np.repeat(size, n)), pa.array(np.concatenate(found).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(5)] + more, [*fields, "n", "size", "token"])
+                first = last
+
+    fields = ["a", "b", "cb", "top", "outside"]
     chosen = _with_sets(members.select(fields), sets).select(*fields, "_sa", "_sb")
-    return chosen.mapInArrow(make, "a long, b long, ca long, cb long, top long, outside boolean, n long, size long, token long")
+    return chosen.mapInArrow(make, "a long, b long, cb long, top long, outside boolean, n long, size long, token long")
 
 
 def _clues(tokens: DataFrame) -> DataFrame:
@@ -316,6 +326,8 @@ def _clues(tokens: DataFrame) -> DataFrame:
     placed = shared.select("*", F.row_number().over(own.orderBy("price", "token")).alias("r"), F.count(F.lit(1)).over(own).alias("shared"))
     placed = placed.withColumn("place", F.col("n") - F.col("shared") + F.col("r") - 1).drop("price", "r", "shared")
     apart = F.expr("(size + size * 5 div 4) div 9")
+    # No partner shares less than this, so places beyond it need not be looked at by class.
+    placed = placed.where(F.col("place") <= F.col("n") - F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.lit(1), F.col("n") - apart) - apart) / 2)))
     kinds = F.sequence(_kind(F.greatest(F.lit(1), F.col("n") - apart)), _kind(F.col("n") + apart))
     least = lambda kind: F.greatest(F.lit(1), F.ceil((F.col("n") + _least_of(kind) - apart) / 2))
     chosen = placed.withColumn("_kinds", F.filter(kinds, lambda kind: F.col("place") <= F.col("n") - least(kind)))
@@ -333,7 +345,7 @@ def _other_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     # Members with the same top leader are compared under that one alone.
     elsewhere = (F.col("_t") == F.col("_u")) & (F.col("_t") != F.col("a"))
     open_groups = groups.where((F.col("off") > 0) & (F.col("n") > 1) & ~elsewhere).select("a", "n")
-    members = materialise(placed.join(open_groups, "a").select("a", "b", "ca", "cb", "top", (F.col("ca") != F.col("cb")).alias("outside"), "n"), "open-members")
+    members = materialise(placed.join(open_groups, "a").select("a", "b", "cb", "top", (F.col("ca") != F.col("cb")).alias("outside"), "n"), "open-members")
     apart = (F.col("cx") != F.col("cy")) & ((F.col("tx") != F.col("ty")) | (F.col("tx") == F.col("a"))) & (~F.col("oy") | (F.col("x") < F.col("y")))
 
     def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
