@@ -2,7 +2,7 @@
 
 ``train`` grows the trees on the driver from a sample of labelled rows that is bounded by
 ``most_rows`` (the keys with the smallest hashes, so it is the same at every run; of labels or
-texts repeated for one key the least counts). ``Forest`` holds them as flat arrays, and ``score`` walks all rows of a batch through
+texts repeated for one key one counts). ``Forest`` holds them as flat arrays, and ``score`` walks all rows of a batch through
 all trees at once in numpy, where the texts are read, with no shuffle.
 
 The inputs are statistics of the text alone (``STATISTICS``).
@@ -165,14 +165,16 @@ def train(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), key: s
     usable = labels.where(F.col("quality").isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     once = usable.groupBy(key).agg(F.min(F.col("quality").cast("int")).alias("_y"))
     sample = once.orderBy(F.xxhash64(key), key).limit(how.most_rows)
-    # At most most_rows narrow rows: a proven bound for the broadcast. One text a key, so for the rows below.
-    known = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), key).groupBy(key, "_y").agg(F.min("_text").alias("_text"))
+    # At most most_rows narrow rows: a proven bound for the broadcast.
+    known = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in b["_text"]], "y": b["_y"], "k": b["_k"]})
+            yield pd.DataFrame({"x": [statistics(t) for t in b["_text"]], "y": b["_y"], "k": b["_k"], "t": b["_t"]})
 
-    rows = known.select("_text", "_y", F.xxhash64(key, "_text").alias("_k")).mapInPandas(measure, "x array<double>, y int, k long").toPandas()
+    # Texts are measured where they are read; of texts with one key the one with the least hash counts, so there are most_rows at most.
+    measured = known.select("_text", "_y", F.xxhash64(key).alias("_k"), F.xxhash64(key, F.coalesce("_text", F.lit(""))).alias("_t")).mapInPandas(measure, "x array<double>, y int, k long, t long")
+    rows = measured.groupBy("k").agg(F.min(F.struct("t", "y", "x")).alias("r")).select("k", "r.y", "r.x").toPandas()
     rows = rows.sort_values(["k", "y"], kind="stable")  # tasks may end in any order
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(STATISTICS))
     return grow(x, rows["y"].to_numpy(float), how)
