@@ -20,7 +20,7 @@ import unicodedata
 from functools import lru_cache
 
 #: Bytes of stretches, about, whose results are kept; longer stretches than _LONGEST are never kept.
-_MOST_KEPT = 64_000_000
+_MOST_KEPT = 48_000_000
 _LONGEST = 1_000
 
 _SPACES = " \t\n\x0b\x0c\r"
