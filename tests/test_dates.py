@@ -1,5 +1,6 @@
 import pytest
 
+from factloom.functions import lunar
 from factloom.functions.dates import range_one, resolve_one
 
 
@@ -41,6 +42,26 @@ from factloom.functions.dates import range_one, resolve_one
         ("上周三", "2023-03-20", "past", "2023-03-15"),
         ("2022年5月", "2023-03-20", "past", "2022-05"),
         ("去年", "2023-03-20", "past", "2022"),
+        ("十五天前", "2023-03-20", "past", "2023-03-05"),
+        ("二十天前", "2023-03-20", "past", "2023-02-28"),
+        ("二十一天后", "2023-03-20", "past", "2023-04-10"),
+        ("大概三个礼拜之前", "2023-03-20", "past", "2023-02-27"),
+        ("三个月前", "2023-03-31", "past", "2022-12-31"),
+        ("三月前", "2023-03-20", "past", None),
+        ("9月10日前", "2023-10-20", "past", None),
+        ("2019年前", "2023-10-20", "past", None),
+        ("new year day", "2023-03-20", "past", "2023-01-01"),
+        ("春节", "2023-03-20", "past", "2023-01-22"),
+        ("春节", "2023-01-10", "future", "2022-02-01"),
+        ("next spring festival", "2023-03-20", "past", "2024-02-10"),
+        ("during last chinese new year's eve", "2023-03-20", "past", "2023-01-21"),
+        ("mid-autumn festival", "2023-12-01", "past", "2023-09-29"),
+        ("端午节那天", "2023-12-01", "past", "2023-06-22"),
+        ("this 重阳节", "2023-01-01", "past", "2023-10-23"),
+        ("腊八节", "2024-03-01", "past", "2024-01-18"),
+        ("labor day (china)", "2023-12-01", "past", "2023-05-01"),
+        ("children's day", "2023-12-01", "past", "2023-06-01"),
+        ("十一", "2023-12-01", "past", "2023-10-01"),
         ("whenever", "2023-03-20", "past", None),
         ("yesterday", "no day", "past", None),
         (None, None, "past", None),
@@ -52,7 +73,20 @@ def test_phrases(phrase, anchor, prefer, wanted):
 
 @pytest.mark.parametrize(
     ("phrase", "wanted"),
-    [("last week", ("2023-05-08", "2023-05-14")), ("past two months", ("2023-03-20", "2023-05-20")), ("for a week", ("2023-05-13", "2023-05-20")), ("过去三天", ("2023-05-17", "2023-05-20")), ("soon", None)],
+    [("last week", ("2023-05-08", "2023-05-14")), ("past two months", ("2023-03-20", "2023-05-20")), ("for a week", ("2023-05-13", "2023-05-20")), ("过去三天", ("2023-05-17", "2023-05-20")), ("过去二十五天", ("2023-04-25", "2023-05-20")), ("soon", None)],
 )
 def test_ranges(phrase, wanted):
     assert range_one(phrase, "2023-05-20") == wanted
+
+
+@pytest.mark.parametrize(
+    ("lunar_date", "wanted"),
+    [
+        ((1912, 1, 1), "1912-02-18"), ((1949, 1, 1), "1949-01-29"), ((1985, 1, 1), "1985-02-20"), ((2000, 1, 1), "2000-02-05"), ((2020, 1, 1), "2020-01-25"),
+        ((2021, 1, 1), "2021-02-12"), ((2025, 1, 1), "2025-01-29"), ((2026, 1, 1), "2026-02-17"), ((2033, 1, 1), "2033-01-31"), ((2034, 1, 1), "2034-02-19"),
+        ((2020, 8, 15), "2020-10-01"), ((2025, 8, 15), "2025-10-06"), ((2033, 8, 15), "2033-09-08"), ((2020, 5, 5), "2020-06-25"), ((2024, 12, 8), "2025-01-07"), ((1899, 1, 1), None),
+    ],
+)
+def test_lunar_days(lunar_date, wanted):
+    found = lunar.day_of(*lunar_date)
+    assert (found and found.isoformat()) == wanted
