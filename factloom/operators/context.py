@@ -67,3 +67,29 @@ def value_board(rows: DataFrame, group: Sequence[str], value: str, time: str, hi
     """The latest and best values of a group: by time and score, at most so many."""
     order = Window.partitionBy(*group).orderBy(F.desc(time), F.desc("score"), F.desc(value))
     return rows.select("*", hits.alias("score")).select("*", F.row_number().over(order).alias("position")).where(F.col("position") <= most)
+
+
+# What plans a board and a sweep are made for.
+BOARD_SHAPES = ("single_slot_current_value", "current_value", "historical_value")
+BOARD_INTENTS = ("current", "latest")
+SWEEP_SHAPES = ("enumeration", "aggregate_sum", "sum")
+
+
+def _sure(plan: Column, least: float) -> Column:
+    return F.coalesce(plan["confidence"].cast("string").try_cast("double"), F.lit(0.0)) >= least
+
+
+def _said(value: Column) -> Column:
+    return F.coalesce(value != "", F.lit(False))
+
+
+def board_is_due(plan: Column, least: float = 0.55) -> Column:
+    """Whether a plan (confidence, answer_shape, temporal_intent, metric, value_type) asks for a value board."""
+    shape = F.coalesce(plan["answer_shape"].isin(*BOARD_SHAPES) & plan["temporal_intent"].isin(*BOARD_INTENTS), F.lit(False))
+    return _sure(plan, least) & shape & _said(plan["metric"]) & _said(plan["value_type"])
+
+
+def sweep_is_due(plan: Column, least: float = 0.55) -> Column:
+    """Whether a plan (confidence, answer_shape, requires_sweep, object_type, actions array) asks for a sweep."""
+    wanted = F.coalesce(plan["requires_sweep"] & plan["answer_shape"].isin(*SWEEP_SHAPES), F.lit(False))
+    return wanted & _sure(plan, least) & (_said(plan["object_type"]) | (F.coalesce(F.size(plan["actions"]), F.lit(0)) > 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -199,3 +199,22 @@ def usage_merge(spark: SparkSession, d: str) -> DataFrame:
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d).select("object", "seq", (F.col("quantity") > 50).alias("correct"), F.col("event_type").alias("category"))
     return ops.run_summary(rows, "object", "seq", "correct", "category")
+
+
+@_query("plan_gates", f"""
+WITH {SQL_FACTS}, p AS (
+  SELECT seq, coalesce(TRY_CAST(['high', '0.55', '0.9', NULL, '0.3', '0.75', ''][seq % 7 + 1] AS DOUBLE), 0) AS c, ['current_value', 'enumeration', 'sum', 'historical_value', 'other'][seq % 5 + 1] AS shape,
+    ['current', 'latest', 'past'][seq % 3 + 1] AS intent, event_type AS metric, CASE WHEN seq % 11 <> 0 THEN 'number' ELSE '' END AS kind, object FROM facts)
+SELECT seq, c >= 0.55 AND shape IN ('current_value', 'historical_value') AND intent <> 'past' AND metric <> '' AND kind <> '' AS board,
+  seq % 2 = 0 AND c >= 0.55 AND shape IN ('enumeration', 'sum') AND (seq % 4 = 0 OR (seq % 13 <> 0 AND coalesce(object, '') <> '')) AS sweep FROM p""")
+def plan_gates(spark: SparkSession, d: str) -> DataFrame:
+    def one_of(*values: str | None) -> Column:
+        return F.get(F.array(*map(F.lit, values)), (F.col("seq") % len(values)).cast("int"))
+
+    plan = F.struct(
+        one_of("high", "0.55", "0.9", None, "0.3", "0.75", "").alias("confidence"), one_of("current_value", "enumeration", "sum", "historical_value", "other").alias("answer_shape"), one_of("current", "latest", "past").alias("temporal_intent"),
+        F.col("event_type").alias("metric"), F.when(F.col("seq") % 11 != 0, "number").otherwise("").alias("value_type"), (F.col("seq") % 2 == 0).alias("requires_sweep"),
+        F.when(F.col("seq") % 13 != 0, F.col("object")).alias("object_type"), F.when(F.col("seq") % 4 == 0, F.array(F.lit("buy"))).alias("actions"),
+    )
+    rows = facts(spark, d).select("seq", plan.alias("plan"))
+    return rows.select("seq", context.board_is_due(F.col("plan")).alias("board"), context.sweep_is_due(F.col("plan")).alias("sweep"))

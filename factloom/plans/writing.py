@@ -65,6 +65,26 @@ def date_range_core(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("anchor", "phrase", dates.resolve_range("phrase", "anchor").alias("r")).select("anchor", "phrase", "r.first", "r.last")
 
 
+#: Days of two festivals, from almanacs.
+SQL_FESTIVALS = """festivals AS (
+  SELECT 'spring' AS name, unnest(['1991-02-15', '1992-02-04', '1993-01-23', '1994-02-10', '1995-01-31', '1996-02-19', '1997-02-07', '1998-01-28', '1999-02-16', '2000-02-05', '2001-01-24', '2002-02-12', '2003-02-01'])::DATE AS day
+  UNION ALL SELECT 'autumn', unnest(['1991-09-22', '1992-09-11', '1993-09-30', '1994-09-20', '1995-09-09', '1996-09-27', '1997-09-16', '1998-10-05', '1999-09-24', '2000-09-12', '2001-10-01', '2002-09-21', '2003-09-11'])::DATE)"""
+
+
+@_query("festival_dates", f"""
+WITH {SQL_FESTIVALS}, o AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders),
+p AS (SELECT unnest(['春节', 'next spring festival', '中秋节', '十五天前', '二十三个星期以后']) AS phrase)
+SELECT strftime(d, '%Y-%m-%d') AS anchor, phrase, strftime(CASE phrase
+  WHEN '春节' THEN (SELECT max(day) FROM festivals WHERE name = 'spring' AND day <= d)
+  WHEN 'next spring festival' THEN (SELECT min(day) FROM festivals WHERE name = 'spring' AND day > d AND year(day) IN (year(d), year(d) + 1))
+  WHEN '中秋节' THEN (SELECT max(day) FROM festivals WHERE name = 'autumn' AND day <= d)
+  WHEN '十五天前' THEN d - 15 ELSE d + 161 END, '%Y-%m-%d') AS resolved FROM o, p""")
+def festival_dates(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("anchor")).distinct()
+    rows = days.select("anchor", F.explode(F.array(*map(F.lit, ["春节", "next spring festival", "中秋节", "十五天前", "二十三个星期以后"]))).alias("phrase"))
+    return rows.select("anchor", "phrase", dates.resolve("phrase", "anchor", F.lit("past")).alias("resolved"))
+
+
 @_query("spans_of_turns", f"WITH {SQL_TURNS} SELECT 'span_' || session_id || '_' || idx AS span_id, turn_id, sha256(content) AS text_hash FROM turns WHERE trim(content) <> ''")
 def spans_of_turns(spark: SparkSession, d: str) -> DataFrame:
     return ingest.spans(turns(spark, d)).select("span_id", "turn_id", "text_hash")
