@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """df with its columns of these names (in any case) under other names, and all its names as they now are, in order."""
+    taken, have = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    now = []
+    for c in df.columns:
+        new = c
+        while new.lower() in taken or (new != c and new.lower() in have):
+            new = "given_" + new
+        have.add(new.lower())
+        now.append(new)
+    return (df if now == df.columns else df.toDF(*now)), now
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 

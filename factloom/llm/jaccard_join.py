@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import materialise, release
+from .common import materialise, release, set_aside
 from .components import components
 
 WORDS = 5
@@ -429,11 +429,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def _keep_first_row(docs: DataFrame, key: str, text: str) -> DataFrame:
     """keep_first where keys are null or repeated: rows are told apart by numbers of their own."""
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    given, names = set_aside(docs, ["_row", "n_shingles", "component_id"])
+    key, text = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    numbered = materialise(given.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
     placed = materialise(join(numbered, "_row", text), "components")
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(text).alias("t"), F.col("_row").alias("r"))
     kept = numbered.join(placed, "_row").groupBy("component_id").agg(F.min(order)["r"].alias("_row")).select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+    return numbered.join(kept, "_row", "left_semi").select(*(F.col(new).alias(c) for new, c in zip(names, docs.columns, strict=True)))
 
 
 #: The same in DuckDB's SQL, by counting common shingles outright.

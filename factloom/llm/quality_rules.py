@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, set_aside
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -61,7 +61,10 @@ RULES = (
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures that the rules refer to; the helper columns do not stay."""
-    keep = [c for c in docs.columns if c not in MEASURES]
+    own = docs.select([c for c in docs.columns if c.lower() not in MEASURES or c == text])
+    given, keep = set_aside(own, (*MEASURES, *HELPERS))
+    back = {new: c for new, c in zip(keep, own.columns, strict=True) if c.lower() not in MEASURES}
+    docs, text = given, keep[own.columns.index(text)]
     body = F.coalesce(F.col(text), F.lit(""))
     squeezed = F.translate(body, " \t\n\x0b\x0c\r", "")
     has_word = "[^" + SPACE_CLASS[1:]
@@ -95,12 +98,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # The row's number (never below 0) keeps the optimiser from moving a condition on the
     # measures below these projections, where it would copy each helper wherever it is used.
     fixed = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
-    return four.select(*keep, *((_covered(F.col("_p")) + fixed).alias(c) if c == "n_repeat_words" else F.col(c) for c in MEASURES))
+    return four.select(*(F.col(new).alias(c) for new, c in back.items()), *((_covered(F.col("_p")) + fixed).alias(c) if c == "n_repeat_words" else F.col(c) for c in MEASURES))
 
 
 #: In the order in which they appear in the result.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_upper", "n_letters")
 
+#: Columns of the projections in between.
+HELPERS = ("_w", "_l", "_h", "_s", "_p")
+
 
 def _stop_words() -> list[str]:
     return sorted({w for words in STOP_WORDS.values() for w in words})
@@ -151,8 +157,10 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RUL
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that pass every rule, with the columns of docs."""
-    return judge(docs, text).filter("kept").select(docs.columns)
+    """The rows of docs that pass every rule, with the columns of docs, also those that have the name of a measure."""
+    given, names = set_aside(docs, (*MEASURES, "base_failed", "kept", "failed_rules"))
+    passed = judge(given, names[docs.columns.index(text)]).filter("kept")
+    return passed.select(*(F.col(new).alias(c) for new, c in zip(names, docs.columns, strict=True)))
 
 
 #: The same verdicts in DuckDB's SQL.
