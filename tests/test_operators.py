@@ -227,3 +227,46 @@ def test_an_index_is_read_again_by_version(spark, tmp_path):
     again = lexical.stored(docs.limit(0), "corpus", "unit", "text", str(tmp_path), "1")
     assert first.count() == again.count() == 4
     assert lexical.stored(docs.limit(1), "corpus", "unit", "text", str(tmp_path), "2").count() == 2
+
+
+def test_claims_keep_their_place_and_lose_unknown_evidence(spark):
+    from factloom.operators import settling
+
+    rows = [
+        (1, 0, "upsert", " c1 ", "first  version", ["e1", "x"], None), (1, 1, "upsert", "c2", "second", ["x"], "supported"), (2, 0, "upsert", "c1", "newer", ["e2", "e1", "e2"], "disputed"),
+        (3, 0, "retract", "c2", None, None, None), (3, 0, "upsert", "c3", "", ["e1"], None), (4, 5, "upsert", "c2", "back", [], "odd"), (4, 6, "upsert", "c4", "none", None, None), (5, 0, "retract", "c4", None, None, None), (5, 1, "upsert", "c4", "again", ["e1"], None), (6, 0, "retract", "c4", None, None, None),
+    ]
+    updates = spark.createDataFrame([("q", s, o, a, c, t, e, st, None) for s, o, a, c, t, e, st in rows], "question_id string, step int, ordinal int, action string, claim_id string, statement string, evidence_ids array<string>, status string, material boolean")
+    known = spark.createDataFrame([("q", "e1"), ("q", "e2"), ("other", "x")], "question_id string, evidence_id string")
+    found = [tuple(r)[1:] for r in settling.claims(updates, known).orderBy("position").collect()]
+    assert found == [("c1", "newer", ["e2", "e1"], [], "disputed", True, 1), ("c2", "back", [], [], "hypothesis", True, 2)]
+
+
+def test_a_cycle_can_run_again(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators import settling
+
+    made = spark.createDataFrame([("u", "e", "text")], "user_id string, entity_id string, text string")
+    none = spark.createDataFrame([], "user_id string, entity_id string, profile_id string, text string, status string, valid_from long, valid_until long")
+    stale = spark.createDataFrame([("u", "e"), ("u", "f")], "user_id string, entity_id string")
+    one, edges, left = settling.profile_cycle(none, made, stale, F.lit(5).cast("long"))
+    assert edges.count() == 0 and [r["entity_id"] for r in left.collect()] == ["f"]
+    again, edges, _ = settling.profile_cycle(one, made, stale, F.lit(6).cast("long"))
+    assert edges.count() == 0 and again.collect() == one.collect()
+    new, edges, _ = settling.profile_cycle(one, made.withColumn("text", F.lit("other")), stale, F.lit(7).cast("long"))
+    assert sorted((r["text"], r["status"], r["valid_from"], r["valid_until"]) for r in new.collect()) == [("other", "active", 7, None), ("text", "superseded", 5, 7)] and edges.count() == 1
+
+
+def test_turns_of_failed_jobs_are_sent_again(spark):
+    from factloom.operators import settling
+
+    cursors = spark.createDataFrame([("a", 0, 2, "j1"), ("b", 1, 2, "j2"), ("c", 1, 2, "j3"), ("d", 1, 0, None)], "session_id string, committed long, pending long, job_id string")
+    jobs = spark.createDataFrame([("j1", "succeeded"), ("j2", "failed"), ("j9", "failed")], "job_id string, status string")
+    settled = settling.settle_cursors(cursors, jobs)
+    assert sorted(map(tuple, settled.collect()), key=str) == [("a", 2, 0, None), ("b", 1, 0, None), ("c", 1, 2, "j3"), ("d", 1, 0, None)]
+    turns = spark.createDataFrame([(s, k) for s in "abcde" for k in range(3)], "session_id string, idx long")
+    due = settling.unsent(turns, settled)
+    assert sorted(map(tuple, due.collect())) == [("a", 2), ("b", 1), ("b", 2), ("d", 1), ("d", 2), ("e", 0), ("e", 1), ("e", 2)]
+    accepted = spark.createDataFrame([("a", 3, "k1"), ("b", 3, None), ("e", 3, None)], "session_id string, end long, new_job string")
+    assert sorted(map(tuple, settling.sent(settled, accepted).collect()), key=str) == [("a", 2, 3, "k1"), ("b", 3, 0, None), ("c", 1, 2, "j3"), ("d", 1, 0, None), ("e", 3, 0, None)]
