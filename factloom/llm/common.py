@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere in this subpackage: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -78,3 +79,21 @@ def release(*kept: DataFrame) -> None:
     for df in kept:
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that ``join_by_hot_key`` broadcasts: the most frequent ones, 16 bytes and the values each.
+HOT_KEYS = 10_000
+
+
+def join_by_hot_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, values: list[str]) -> DataFrame:
+    """rows with the values of by_key, one row a key with how often rows have it (``count``).
+
+    The HOT_KEYS most frequent keys are broadcast, so none of their rows is shuffled, and of the
+    other keys each has at most one row in HOT_KEYS: no task gets many rows of one key. Both inputs are
+    read twice and should be written tables; by_key holds every key of rows.
+    """
+    hot = by_key.orderBy(F.desc(count), key).limit(HOT_KEYS).select(key, *values, F.lit(True).alias("_hot"))
+    first = rows.join(F.broadcast(hot), key, "left")
+    done = first.where(F.col("_hot").isNotNull()).drop("_hot")
+    rest = first.where(F.col("_hot").isNull()).drop("_hot", *values).join(by_key.select(key, *values), key)
+    return done.unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, quote_linking, token_counts, url_rules
+from . import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, importance_resampling, jaccard_join, quality_rules, quality_trees, quote_linking, simhash_golay, token_counts, url_rules, whitening
 from .common import spread, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -65,6 +65,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.join(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    drawn = importance_resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+    return white.withColumn("deviation", white["deviation"].cast("long"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -84,4 +102,5 @@ ORACLES = {
     "op4_quote_linking": quote_linking.ORACLE,
     "op5_url_filters": url_rules.ORACLE,
     "op7_sharding": extendible_sharding.ORACLE.replace("__LIMIT__", str(SHARD_BYTES)),
+    "op12_importance_resampling": importance_resampling.ORACLE,
 }
