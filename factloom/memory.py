@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.runs import Limits
 from .functions.text import entity_id
 from .operators import context, facts, filters, fusion, graph, ingest, lexical
 from .sources.storage import Store
@@ -34,7 +35,7 @@ class MemoryFrame:
         return MemoryFrame(self.spark, self.tables | {"turns": old.unionByName(turns.join(old.select("turn_id"), "turn_id", "left_anti").select(old.columns))}, self.weights)
 
     def windows(self, most_tokens: int = 1200, most_turns: int = 12) -> DataFrame:
-        return ingest.extract_windows(self.tables["turns"], most_tokens, most_turns)
+        return ingest.extract_windows(self.tables["turns"], Limits(most_tokens, most_turns))
 
     def search(self, queries: DataFrame, limit: int = 10, route: str = "fusion", scope: Mapping[str, str] | None = None, scopes: DataFrame | None = None) -> DataFrame:
         """(query_id, user_id, unit, rank, score): the best turns and facts of each query's user."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.runs import Limits, Run
 from ..functions.text import canonical, plain, word_tokens
 
 
@@ -32,37 +33,29 @@ def spans(turns: DataFrame) -> DataFrame:
     return turns.where(body != "").select("user_id", "session_id", "turn_id", F.concat(F.lit("span_"), "session_id", F.lit("_"), F.col("idx").cast("string")).alias("span_id"), "idx", "role", F.col("content").alias("text"), F.sha2(F.col("content").cast("binary"), 256).alias("text_hash"), F.col("timestamp").alias("session_time"))
 
 
-def extract_windows(turns: DataFrame, most_tokens: int = 1200, most_turns: int = 12) -> DataFrame:
+def extract_windows(turns: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """(user_id, session_id, window, first_idx, last_idx, n_turns, n_tokens, reason): greedy runs of a session's turns.
 
-    A turn that would take a window over its tokens opens the next one; a window with all
-    its turns is closed. Sessions are bounded conversations; they are folded one by one.
+    A turn that would take a window over its tokens or characters opens the next one; a window with all
+    its turns is closed; turns may overlap (``Limits``). Sessions are bounded conversations; they are folded one by one.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows, n, tokens, first, last = [], 0, 0, 0, 0
+        run, closed = Run(limits), []
+        for idx, tokens, chars in group.sort_values("idx")[["idx", "cost", "chars"]].itertuples(index=False):
+            closed += run.add(int(idx), int(tokens), int(chars))
+        closed += run.end()
         key = (group["user_id"].iloc[0], group["session_id"].iloc[0])
+        return pd.DataFrame([(*key, *c) for c in closed], columns=["user_id", "session_id", "window", "first_idx", "last_idx", "n_turns", "n_tokens", "reason"])
 
-        def close(reason: str) -> None:
-            nonlocal n, tokens
-            if n:
-                rows.append((*key, len(rows), first, last, n, tokens, reason))
-            n = tokens = 0
-
-        for idx, cost in group.sort_values("idx")[["idx", "cost"]].itertuples(index=False):
-            if n and tokens + cost > most_tokens:
-                close("max_tokens")
-            if n == 0:
-                first = idx
-            n, tokens, last = n + 1, tokens + cost, idx
-            if n >= most_turns:
-                close("max_turns")
-        close("session_end")
-        return pd.DataFrame(rows, columns=["user_id", "session_id", "window", "first_idx", "last_idx", "n_turns", "n_tokens", "reason"])
+    return costed(turns).groupBy("user_id", "session_id").applyInPandas(fold, "user_id string, session_id string, window int, first_idx long, last_idx long, n_turns int, n_tokens long, reason string")
 
+
+def costed(turns: DataFrame) -> DataFrame:
+    """Turns with content (user_id, session_id, idx, cost in tokens, chars and the other columns but content)."""
     cost = F.greatest(F.lit(1), F.floor(F.length(plain(F.col("content"))) / 4)).cast("long")
-    costed = turns.where(F.trim(plain(F.col("content"))) != "").select("user_id", "session_id", F.col("idx").cast("long").alias("idx"), cost.alias("cost"))
-    return costed.groupBy("user_id", "session_id").applyInPandas(fold, "user_id string, session_id string, window int, first_idx long, last_idx long, n_turns int, n_tokens long, reason string")
+    there = turns.where(F.trim(plain(F.col("content"))) != "").withColumn("idx", F.col("idx").cast("long"))
+    return there.withColumn("cost", cost).withColumn("chars", F.length("content").cast("long")).drop("content")
 
 
 def recover_provenance(items: DataFrame, span_table: DataFrame, least_overlap: float = 0.8) -> DataFrame:

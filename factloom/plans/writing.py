@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.runs import Limits
 from ..operators import ingest, maintenance
 from ..sources.adapters import facts, table, turns
-from ..sources.storage import shared_folder
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ walk AS (
   FROM walk w JOIN c ON c.session_id = w.session_id AND c.k = w.k + 1)
 SELECT user_id, session_id, win AS "window", min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_turns, max(tokens)::BIGINT AS n_tokens FROM walk GROUP BY ALL""")
 def extract_windows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.extract_windows(turns(spark, d), most_tokens=120, most_turns=3).drop("reason")
+    return ingest.extract_windows(turns(spark, d), Limits(120, 3)).drop("reason")
 
 
 @_query("date_resolve_core", """
@@ -120,51 +120,6 @@ def stale_queue(spark: SparkSession, d: str) -> DataFrame:
     return ingest.drain(ingest.stale_entities(named), 5).select("user_id", "entity_id", "n_new", F.col("position").cast("long").alias("position"))
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """events as a stream of facts, from the files that are there."""
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.select(F.concat(F.lit("f"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("fact_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("valid_from"))
-
-
-@_query("stream_dirty_bits", f"WITH {SQL_FACTS} SELECT user_id, count(*) AS n_new, min(valid_from) AS first, max(valid_from) AS last FROM facts GROUP BY user_id")
-def stream_dirty_bits(spark: SparkSession, d: str) -> DataFrame:
-    out, checkpoint = shared_folder(spark, "dirty"), shared_folder(spark, "dirty-state")
-
-    def drain(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(out)
-
-    counters = state.dirty_counters(_event_stream(spark, d), "user_id")
-    counters.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(drain).start().awaitTermination()
-    return spark.read.parquet(out)
-
-
-@_query("stream_supersede", f"WITH {SQL_FACTS} SELECT * FROM (SELECT user_id, event_type, 'f' || lpad(seq::VARCHAR, 12, '0') AS loser, lead('f' || lpad(seq::VARCHAR, 12, '0')) OVER w AS winner, lead(valid_from) OVER w AS valid_until FROM facts WINDOW w AS (PARTITION BY user_id, event_type ORDER BY valid_from, seq)) WHERE winner IS NOT NULL")
-def stream_supersede(spark: SparkSession, d: str) -> DataFrame:
-    out, checkpoint = shared_folder(spark, "closings"), shared_folder(spark, "closings-state")
-    closings = state.supersede_stream(_event_stream(spark, d), ["user_id", "event_type"])
-    closings.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
-
-
-@_query("stream_windows", ORACLES["extract_windows"])
-def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    out, checkpoint = shared_folder(spark, "windows"), shared_folder(spark, "windows-state")
-    schema = table(spark, d, "conversations").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    session = F.concat(F.lit("s"), F.col("conv_id").cast("string"))
-    cost = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
-    given = raw.where(F.trim("text") != "").select(F.concat(F.lit("u"), (F.col("conv_id") % 20).cast("string")).alias("user_id"), session.alias("session_id"), F.col("turn").alias("idx"), cost.alias("cost"), F.lit(False).alias("ends"))
-    windows = state.extract_windows(given, 120, 3)
-    windows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.parquet(out)
-    # What is still open when the stream is read out: the turns after the last closed window, fewer than fill one.
-    after = turns(spark, d).join(closed.groupBy("session_id").agg(F.max("last_idx").alias("_l"), F.max("window").alias("_w")), "session_id", "left").where(F.col("_l").isNull() | (F.col("idx") > F.col("_l")))
-    rest = ingest.extract_windows(after, most_tokens=120, most_turns=3).drop("reason").join(after.select("session_id", "_w").distinct(), "session_id")
-    rest = rest.withColumn("window", F.coalesce(F.col("_w") + 1, F.lit(0)) + F.col("window")).drop("_w")
-    return closed.drop("reason").unionByName(rest)
-
-
 @_query("event_windows", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))

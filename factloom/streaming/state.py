@@ -1,4 +1,4 @@
-"""Streams of turns and facts: windows, dirty counters, and heads of slots out of order."""
+"""Streams of facts: windows of time, dirty counters, and heads of slots out of order."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def dirty_counters(facts: DataFrame, entity: str) -> DataFrame:
@@ -26,69 +26,39 @@ def windowed(events: DataFrame, time: str, size: str, slide: str | None, delay:
     return events.withWatermark(time, delay).groupBy(span, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def sessions(events: DataFrame, time: str, gap: str, delay: str, keys: list[str]) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
+class _Heads(StatefulProcessor):
+    def __init__(self, slot: list[str]):
+        self.slot = slot
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "start long, fact string")
 
-def supersede_stream(facts: DataFrame, slot: list[str]) -> DataFrame:
-    """Closings of facts as they arrive, in any order: (slot, loser, winner, valid_until).
-
-    The state of a slot is its head (the greatest valid_from and id so far). A greater fact
-    closes the head, a lesser one is closed on arrival by the head. Late facts are compared
-    by key, so none is dropped by a watermark.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in facts.schema}
-    out = ", ".join([*(f"{c} {kinds[c]}" for c in slot), "loser string, winner string, valid_until long"])
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head = state.get if state.exists else None
-        rows = []
-        for batch in batches:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        head, out = (tuple(self.head.get()) if self.head.exists() else None), []
+        for batch in rows:
             for start, fact in batch.sort_values(["valid_from", "fact_id"])[["valid_from", "fact_id"]].itertuples(index=False):
                 new = (int(start), fact)
                 if head is None:
                     head = new
-                elif new > tuple(head):
-                    rows.append((*key, head[1], fact, new[0]))
+                elif new > head:
+                    out.append((*key, head[1], fact, new[0]))
                     head = new
-                elif new < tuple(head):
-                    rows.append((*key, fact, head[1], int(head[0])))
-        state.update(tuple(head))
-        yield pd.DataFrame(rows, columns=[*slot, "loser", "winner", "valid_until"])
+                elif new < head:
+                    out.append((*key, fact, head[1], head[0]))
+        self.head.update(head)
+        yield pd.DataFrame(out, columns=[*self.slot, "loser", "winner", "valid_until"])
 
-    return facts.groupBy(*slot).applyInPandasWithState(update, out, "start long, fact string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def extract_windows(turns: DataFrame, most_tokens: int = 1200, most_turns: int = 12) -> DataFrame:
-    """Windows of turns as sessions go on: (user_id, session_id, window, first_idx, last_idx, n_turns, n_tokens, reason).
+def supersede_stream(facts: DataFrame, slot: list[str]) -> DataFrame:
+    """Closings of facts as they arrive, in any order: (slot, loser, winner, valid_until).
 
-    turns (user_id, session_id, idx, cost, ends boolean). The state of a session is its open window; a turn that would take
-    it over its tokens closes it before, the last turn that it may hold and a turn that ends the session close it after. Turns of
-    one batch are taken in order; a batch is expected to bring later turns than the one before.
+    The state of a slot is its head (the greatest valid_from and id so far). A greater fact
+    closes the head, a lesser one is closed on arrival by the head. Late facts are compared
+    by key, so none is dropped by a watermark.
     """
-    out = "user_id string, session_id string, window int, first_idx long, last_idx long, n_turns int, n_tokens long, reason string"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, first, last, n, tokens = state.get if state.exists else (0, 0, 0, 0, 0)
-        rows = []
-
-        def close(reason: str) -> None:
-            nonlocal number, n, tokens
-            if n:
-                rows.append((*key, number, first, last, n, tokens, reason))
-                number, n, tokens = number + 1, 0, 0
-
-        for idx, cost, ends in pd.concat(list(batches)).sort_values("idx")[["idx", "cost", "ends"]].itertuples(index=False):
-            if n and tokens + cost > most_tokens:
-                close("max_tokens")
-            if n == 0:
-                first = int(idx)
-            last, n, tokens = int(idx), n + 1, tokens + int(cost)
-            if n >= most_turns:
-                close("max_turns")
-            if ends:
-                close("session_end")
-        state.update((number, first, last, n, tokens))
-        yield pd.DataFrame(rows, columns=["user_id", "session_id", "window", "first_idx", "last_idx", "n_turns", "n_tokens", "reason"])
-
-    return turns.groupBy("user_id", "session_id").applyInPandasWithState(update, out, "number int, first long, last long, n int, tokens long", "append", GroupStateTimeout.NoTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in facts.schema}
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in slot), "loser string, winner string, valid_until long"])
+    return facts.groupBy(*slot).transformWithStateInPandas(_Heads(slot), out, "Append", "None")
