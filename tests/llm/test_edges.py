@@ -21,7 +21,7 @@ TEXTS = [
 NAMES = """a at b before ca cb component component_id conv degree end_id errors fp found h hash held_out home host ids ids_crc32 item item_id items kept
 key labels least length link mined_rule n n_bytes n_chars n_dup_lines n_quotes n_repeat_words n_shingles n_symbols n_tokens n_words node note offset over_limit
 p parent_conv parent_turn path piece place position predicted pos quality rule row said score sequence_id shard size start t thread_id token top toxic u v
-verdict word_chars wrapper _b _c _e _h _k _l _n _q _r _row _s _sa _sb _t _text _token _tokens _u _w""".split()
+verdict word_chars wrapper _at _host _html _part _parts _page _path _salt _url _own_host _own_path _b _c _e _h _k _l _n _q _r _row _s _sa _sb _t _text _token _tokens _u _w""".split()
 
 
 def documents(spark, given=TEXTS):

@@ -3,8 +3,10 @@ ties, repeated rows, empty tables, further columns."""
 
 import json
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -288,23 +290,30 @@ def test_main_text_of_pages(spark):
 
 def test_wrappers_join_beyond_the_broadcast_limit(spark, monkeypatch):
     frame = table(spark, FOLDER, "pages")
+    more = [(10_000 + k, f"http://n.io/{k}", neutral(f"<p>{words_of(k)}</p>", k)) for k in range(9)] + [(20_000, None, None)]
+    frame = frame.select("page_id", "url", "html").union(spark.createDataFrame(more, frame.select("page_id", "url", "html").schema))
     usual = {tuple(r) for r in html_wrappers.extract_pages(frame).select("page_id", "text").collect()}
+    assert (10_003, words_of(3)) in usual
     monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in html_wrappers.extract_pages(frame).select("page_id", "text").collect()} == usual
 
 
-def test_wrapper_learns_repeats_options_slots_and_template_texts():
-    pages = [page(f"T{k}", "".join(f"<p>text {k} {j}</p>" for j in range(k + 1)) + "<p>Subscribe to us</p>" + ("<blockquote>q</blockquote>" if k % 2 else "")) for k in range(5)]
-    found = html_wrappers.infer(pages)
-    assert found["path"] == ["html", "body", "article"] and found["fixed"] == ["Subscribe to us"]
-    assert "(<p>#slot</>)+" in found["regex"] and "(<blockquote>" in found["regex"]
-    assert html_wrappers.extract(pages[1], found) == "T1 text 1 0 text 1 1 q"
+def test_expression_learns_repeats_options_slots_and_constants():
+    pages = [bare("".join(f"<p>{words_of(9 * k + j)}</p>" for j in range(k + 1)), k) + ("<blockquote>q</blockquote>" if k % 2 else "") for k in range(5)]
+    found = html_wrappers.infer(pages)["expression"]
+    text = html_wrappers.regex(found)
+    assert found["pages"] == 5 and text.startswith("Home | News | ")
+    assert "(#slot)+" in text and "(q)?" in text and "Page #slot" in text
 
 
 def neutral(article, k, tail="All rights are with the owners of this site."):
     return f'<html><body><div class="x"><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></div><div class="y">{article}</div><div class="z"><p>{tail}</p><p>Page {k}</p></div></body></html>'
 
 
+def bare(article, k, tail="All rights are with the owners of this site."):
+    return neutral(article, k, tail).removesuffix("</body></html>")
+
+
 def extracted(spark, pages):
     frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     return {r["page_id"]: r["text"] for r in html_wrappers.extract_pages(frame).collect()}
@@ -320,7 +329,7 @@ def test_constants_go_where_no_name_says_what_the_article_is(spark):
     texts = [words_of(k) for k in range(8)]
     pages = [("http://n.io/0", neutral(f"<p>{texts[0]}</p>", 0))] * 40 + [(f"http://n.io/{k}", neutral(f"<p>{t}</p>", k)) for k, t in enumerate(texts)]
     found = extracted(spark, pages)
-    assert [found[40 + k] for k in range(8)] == [f"{t} Page {k}" for k, t in enumerate(texts)] and found[0] == found[40]
+    assert [found[40 + k] for k in range(8)] == texts and found[0] == found[40]
     plain = html_wrappers.infer([h for _, h in pages])
     assert [html_wrappers.extract(h, plain) for _, h in pages] == list(found.values())
 
@@ -335,6 +344,43 @@ def test_what_near_copies_or_some_pages_share_stays(spark):
     assert all((licence in found[6 + k]) == (k < 20) for k in range(40))
 
 
+@pytest.mark.parametrize("n", [3, 4, 8, 100])
+def test_article_text_stays_however_many_pages_a_host_has(spark, n):
+    licence = words_of(99, 12)
+    court = lambda k: f'<p>Court {k}.</p><div class="legal">Law {words_of(k)}</div><section class="search">Search {words_of(300 + k)}</section><div class="side">Side {words_of(600 + k)}</div>'
+    named = [("http://a.io/", page(f"T{k}", f"<p>By Ann Lee.</p>{court(k)}<p>{licence}</p>")) for k in range(n)]
+    notice = lambda k: f'<div class="box7">Get our letter weekly {k}</div>'
+    plain = [("http://p.io/", neutral(f"<p>{words_of(k)}</p><p>By Ann Lee.</p><p>{words_of(400 + k)}</p>", k).replace("</body>", notice(k) + "</body>")) for k in range(n)]
+    found = extracted(spark, named + plain)
+    wanted = [f"T{k} By Ann Lee. Court {k}. Law {words_of(k)} Search {words_of(300 + k)} Side {words_of(600 + k)} {licence}" for k in range(n)]
+    assert [found[k] for k in range(n)] == wanted
+    assert [found[n + k] for k in range(n)] == [f"{words_of(k)} By Ann Lee. {words_of(400 + k)}" for k in range(n)]
+
+
+def by_counting(pages):
+    """The texts of lists of blocks: without what all pages have before and behind what varies, numbers left out."""
+    mark = lambda b: re.sub(r"\d+", "", b)
+    held = Counter(m for blocks in pages for m in {mark(b) for b in blocks})
+    out = []
+    for blocks in pages:
+        there = [i for i, b in enumerate(blocks) if held[mark(b)] < len(pages)]
+        out.append(" ".join(blocks[there[0] : there[-1] + 1]) if there else "")
+    return out
+
+
+def test_expressions_of_random_templates_equal_counting(spark, monkeypatch):
+    monkeypatch.setattr(html_wrappers, "PART", 5)  # parts, and parts of parts
+    rng = random.Random(12)
+    frame, wanted = [], []
+    for h in range(4):
+        before, behind = ([words_of(1000 * h + k + at, rng.randint(2, 8)) for k in range(rng.randint(1, 4))] for at in (100, 200))
+        blocks = [[*before, *(words_of(rng.random(), rng.randint(10, 40)) for _ in range(rng.randint(1, 6))), *behind, f"Seen {k} times today"] for k in range(12)]
+        shape = rng.choice(["<p>{}</p>", "<div><div>{}</div></div>"])
+        frame += [(f"http://h{h}.io/{k}", "<html><body>" + "".join(shape.format(b) for b in page) + "</body></html>") for k, page in enumerate(blocks)]
+        wanted += by_counting(blocks)
+    assert list(extracted(spark, frame).values()) == wanted
+
+
 def test_pages_of_another_template_have_their_own_article(spark):
     one = [("http://t.io/", f'<div class="content"><p>{words_of(k)}</p></div>') for k in range(20)]
     two = [("http://t.io/", f'<div class="content"><p>Box {k}</p></div><div class="story"><p>{words_of(50 + k)}</p></div>') for k in range(3)]
