@@ -90,7 +90,7 @@ def join_by_hot_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, va
 
     The HOT_KEYS most frequent keys are broadcast, so none of their rows is shuffled, and of the
     other keys each has at most one row in HOT_KEYS: no task gets many rows of one key. Both inputs are
-    read twice and should be written tables; by_key holds every key of rows.
+    read twice; by_key should be a written table and holds every key of rows.
     """
     hot = by_key.orderBy(F.desc(count), key).limit(HOT_KEYS).select(key, *values, F.lit(True).alias("_hot"))
     first = rows.join(F.broadcast(hot), key, "left")

@@ -2,14 +2,15 @@
 
 ``mine`` lets Spark's FP-growth find the combinations of URL tokens that go with bad
 labels; support, confidence and redundancy prune them. Tokens that make a rule alone are
-taken first, and of a URL that has more than ``most_items`` others the miner sees those that
-lean most to bad labels, as the number of combinations doubles with each token. The counts
-of what it finds are then taken over all labelled rows. ``verdicts`` judges every URL, whole:
+taken first. Tokens that stand on the same labelled rows are one item, as no rule needs two of them, and
+tokens on all rows are none. FP-growth makes all combinations of a row's items, twice as many with
+each; so where a row has more than ``most_items``, the combinations are found level by level instead
+(``_by_levels``), which leaves out those that a shorter one implies, and gives the same rules. The counts
+of what is found are then taken over all labelled rows. ``verdicts`` judges every URL, whole:
 listed rules first (the longest that fits), else the mined rules, matched through an
 inverted index from token to rule. Only DataFrame functions are used.
 
-The mined rules that remain are few: each needs ``min_count`` labelled pages. The urls are
-matched as distinct texts, so a page repeated often costs no more than one.
+The urls are matched as distinct texts, so a page repeated often costs no more than one.
 
 Defined results for edge cases: a null URL, or one without ``://``, has an empty host and
 path, no tokens and the verdict allow; very long URLs are judged whole; repeated rows are
@@ -21,16 +22,16 @@ labels do not.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, set_aside
+from .common import join_by_hot_key, materialise, release, set_aside
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BAD = "=bad"
 RESULTS = ("host", "path", "rule", "verdict")
 
 
@@ -52,7 +53,7 @@ class ListedRule:
 class Mining:
     """min_count and min_share bound the support from below, confidence is in percent.
 
-    most_items bounds the tokens of one URL that are combined with each other.
+    Up to most_items items a row FP-growth is used, beyond it the search by levels.
     """
 
     min_count: int = 20
@@ -112,6 +113,65 @@ def _smallest(sure: DataFrame) -> DataFrame:
     return sure if kept is None else kept
 
 
+def _items(each: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(_token, item): tokens that stand on the same rows share an item, the least of them. Tokens of all rows have none.
+
+    Sets of rows are told apart by their number and two sums of hashes.
+    """
+    prints = each.groupBy("_token").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("_r", F.lit(k)).cast("decimal(38,0)")).alias(f"_s{k}") for k in (1, 2)))
+    some = prints.join(counts.select("_token"), "_token").where(F.col("n") < total)
+    least = some.groupBy("n", "_s1", "_s2").agg(F.min("_token").alias("item"), F.collect_list("_token").alias("_all"))
+    return least.select("item", F.explode("_all").alias("_token"))
+
+
+def _by_growth(items: DataFrame, least: int) -> DataFrame:
+    """(antecedent, n_bad) of the combinations of two or more items (_i) on at least so many rows."""
+    held = items.count()
+    if held < least:
+        return items.select(F.col("_i").alias("antecedent"), F.lit(0).cast("long").alias("n_bad")).limit(0)
+    growth = FPGrowth(itemsCol="_i", minSupport=max(least - 0.5, 0.5) / held, minConfidence=0.0)
+    return growth.fit(items).freqItemsets.where(F.size("items") > 1).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("n_bad"))
+
+
+def _by_levels(rows: DataFrame, sure: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
+    """The antecedents of two or more items that are sure, from rows (_r, _b, _i), each from parts that are not.
+
+    A combination is followed only if it has the support, is not sure itself (no rule needs more), and
+    stands on fewer rows than each of its parts. Otherwise the item that a part already implies can be
+    left out of every longer combination.
+    """
+    item = rows.select("_r", "_b", F.explode("_i").alias("x"))
+    level = materialise(item.select("_r", "_b", F.array("x").alias("antecedent")), "level")
+    known = level.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n"))
+    found, size = None, 2
+    while level.limit(1).count():
+        longer = level.join(item.select("_r", "x"), "_r").where(F.col("x") > F.element_at("antecedent", -1)).select("_r", "_b", F.array_append("antecedent", F.col("x")).alias("antecedent"))
+        counts = longer.groupBy("antecedent").agg(F.count(F.lit(1)).alias("n"), F.count_if("_b").alias("n_bad")).where(F.col("n_bad") >= least)
+        parts = counts.select("antecedent", "n", F.explode(F.transform("antecedent", lambda x: F.array_remove("antecedent", x))).alias("_part"))
+        free = parts.join(known.select(F.col("antecedent").alias("_part"), F.col("n").alias("_n")), "_part").where(F.col("n") < F.col("_n"))
+        free = free.groupBy("antecedent").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == size).select("antecedent")
+        counts = materialise(counts.join(free, "antecedent"), "level-counts")
+        certain = sure(counts).select("antecedent")
+        found = certain if found is None else found.union(certain)
+        known = counts.join(certain, "antecedent", "left_anti").select("antecedent", "n")
+        before, level = level, materialise(longer.join(known.select("antecedent"), "antecedent"), "level")
+        release(before)
+        size += 1
+    release(level)
+    return level.select("antecedent").limit(0) if found is None else found
+
+
+def _spelled(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """antecedents of items as those of tokens: one for each choice of the tokens that share an item."""
+    out = sets.select(F.col("antecedent").alias("_left"), F.array().cast("array<string>").alias("antecedent"))
+    names = items.select(F.col("item").alias("_item"), "_token")
+    for _ in range(sets.agg(F.max(F.size("antecedent"))).first()[0] or 0):
+        done = out.where(F.size("_left") == 0)
+        more = out.where(F.size("_left") > 0).join(names, F.get("_left", F.lit(0)) == F.col("_item"))
+        out = done.union(more.select(F.slice("_left", 2, 10_000).alias("_left"), F.array_append("antecedent", F.col("_token")).alias("antecedent")))
+    return out.select(F.array_sort("antecedent").alias("antecedent"))
+
+
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     """(antecedent array<string>, n, n_bad) from rows (url, bad): pruned rules for bad.
 
@@ -127,31 +187,28 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     counts = each.groupBy("_token").agg(F.count(F.lit(1)).alias("n"), F.count_if("_b").alias("n_bad")).where(F.col("n_bad") >= least)
     counts = materialise(counts, "token-counts")
     alone = sure(counts.select(F.array("_token").alias("antecedent"), "n", "n_bad"))
-    # What is left for combinations, the tokens that lean most to bad first.
     others = counts.where(F.col("n_bad") * 100 < F.col("n") * how.confidence)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n_bad") / F.col("n")).alias("lean"), F.col("_token").alias("token"))))
-    items = each.join(others, "_token").groupBy("_r", "_b").agg(F.slice(ranked, 1, how.most_items)["token"].alias("_i"))
-    items = items.where(F.size("_i") > 1).select(F.when(F.col("_b"), F.concat("_i", F.array(F.lit(_BAD)))).otherwise(F.col("_i")).alias("items"))
-    items = materialise(items, "items")
-    held = items.count()
-    if held < least:
-        return alone
-    growth = FPGrowth(itemsCol="items", minSupport=max(least - 0.5, 0.5) / held, minConfidence=0.0)
-    sets = growth.fit(items).freqItemsets.where(F.size(F.array_remove("items", _BAD)) > 1)
-    keyed = sets.select(F.array_contains("items", _BAD).alias("bad"), F.array_sort(F.array_remove("items", _BAD)).alias("antecedent"), F.col("freq"))
-    both = keyed.groupBy("antecedent").agg(F.max(F.when(~F.col("bad"), F.col("freq"))).alias("n"), F.max(F.when(F.col("bad"), F.col("freq"))).alias("n_bad"))
-    # Few sets are sure in what the miner saw; those are counted over all rows, whole.
-    likely = materialise(sure(both).select("antecedent"), "likely-rules")
+    items = materialise(_items(each, others, total), "items")
+    with_items = each.join(items.where("_token = item"), "_token").groupBy("_r", "_b").agg(F.sort_array(F.collect_list("item")).alias("_i"))
+    with_items = materialise(with_items.where(F.size("_i") > 1), "rows-of-items")
+    if (with_items.agg(F.max(F.size("_i"))).first()[0] or 0) <= how.most_items:
+        frequent = materialise(_by_growth(with_items.where("_b").select("_i"), least).select("antecedent"), "frequent-sets")
+        likely = sure(_holding(with_items.select("_b", F.col("_i").alias("_t")), frequent, counts)).select("antecedent")
+    else:
+        likely = _by_levels(with_items, sure, least)
+    likely = materialise(_spelled(_smallest(materialise(likely.distinct(), "likely-items")), items), "likely-rules")
     together = materialise(sure(_holding(rows, likely, counts)), "sure-rules")
     return alone.union(_smallest(together))
 
 
 def blocked_urls(urls: DataFrame, mined: DataFrame) -> DataFrame:
-    """The distinct urls that hold all tokens of a mined rule, with the first such rule's text."""
-    index = mined.select(F.explode("antecedent").alias("_token"), F.concat_ws(" & ", "antecedent").alias("mined_rule"), F.size("antecedent").alias("_need"))
-    held = urls.where(F.col("url").isNotNull()).select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("_token"))
-    hits = held.join(index, "_token").groupBy("url", "mined_rule", "_need").count().where(F.col("count") == F.col("_need"))
-    return hits.groupBy("url").agg(F.min("mined_rule").alias("mined_rule"))
+    """The urls that hold all tokens of a mined rule, once each, with the first such rule's text. Each rule is looked up by its rarest token."""
+    index = mined.select("antecedent", F.explode("antecedent").alias("_token"))
+    held = urls.where(F.col("url").isNotNull()).select("url").distinct().select("url", tokens(F.col("url")).alias("_t")).select("url", "_t", F.explode("_t").alias("_token"))
+    often = held.join(index.select("_token").distinct(), "_token").groupBy("_token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = index.join(often, "_token").groupBy("antecedent").agg(F.min(F.struct("n", "_token"))["_token"].alias("_token"))
+    hits = held.join(rarest, "_token").where(F.size(F.array_except("antecedent", "_t")) == 0)
+    return hits.groupBy("url").agg(F.min(F.concat_ws(" & ", "antecedent")).alias("mined_rule"))
 
 
 def verdicts(pages: DataFrame, rules: tuple[ListedRule, ...], mined: DataFrame) -> DataFrame:
@@ -161,8 +218,15 @@ def verdicts(pages: DataFrame, rules: tuple[ListedRule, ...], mined: DataFrame)
     parsed = parse(given)
     placed = parsed.select("*", listed(F.col("host"), F.col("path"), rules).alias("_l"))
     open_urls = placed.where(F.col("_l").isNull())
-    blocked = blocked_urls(open_urls, mined)
-    joined = placed.join(blocked, "url", "left")
+    if not mined.limit(1).count():
+        joined = placed.withColumn("mined_rule", F.lit(None).cast("string"))
+    else:
+        # One row a URL; the rows of a URL that very many pages have are joined where they are.
+        urls = open_urls.where(F.col("url").isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
+        known = materialise(urls.join(blocked_urls(open_urls, mined), "url", "left").select("url", "_n", "mined_rule"), "judged-urls")
+        named = F.col("url").isNotNull() & F.col("_l").isNull()
+        others = placed.where(~named).withColumn("mined_rule", F.lit(None).cast("string"))
+        joined = join_by_hot_key(placed.where(named), known, "url", "_n", ["mined_rule"]).unionByName(others)
     return joined.select(
         *(F.col(new).alias(c) for new, c in zip(keep, own, strict=True)), "host", "path", F.col("_l.rule").alias("rule"),
         F.coalesce(F.col("_l.verdict"), F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"),

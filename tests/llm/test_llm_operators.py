@@ -1,10 +1,12 @@
 """The operators against plain versions, and their edge cases: nulls, empty and long texts,
 ties, repeated rows, empty tables, further columns."""
 
+import itertools
 import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -267,6 +269,61 @@ def test_long_urls_are_mined_and_judged_in_bounded_time(spark):
     assert [(r["page_id"], r["host"], r["verdict"]) for r in url_rules.verdicts(pages, url_rules.LISTED, mined).orderBy("page_id").collect()] == [(1, "x.io", "allow"), (2, "x.io", "block"), (2, "x.io", "block"), (3, "x.io", "allow")]
 
 
+def rules_by_counting(rows, how, longest=3):
+    """The minimal sure combinations of up to ``longest`` tokens of rows (tokens, bad)."""
+    least, found = max(how.min_count, -int(-how.min_share * len(rows) // 1)), []
+    every = sorted({t for tokens, _ in rows for t in tokens})
+    for size in range(1, longest + 1):
+        shorter = list(found)
+        for c in itertools.combinations(every, size):
+            held = [bad for tokens, bad in rows if set(c) <= tokens]
+            if sum(held) >= least and 100 * sum(held) >= how.confidence * len(held) and not any(set(p) <= set(c) for p in shorter):
+                found.append(c)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("most", [0, 14])
+def test_mined_rules_equal_counting(spark, most):
+    how = url_rules.Mining(min_count=4, min_share=0.0, confidence=60, most_items=most)
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(150):
+            has = {w for w in "abcdef" if rng.random() < 0.5}
+            has |= {"twin"} if "a" in has else set()  # always with a
+            bad = rng.random() < (0.9 if {"b", "c"} <= has or {"a", "d", "e"} <= has else 0.15)
+            rows.append((has | {"all"}, bad))
+        labelled = spark.createDataFrame([("http://h/" + "/".join(sorted(t)), bad) for t, bad in rows], "url string, bad boolean")
+        found = sorted(tuple(r["antecedent"]) for r in url_rules.mine(labelled, how).collect())
+        wanted = rules_by_counting([({f"path:{w}" for w in t} | {"host:h"}, bad) for t, bad in rows], how)
+        assert [f for f in found if len(f) <= 3] == wanted
+
+
+def test_no_token_is_left_out_of_long_urls(spark):
+    rng = random.Random(1)
+    others = [f"o{k}" for k in range(16)]
+    bad = [("http://h/pp/qq/" + "/".join(w for w in others if rng.random() < 0.97), True) for _ in range(100)]
+    good = [(f"http://h/{w}/" + "/".join(o for o in others if rng.random() < 0.4), False) for w in ("pp", "qq") for _ in range(100)]
+    how = url_rules.Mining(confidence=95)
+    found = [tuple(r["antecedent"]) for r in url_rules.mine(spark.createDataFrame(bad + good, "url string, bad boolean"), how).collect()]
+    assert ("path:pp", "path:qq") in found
+
+
+def test_a_url_of_sixty_tokens_takes_no_longer(spark):
+    sixty = "http://h/" + "/".join(f"w{k}" for k in range(60))
+    rows = [(sixty, k % 2 == 0) for k in range(200)] + [(f"http://h/x/y{k % 7}", k % 3 == 0) for k in range(200)]
+    began = time.time()
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+    assert time.time() - began < 60
+
+
+def test_rows_of_one_very_frequent_url_and_null_urls_are_judged(spark):
+    mined = spark.createDataFrame([(["path:b", "path:c"],)], "antecedent array<string>")
+    pages = spark.createDataFrame([(k, "http://x/b/c" if k % 3 else None) for k in range(90)] + [(100, "http://x/b"), (101, "http://x/c/b/d")], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in url_rules.verdicts(pages, (), mined).collect()}
+    assert len(found) == 92 and all(found[k] == ("block" if k % 3 else "allow") for k in range(90)) and (found[100], found[101]) == ("allow", "block")
+
+
 # ---- 6
 
 
