@@ -8,16 +8,21 @@ from pyspark.sql import types as T
 
 
 def excerpt_one(text: str | None, terms, limit: int = 3200, most: int = 8, gap: int = 240, around: int = 420) -> str:
-    """Windows around the first hits of the terms, merged where they meet; a short text stays whole."""
+    """Windows around hits of the terms, the longest terms first, merged where they meet; a short text stays whole.
+
+    A hit within ``gap`` of one that is taken is left out; the first ``most`` are taken.
+    """
     body = text or ""
     if len(body) <= limit:
         return body
     low, hits = body.lower(), []
-    for at in sorted({p for t in (terms if terms is not None else ()) if t for p in _places(low, t)}):
-        if not hits or at - hits[-1] >= gap:
-            hits.append(at)
-        if len(hits) == most:
-            break
+    for term in sorted({t.lower() for t in (terms if terms is not None else ()) if t}, key=lambda t: (-len(t), t)):
+        at = low.find(term)
+        while at >= 0 and len(hits) < most:
+            if all(abs(at - h) > gap for h in hits):
+                hits.append(at)
+            at = low.find(term, at + len(term))
+    hits.sort()
     spans: list[list[int]] = []
     for at in hits:
         a, b = max(0, at - around), min(len(body), at + around)
@@ -28,14 +33,6 @@ def excerpt_one(text: str | None, terms, limit: int = 3200, most: int = 8, gap:
     return "\n\n".join(body[a:b].strip() for a, b in spans)[:limit] if spans else body[:limit]
 
 
-def _places(low: str, term: str) -> list[int]:
-    out, at = [], low.find(term)
-    while at >= 0 and len(out) < 1000:
-        out.append(at)
-        at = low.find(term, at + 1)
-    return out
-
-
 @F.pandas_udf(T.StringType())
 def excerpts(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([excerpt_one(t, w) for t, w in zip(text, terms, strict=True)], dtype=object)

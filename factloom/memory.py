@@ -53,7 +53,7 @@ class MemoryFrame:
             for name, h in hits.items():
                 part = h.select("query_id", F.col("unit").cast("string").alias("unit"), F.lit(name).alias("route"), "rank", "score")
                 routes = part if routes is None else routes.unionByName(part)
-            found = filters.page(fusion.reciprocal(routes), ["query_id"], [F.desc("score"), F.col("unit")], 0, 1_000_000).withColumnRenamed("position", "rank")
+            found = filters.page(fusion.reciprocal(routes), ["query_id"], [F.desc("score"), F.col("unit")], 0, limit).withColumnRenamed("position", "rank")
         else:
             raise ValueError(f"no such route: {route!r}")
         kept = found.where(F.col("rank") <= limit).join(queries.select("query_id", "user_id"), "query_id").select("query_id", "user_id", "unit", "rank", "score")

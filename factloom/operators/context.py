@@ -42,11 +42,17 @@ def ordered_text(rows: DataFrame, group: Sequence[str], order: Sequence[str], te
     return joined if most_chars is None else joined.withColumn("text", F.substring("text", 1, most_chars))
 
 
-def roster(hits: DataFrame, fact: str, label: str, day: str, seen: str) -> DataFrame:
-    """(fact, labels, day, position): each fact once, its labels in first-seen order, by day with undated last."""
-    each = hits.groupBy(fact, label).agg(F.min(seen).alias("_s"), F.min(day).alias("_d"))
-    facts = each.groupBy(fact).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", label))), lambda x: x[label]).alias("labels"), F.min("_d").alias("day"))
-    return facts
+def roster(hits: DataFrame, fact: str, label: str, day: str, seen: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, fact, labels, day): each fact once, its labels in first-seen order.
+
+    With a group (a query or user) also the position in it: by day with undated last, facts of one day in first-seen order.
+    """
+    each = hits.groupBy(*group, fact, label).agg(F.min(seen).alias("_s"), F.min(day).alias("_d"))
+    facts = each.groupBy(*group, fact).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", label))), lambda x: x[label]).alias("labels"), F.min("_d").alias("day"), F.min("_s").alias("_s"))
+    if not group:
+        return facts.drop("_s")
+    order = Window.partitionBy(*group).orderBy(F.asc_nulls_last("day"), "_s", fact)
+    return facts.withColumn("position", F.row_number().over(order)).drop("_s")
 
 
 def sweep(rows: DataFrame, text: str, objects: Sequence[str], actions: Sequence[str]) -> DataFrame:

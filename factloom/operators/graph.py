@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import entity_id
 from ..sources.storage import kept
+from .matching import names_holding
 
 
 def edges_of_facts(facts: DataFrame, fact: str, user: str, objects: str, day: Column, quantity: Column) -> DataFrame:
@@ -78,9 +79,31 @@ def two_hop(heads: DataFrame, members: DataFrame, most: int) -> DataFrame:
 def mentions_of(terms: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """(term, unit, name, rank): names that hold a term, per term in the order of confidence, then newest.
 
-    terms (query's literal terms, a stated small set) meet every name by containment; each
-    side's rows are compared once, and only the first of each term leave a task.
+    Terms and names meet through grams (``matching.names_holding``); of each term the first most are kept.
     """
-    held = names.join(F.broadcast(terms) if terms.count() <= 1000 else terms, F.lower("name").contains(F.col("term")))
+    held = names.join(names_holding(terms, names), "name")
     order = Window.partitionBy("term").orderBy(F.desc("confidence"), F.desc("seq"))
     return held.select("term", "unit", "name", F.row_number().over(order).alias("rank")).where(F.col("rank") <= most)
+
+
+def whole_lineage(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fact_id, head, n_steps, cyclic): the fact that each one leads to over all its successors.
+
+    edges (src, dst): src supersedes dst; of several that supersede one the greatest id counts. Paths are doubled in each round, so a chain of n
+    facts takes log2(n) rounds. Facts that lead into a circle have its least id as head, and n_steps null.
+    """
+    after = edges.where(F.col("src") != F.col("dst")).groupBy("dst").agg(F.max("src").alias("to"))
+    now = kept(after.select(F.col("dst").alias("id"), "to", F.lit(1).cast("long").alias("n"), F.least("dst", "to").alias("low")), "lineage")
+    for _ in range(now.count().bit_length() + 1):
+        on = now.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("low").alias("_low"))
+        joined = now.join(on, "to", "left")
+        far = joined.select("id", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.least("low", F.coalesce("_low", F.col("low"))).alias("low"), F.col("_to").isNotNull().alias("_moved"))
+        now = kept(far, "lineage")
+        if not now.where("_moved").limit(1).count():
+            break
+        now = now.drop("_moved")
+    # What still has a successor after as many doublings as there are facts is in a circle.
+    circle = now.select(F.col("id").alias("to"), F.col("low").alias("_low"))
+    ends = now.join(circle, "to", "left").select(F.col("id").alias("fact_id"), F.coalesce("_low", "to").alias("head"), F.when(F.col("_low").isNull(), F.col("n")).alias("n_steps"), F.col("_low").isNotNull().alias("cyclic"))
+    out = facts.select("fact_id").join(ends, "fact_id", "left")
+    return out.select("fact_id", F.coalesce("head", "fact_id").alias("head"), F.when(F.col("head").isNull(), F.lit(0)).otherwise(F.col("n_steps")).cast("long").alias("n_steps"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))

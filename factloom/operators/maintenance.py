@@ -50,17 +50,18 @@ def fold(facts: DataFrame) -> DataFrame:
     """(user_id, fact_id, status, valid_until, superseded_by) after ingesting facts one by one, in order of seq.
 
     facts (user_id, fact_id, seq, predicate, event_type, kind, unit, roles array, valid_from,
-    document_time, quantity, low, high, role, update_like). Two facts share a slot by their
+    document_time, quantity, low, high, role, update_like and, where known, occurred_start and
+    support). Two facts share a slot by their
     predicate (never by one that names no slot) or by their type and equal roles; units have
     to agree, roles too where both have some; profiles go by the predicate alone. Of two, the
-    greater (valid_from, document_time, fact_id) wins if the newcomer is update-like, or has
+    greater key wins, the earlier one of equal keys, if the newcomer is update-like, or has
     a quantity and the other one is; the assistant never beats the user, and a point in a range
-    is no conflict.
+    is no conflict. The key (``order_key``) is made once, for windows and fold alike.
 
     Slots in which no such exception can occur (most) are windows; only the others are
     folded in Python, one (user, predicate) at a time, or one user where slots cross predicates.
     """
-    f = facts.select("*", slot_roles(F.col("roles")).alias("_roles"), (~F.col("predicate").isin(*NO_SLOT) & F.col("predicate").isNotNull()).alias("_open"))
+    f = order_key(facts).select("*", slot_roles(F.col("roles")).alias("_roles"), (~F.col("predicate").isin(*NO_SLOT) & F.col("predicate").isNotNull()).alias("_open"))
     typed = F.col("_open") & (F.col("kind") != "profile") & ~F.col("event_type").isin(*GENERIC_TYPES) & (F.size("_roles") > 0)
     tag = F.array_join("_roles", "|")
     by_type = Window.partitionBy("user_id", F.when(typed, F.col("event_type")), F.when(typed, tag), F.when(typed, F.col("unit")))
@@ -74,22 +75,37 @@ def fold(facts: DataFrame) -> DataFrame:
     closed = f.where(~F.col("_open")).select("user_id", "fact_id", F.lit("active").alias("status"), F.lit(None).cast("double").alias("valid_until"), F.lit(None).cast("string").alias("superseded_by"))
     simple = _fold_windows(f.where(F.col("_open") & F.col("_plain") & ~F.col("_cross")))
     rest = f.where(F.col("_open") & (~F.col("_plain") | F.col("_cross"))).withColumn("_group", F.when(F.col("_cross"), "").otherwise(F.col("predicate")))
-    folded = rest.drop("_open", "_plain", "_cross", "_crossed").groupBy("user_id", "_group").applyInPandas(_fold_group, "user_id string, fact_id string, status string, valid_until double, superseded_by string")
+    folded = rest.drop("_open", "_plain", "_cross", "_crossed", "roles", "support").groupBy("user_id", "_group").applyInPandas(_fold_group, "user_id string, fact_id string, status string, valid_until double, superseded_by string")
     return closed.unionByName(simple).unionByName(folded)
 
 
+def order_key(facts: DataFrame) -> DataFrame:
+    """facts with what decides between two of a slot: _time, _said and _content, in this order, and with _closes, the end it gives a loser.
+
+    The time is valid_from, where that is null or 0 occurred_start, else 0; then comes when it was said; then a hash of predicate,
+    quantity and support, so that no id decides, which a second ingest would make anew.
+    """
+    column = lambda name, kind: F.col(name).cast(kind) if name in facts.columns else F.lit(None).cast(kind)
+    start = F.coalesce(F.nullif(F.nanvl(column("valid_from", "double"), F.lit(None)), F.lit(0.0)), F.nanvl(column("occurred_start", "double"), F.lit(None)))
+    content = stable_id("sig", plain(F.col("predicate")), F.coalesce(column("quantity", "string"), F.lit("None")), plain(column("support", "string")))
+    return facts.select("*", F.coalesce(start, F.lit(0.0)).alias("_time"), F.coalesce(F.nanvl(column("document_time", "double"), F.lit(None)), F.lit(0.0)).alias("_said"), content.alias("_content"), start.alias("_closes"))
+
+
 def _fold_windows(f: DataFrame) -> DataFrame:
     """The fold of slots in which the greatest key so far is always the active fact."""
-    key = F.struct("valid_from", "document_time", "fact_id")
+    key = F.struct("_time", "_said", "_content")
+    # Of equal keys the first stays in the lead.
+    lead = F.struct("_time", "_said", "_content", (-F.col("seq")).alias("_first"), "fact_id", "_closes")
     before = Window.partitionBy("user_id", "predicate").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = f.select("user_id", "predicate", "seq", "fact_id", F.col("valid_from").cast("double").alias("valid_from"), key.alias("_key"), F.max(key).over(before).alias("_top"))
-    ranked = ranked.withColumn("_leads", F.col("_top").isNull() | (F.col("_top") < F.col("_key")))
+    ranked = f.select("user_id", "predicate", "seq", "fact_id", "_closes", key.alias("_key"), F.max(lead).over(before).alias("_top"))
+    top = F.struct("_top._time", "_top._said", "_top._content")
+    ranked = ranked.withColumn("_leads", F.col("_top").isNull() | (top < F.col("_key")))
     # Facts that take the lead close each other in order of arrival; any other is closed on arrival.
     after = Window.partitionBy("user_id", "predicate", "_leads").orderBy("seq")
-    nxt = F.lead(F.struct("fact_id", "valid_from")).over(after)
-    closer = F.when(F.col("_leads"), nxt).otherwise(F.struct(F.col("_top.fact_id").alias("fact_id"), F.col("_top.valid_from").cast("double").alias("valid_from")))
+    nxt = F.lead(F.struct("fact_id", "_closes")).over(after)
+    closer = F.when(F.col("_leads"), nxt).otherwise(F.struct("_top.fact_id", "_top._closes"))
     out = ranked.withColumn("_c", closer)
-    return out.select("user_id", "fact_id", F.when(F.col("_c").isNull(), "active").otherwise("superseded").alias("status"), F.col("_c.valid_from").alias("valid_until"), F.col("_c.fact_id").alias("superseded_by"))
+    return out.select("user_id", "fact_id", F.when(F.col("_c").isNull(), "active").otherwise("superseded").alias("status"), F.col("_c._closes").alias("valid_until"), F.col("_c.fact_id").alias("superseded_by"))
 
 
 def _competes(old: dict, new: dict) -> bool:
@@ -116,23 +132,23 @@ def _fold_group(group: pd.DataFrame) -> pd.DataFrame:
     active: list[dict] = []  # the only ones that can still compete
     for new in group.sort_values("seq").to_dict("records"):
         new |= {"status": "active", "valid_until": None, "superseded_by": None}
-        key, best, beaten = (new["valid_from"], new["document_time"], new["fact_id"]), None, []
+        key, best, beaten = (new["_time"], new["_said"], new["_content"]), None, []
         for old in active:
             if not _competes(old, new):
                 continue
-            rank = (old["valid_from"], old["document_time"], old["fact_id"])
+            rank = (old["_time"], old["_said"], old["_content"])
             winner, loser = (old, new) if rank >= key else (new, old)
             if winner["role"] == "assistant" and loser["role"] == "user":
                 continue
             if loser is old:
-                old |= {"status": "superseded", "valid_until": new["valid_from"], "superseded_by": new["fact_id"]}
+                old |= {"status": "superseded", "valid_until": new["_closes"], "superseded_by": new["fact_id"]}
                 beaten.append(old)
             elif best is None or rank > best[0]:
                 best = (rank, old)
         if beaten:
             active = [f for f in active if f["status"] == "active"]
         if best:
-            new |= {"status": "superseded", "valid_until": best[1]["valid_from"], "superseded_by": best[1]["fact_id"]}
+            new |= {"status": "superseded", "valid_until": best[1]["_closes"], "superseded_by": best[1]["fact_id"]}
         else:
             active.append(new)
         done.append(new)
@@ -161,18 +177,19 @@ def same_event(facts: DataFrame) -> DataFrame:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         events: list[tuple[str, set]] = []
         out = []
-        for r in group.sort_values(["seq", "fact_id"])[["fact_id", "_objects"]].itertuples(index=False):
+        rows = group.sort_values(["seq", "fact_id"])
+        for r in rows[["fact_id", "_objects"]].itertuples(index=False):
             own = set(r[1])
             hit = next((e for e in events if e[1] & own), None)
             if hit is None:
                 events.append((r[0], own))
             else:
                 hit[1].update(own)
-            out.append((r[0], hit[0] if hit else r[0]))
-        return pd.DataFrame(out, columns=["fact_id", "event_id"])
+            out.append(hit[0] if hit else r[0])
+        return rows.assign(event_id=out)
 
-    found = f.where("_many").select(*EVENT, "seq", "fact_id", "_objects").groupBy(*EVENT).applyInPandas(merge, "fact_id string, event_id string")
-    folded = f.where("_many").join(found, "fact_id")
+    # Whole rows go through the fold, as a fact_id may stand in several.
+    folded = f.where("_many").groupBy(*EVENT).applyInPandas(merge, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in f.schema) + ", event_id string")
     return alone.unionByName(folded).drop("_many", "_objects")
 
 

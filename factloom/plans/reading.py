@@ -103,6 +103,20 @@ def count_roster(spark: SparkSession, d: str) -> DataFrame:
     return context.roster(hits, "doc_id", "label", "day", "seen").select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
+@_query("dated_roster", f"""
+WITH {SQL_FACTS}, h AS (SELECT user_id, fact_id, seq, CASE WHEN event_type <> 'error' THEN strftime(make_timestamp(valid_from), '%Y-%m-%d') END AS day, pos, label FROM facts
+  JOIN (SELECT unnest(['sign', 'e', 'r']) AS label, unnest([1, 2, 3]) AS pos) ON contains(event_type, label)),
+f AS (SELECT user_id, fact_id, string_agg(label, ',' ORDER BY pos) AS labels, min(day) AS day, min(seq * 10 + pos) AS s FROM h GROUP BY ALL)
+SELECT user_id, fact_id, labels, coalesce(day, '') AS day, row_number() OVER (PARTITION BY user_id ORDER BY day NULLS LAST, s, fact_id) AS position FROM f""")
+def dated_roster(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's facts with their labels by day, undated ones last."""
+    day = F.when(F.col("event_type") != "error", F.date_format(F.timestamp_micros("valid_from"), "yyyy-MM-dd"))
+    labels = F.array_compact(F.array(*(F.when(F.col("event_type").contains(x), F.struct(F.lit(x).alias("label"), F.lit(k).alias("pos"))) for k, x in enumerate(("sign", "e", "r"), 1))))
+    hits = facts(spark, d).select("user_id", "fact_id", day.alias("day"), "seq", F.explode(labels).alias("h")).select("user_id", "fact_id", "day", "h.label", (F.col("seq") * 10 + F.col("h.pos")).alias("seen"))
+    rows = context.roster(hits, "fact_id", "label", "day", "seen", ["user_id"])
+    return rows.select("user_id", "fact_id", F.array_join("labels", ",").alias("labels"), F.coalesce("day", F.lit("")).alias("day"), F.col("position").cast("long").alias("position"))
+
+
 @_query("event_timeline_groups", f"WITH {SQL_FACTS} SELECT event_type, fact_id, position FROM (SELECT event_type, fact_id, row_number() OVER (PARTITION BY event_type ORDER BY valid_from DESC, seq) AS position FROM facts) WHERE position <= 5")
 def event_timeline_groups(spark: SparkSession, d: str) -> DataFrame:
     return ops.tail(facts(spark, d), ["event_type"], [F.desc("valid_from"), F.col("seq")], 5).select("event_type", "fact_id", F.col("position").cast("long").alias("position"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as fx
-from ..operators import fusion, graph, maintenance
+from ..operators import fusion, graph, maintenance, matching
 from ..sources.adapters import facts, table
 from ..sources.adapters import graph as star
 from ..sources.storage import kept
@@ -204,6 +204,43 @@ def mentions_by_terms(spark: SparkSession, d: str) -> DataFrame:
     return graph.mentions_of(terms, names, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_query("query_mentions", """
+WITH m AS (SELECT p_partkey AS mention_id, 'u' || (p_size % 4) AS user_id, p_name AS name, p_retailprice AS confidence, p_partkey AS seq FROM part),
+t AS (SELECT s_suppkey AS query_id, 'u' || (s_nationkey % 4) AS user_id, unnest([1, 2, 3, 4]) AS place, unnest([split_part(s_name, '#', 1)[1:2], 're', ' b', 'steel']) AS term FROM supplier),
+each AS (SELECT query_id, mention_id, name, place, row_number() OVER (PARTITION BY query_id, place ORDER BY confidence DESC, seq DESC) AS r FROM t JOIN m ON t.user_id = m.user_id AND contains(lower(name), lower(trim(term)))),
+once AS (SELECT query_id, mention_id, min((place, r)) AS f FROM each WHERE r <= 15 GROUP BY ALL)
+SELECT query_id, mention_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f) AS position FROM once) WHERE position <= 15""")
+def query_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions by each query's own terms, of its user, in the order of terms."""
+    mentions = table(spark, d, "part").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lit("u"), (F.col("p_size") % 4).cast("string")).alias("user_id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("confidence"), F.col("p_partkey").alias("seq"))
+    given = F.array(F.substring("s_name", 1, 2), F.lit("re"), F.lit(" b"), F.lit("steel"))
+    terms = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("u"), (F.col("s_nationkey") % 4).cast("string")).alias("user_id"), F.posexplode(given).alias("place", "term"))
+    return matching.mentions_by_terms(terms, mentions, 15).select("query_id", "mention_id", F.col("position").cast("long").alias("position"))
+
+
+@_query("mention_timeline", f"""WITH {SQL_FACTS},
+t AS (SELECT DISTINCT user_id AS query_id, user_id, unnest([1, 2]) AS place, unnest(['sign', 'k']) AS term FROM facts),
+m AS (SELECT fact_id, user_id, event_type AS name, quantity AS confidence, seq, valid_from FROM facts),
+each AS (SELECT query_id, m.fact_id, m.valid_from, place, row_number() OVER (PARTITION BY query_id, place ORDER BY confidence DESC, seq DESC) AS r FROM t JOIN m ON t.user_id = m.user_id AND contains(lower(name), term)),
+once AS (SELECT query_id, fact_id, any_value(valid_from) AS v, min((place, r)) AS f FROM each WHERE r <= 30 GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f) AS p FROM once)
+SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(v, 0), p) AS position FROM kept WHERE p <= 30""")
+def mention_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The facts whose mentions hold a term, by time."""
+    f = facts(spark, d)
+    mentions = f.select(F.col("fact_id").alias("mention_id"), "fact_id", "user_id", F.col("event_type").alias("name"), F.col("quantity").alias("confidence"), "seq")
+    terms = f.select("user_id").distinct().select(F.col("user_id").alias("query_id"), "user_id", F.posexplode(F.array(F.lit("sign"), F.lit("k"))).alias("place", "term"))
+    return matching.timeline_by_terms(terms, mentions, f, 30, "valid_from").select("query_id", "fact_id", F.col("position").cast("long").alias("position"))
+
+
+@_query("whole_lineage", f"WITH {SQL_FACTS}, r AS (SELECT fact_id, user_id, event_type, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id, event_type) AS n, last_value(fact_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head FROM facts WINDOW w AS (PARTITION BY user_id, event_type ORDER BY valid_from, seq)) SELECT fact_id, head, n - k AS n_steps FROM r")
+def whole_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """The current head of each fact over all its successors."""
+    f = facts(spark, d)
+    closed = fx.supersede(f, ("user_id", "event_type"), ("valid_from", "seq")).where(F.col("superseded_by").isNotNull())
+    return graph.whole_lineage(f, closed.select(F.col("superseded_by").alias("src"), F.col("fact_id").alias("dst"))).select("fact_id", "head", "n_steps")
+
+
 @_query("reverse_edge_lookup", f"WITH {SQL_STAR} SELECT n_name, edge_type, count(*) AS n, min(src) AS first_src FROM star JOIN nation ON dst = 'nation:' || n_nationkey WHERE edge_type = 'IN' GROUP BY ALL")
 def reverse_edge_lookup(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select("n_name", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("dst"))

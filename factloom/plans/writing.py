@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.runs import Limits
-from ..operators import ingest, maintenance
+from ..functions.text import word_tokens
+from ..operators import ingest, maintenance, matching
 from ..sources.adapters import facts, table, turns
 from ..streaming import state
 
@@ -94,7 +95,25 @@ def spans_of_turns(spark: SparkSession, d: str) -> DataFrame:
 def provenance_recovery(spark: SparkSession, d: str) -> DataFrame:
     t = turns(spark, d)
     items = t.select(F.col("turn_id").alias("item_id"), "session_id", F.substring("content", 5, 30).alias("quote"))
-    return ingest.recover_provenance(items, ingest.spans(t))
+    return matching.recover_provenance(items, ingest.spans(t))
+
+
+SQL_WORDS = r"""list_distinct(list_filter(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9''\-]*'), lambda w: CASE WHEN contains(w, '-') THEN list_prepend(w, list_filter(string_split(w, '-'), lambda p: length(p) > 1)) ELSE [w] END)), lambda w: length(w) > 2))"""
+
+
+@_query("provenance_paraphrase", f"""
+WITH t AS (SELECT conv_id, turn, text, {SQL_WORDS.format("text")} AS st FROM conversations),
+q AS (SELECT conv_id, turn, array_to_string(list_append(list_reverse(st[3:14]), 'elsewhere'), ' ') AS quote FROM t WHERE len(st) >= 14),
+w AS (SELECT *, {SQL_WORDS.format("quote")} AS qt FROM q),
+near AS (SELECT w.conv_id, w.turn, c.turn AS found, len(list_intersect(qt, st)) / len(qt) AS o FROM w JOIN t c ON w.conv_id = c.conv_id WHERE NOT contains(lower(c.text), quote))
+SELECT 's' || conv_id || '_turn_' || turn AS item_id, 'span_s' || conv_id || '_' || arg_min(found, (-o, found)) AS span_id FROM near WHERE o >= 0.8 GROUP BY conv_id, turn""")
+def provenance_paraphrase(spark: SparkSession, d: str) -> DataFrame:
+    """Spans found by their words, as no span holds the quote: twelve words in another order, and one of its own."""
+    t = turns(spark, d)
+    words = F.array_distinct(F.filter(word_tokens(F.col("content")), lambda w: F.length(w) > 2))
+    quote = F.array_join(F.array_append(F.reverse(F.slice(words, 3, 12)), F.lit("elsewhere")), " ")
+    items = t.where(F.size(words) >= 14).select(F.col("turn_id").alias("item_id"), "session_id", quote.alias("quote"))
+    return matching.recover_provenance(items, ingest.spans(t))
 
 
 @_query("sequential_fold", f"""WITH {SQL_FACTS},
