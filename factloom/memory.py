@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from .functions.runs import Limits
 from .functions.text import entity_id
 from .operators import context, facts, filters, fusion, graph, ingest, lexical
+from .operators.index import Index
 from .sources.storage import Store
 
 
 class MemoryFrame:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], weights: fusion.Weights = fusion.Weights()):
-        self.spark, self.tables, self.weights = spark, dict(tables), weights
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], weights: fusion.Weights = fusion.Weights(), index: Index | None = None):
+        """index: a stored index of the turns by user, which ``search`` reads and ``ingest`` adds to; without one it is made at each search."""
+        self.spark, self.tables, self.weights, self.index = spark, dict(tables), weights, index
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, snapshot: int, versions: Mapping[str, str] | None = None) -> MemoryFrame:
@@ -32,7 +34,10 @@ class MemoryFrame:
     def ingest(self, turns: DataFrame) -> MemoryFrame:
         """A new frame with turns added; a turn that is there already is taken as sent again."""
         old = self.tables["turns"]
-        return MemoryFrame(self.spark, self.tables | {"turns": old.unionByName(turns.join(old.select("turn_id"), "turn_id", "left_anti").select(old.columns))}, self.weights)
+        new = turns.join(old.select("turn_id"), "turn_id", "left_anti").select(old.columns)
+        if self.index:
+            self.index.append(new, "user_id", "turn_id", "content")
+        return MemoryFrame(self.spark, self.tables | {"turns": old.unionByName(new)}, self.weights, self.index)
 
     def windows(self, most_tokens: int = 1200, most_turns: int = 12) -> DataFrame:
         return ingest.extract_windows(self.tables["turns"], Limits(most_tokens, most_turns))
@@ -41,7 +46,7 @@ class MemoryFrame:
         """(query_id, user_id, unit, rank, score): the best turns and facts of each query's user."""
         asked = queries.select("query_id", F.col("user_id").alias("corpus"), "text")
         turns = self.tables["turns"]
-        hits = {"turn": lexical.score(lexical.build(turns, "user_id", "turn_id", "content"), asked, 80)}
+        hits = {"turn": self.index.score(asked, 80) if self.index else lexical.score(lexical.build(turns, "user_id", "turn_id", "content"), asked, 80)}
         if "facts" in self.tables:
             held = self.tables["facts"].withColumn("_text", F.concat_ws(" | ", "predicate", "object", "support"))
             hits["fact"] = lexical.score(lexical.build(held, "user_id", "fact_id", "_text"), asked, 80)

@@ -32,31 +32,46 @@ def build(docs: DataFrame, corpus: str, unit: str, text: str) -> DataFrame:
 
 
 def stored(docs: DataFrame, corpus: str, unit: str, text: str, folder: str, version: str) -> DataFrame:
-    """The postings of a version of docs: read if that version was written before, else made and written."""
-    path = f"{folder.rstrip('/')}/version={version}"
+    """The postings of a version of docs: read if that version was written to its end before, else made and written."""
+    spark, path = docs.sparkSession, f"{folder.rstrip('/')}/version={version}"
     try:
-        return docs.sparkSession.read.parquet(path)
+        spark.read.parquet(f"{path}/mark")
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    postings(docs, corpus, unit, text).write.mode("errorifexists").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+        # What a writer left that did not come to its mark is overwritten.
+        postings(docs, corpus, unit, text).write.mode("overwrite").parquet(f"{path}/postings")
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/mark")
+    return spark.read.parquet(f"{path}/postings")
 
 
-def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(corpus, n, avgdl, mean_idf) and (corpus, term, idf), idf before the floor."""
+def counts(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(corpus, n, total) and (corpus, term, df): what statistics are made of, and what can be added up over parts of an index."""
     units = index.groupBy("corpus", "unit").agg(F.first("length").alias("length"))
-    corpora = units.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
-    frequency = index.where(F.col("term").isNotNull()).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    corpora = units.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    return corpora, index.where(F.col("term").isNotNull()).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def statistics(units: DataFrame, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(corpus, n, avgdl, mean_idf) and (corpus, term, idf), idf before the floor, from counts."""
+    corpora = units.select("corpus", "n", (F.col("total") / F.col("n")).alias("avgdl"))
     idf = frequency.join(corpora, "corpus").select("corpus", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.groupBy("corpus").agg(F.avg("idf").alias("mean_idf"))
     return corpora.join(mean, "corpus"), idf
 
 
-def score(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, corpus, unit, score, rank) from queries (query_id, corpus, text): the k best, then those above 0."""
-    corpora, idf = statistics(index)
-    asked = queries.select("query_id", "corpus", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count(F.lit(1)).alias("times"))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, corpus, term, times) of queries (query_id, corpus, text)."""
+    return queries.select("query_id", "corpus", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def score(index: DataFrame, queries: DataFrame, k: int, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, corpus, unit, score, rank) from queries (query_id, corpus, text): the k best, then those above 0.
+
+    known: the index's counts, where they are stored.
+    """
+    corpora, idf = statistics(*(known or counts(index)))
+    asked = asked_terms(queries)
     weighted = asked.join(idf, ["corpus", "term"]).join(corpora, "corpus").select(
         "query_id", "corpus", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))
     hits = index.join(weighted, ["corpus", "term"])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import context, filters, ops
+from ..operators import context, filters, nested, ops
 from ..sources.adapters import facts, table, turns
 
 QUERIES: dict = {}
@@ -203,6 +204,32 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("usage_trees", f"""
+WITH {SQL_FACTS}, m AS (SELECT user_id, event_type, 'm' || (seq % 3) AS model, min(seq) AS s FROM facts GROUP BY ALL)
+SELECT user_id, 'calls' AS path, count(*)::VARCHAR AS value FROM facts GROUP BY user_id
+UNION ALL SELECT user_id, 'phases.' || event_type || '.tokens', sum(floor(quantity)::BIGINT)::VARCHAR FROM facts GROUP BY user_id, event_type
+UNION ALL SELECT user_id, 'phases.' || event_type || '.detail', '[' || string_agg(seq, ',' ORDER BY seq) || ']' FROM facts GROUP BY user_id, event_type
+UNION ALL SELECT user_id, 'phases.' || event_type || '.models', '[' || string_agg('"' || model || '"', ',' ORDER BY s) || ']' FROM m GROUP BY user_id, event_type""")
+def usage_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of usage, three levels deep, merged by user: numbers added, lists joined, models once each."""
+    text = F.format_string('{"calls": 1, "phases": {"%s": {"tokens": %d, "detail": [%d], "models": ["m%d"]}}}', "event_type", F.floor("quantity"), "seq", F.col("seq") % 3)
+    rows = facts(spark, d).select("user_id", "seq", text.alias("tree"))
+    return nested.merged(rows, ["user_id"], "seq", "tree", ["models"]).select("user_id", nested.names(F.col("path")).alias("path"), "value")
+
+
+@_query("aliased_trees", f"""
+WITH {SQL_FACTS}, a AS (SELECT *, 'e' || row_number() OVER (PARTITION BY user_id ORDER BY seq) AS alias FROM facts),
+n AS (SELECT *, lead(alias) OVER (PARTITION BY user_id ORDER BY seq) AS nxt FROM a)
+SELECT fact_id, '{{"id":"' || alias || '","kind":"' || event_type || '","near":{{"ids":["' || alias || '"' || coalesce(',"' || nxt || '"', '') || '],"n":' || seq || '}}}}' AS tree FROM n""")
+def aliased_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Trees that name facts, with the short ids that these have for their user."""
+    by = Window.partitionBy("user_id").orderBy("seq")
+    f = facts(spark, d).select("user_id", "fact_id", "seq", "event_type", F.lead("fact_id").over(by).alias("_next"), F.concat(F.lit("e"), F.row_number().over(by).cast("string")).alias("alias"))
+    near = F.struct(F.array_compact(F.array("fact_id", "_next")).alias("ids"), F.col("seq").alias("n"))
+    rows = f.select("user_id", "fact_id", F.to_json(F.struct(F.col("fact_id").alias("id"), F.col("event_type").alias("kind"), near.alias("near"))).alias("_t"))
+    return nested.aliased(rows, ["user_id", "fact_id"], "_t", f.select("user_id", "fact_id", "alias"), "fact_id", "alias", ["user_id"]).select("fact_id", F.col("json").alias("tree"))
+
+
 @_query("usage_merge", f"WITH {SQL_FACTS} SELECT user_id, sum(floor(quantity)::BIGINT)::BIGINT AS tokens, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS models FROM facts GROUP BY user_id")
 def usage_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d).select("user_id", F.floor("quantity").alias("tokens"), F.col("event_type").alias("models"))

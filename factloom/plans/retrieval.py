@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
 from ..operators import fusion, lexical, vectors
+from ..operators.index import Index
 from ..sources.adapters import table, turns
-from ..sources.storage import kept, spread
+from ..sources.storage import kept, shared_folder, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -83,6 +84,19 @@ def bm25_turns(spark: SparkSession, d: str) -> DataFrame:
     return turn_hits(spark, d, 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+@_query("bm25_growing_index", ORACLES["bm25_turns"])
+def bm25_growing_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits from an index that was written in three versions, of which the first two were made one."""
+    t = turns(spark, d)
+    index = Index(spark, shared_folder(spark, "index"))
+    third = F.pmod(F.xxhash64("session_id"), F.lit(3))
+    index.append(t.where(third == 0), "user_id", "turn_id", "content")
+    index.append(t.where(third == 1), "user_id", "turn_id", "content")
+    index.compact()
+    index.append(t.where(third == 2), "user_id", "turn_id", "content")
+    return index.score(_turn_queries(t), 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
 ASKED_TERMS = "thering anon de la schen then"
 
 
