@@ -31,6 +31,35 @@ def channel(hits: DataFrame, name: str, contribution: float, order: int, heads:
     return hits.where(F.col("rank") <= heads).select("query_id", F.col("unit").cast("string").alias("unit"), F.concat(F.lit(name + ":"), F.col("unit").cast("string")).alias("head"), F.lit(contribution).alias("contribution"), ordinal.alias("ordinal"))
 
 
+def direct(hits: DataFrame, units: DataFrame, name: str, contribution: float, order: int, heads: int = 10) -> DataFrame:
+    """As ``channel``, but hits count only where units (unit, eligible) has them eligible, and the first ``heads`` of those are taken.
+
+    So what is superseded takes no other fact's place.
+    """
+    fit = hits.join(units.where("eligible").select("unit"), "unit", "left_semi")
+    order_ = Window.partitionBy("query_id").orderBy("rank", "unit")
+    return channel(fit.withColumn("rank", F.row_number().over(order_)), name, contribution, order, heads)
+
+
+def through_spans(hits: DataFrame, links: DataFrame, units: DataFrame, name: str, contribution: float, order: int, heads: int = 10, per_span: int = 10) -> DataFrame:
+    """A channel of hits of spans (query_id, unit, rank) that lead to their facts: links (span, unit, seq), units (unit, eligible).
+
+    Each span brings its first eligible facts, at most per_span, under the head of the fact, which a direct hit in the same index
+    shares; a span without any is a unit itself. Spans count in their order until ``heads`` different heads are there.
+    """
+    fit = links.join(units.where("eligible").select("unit"), "unit", "left_semi")
+    near = hits.select("query_id", F.col("unit").alias("span"), "rank").join(fit, "span", "left")
+    first = Window.partitionBy("query_id", "span").orderBy("seq", "unit")
+    placed = near.select("*", F.row_number().over(first).alias("_r")).where(F.col("_r") <= per_span)
+    head = F.when(F.col("unit").isNotNull(), F.concat(F.lit(name + ":"), F.col("unit").cast("string"))).otherwise(F.concat(F.lit(name + ":span:"), F.col("span").cast("string")))
+    each = placed.select("query_id", F.coalesce(F.col("unit").cast("string"), F.col("span").cast("string")).alias("unit"), head.alias("head"), "rank", "_r")
+    # A span is looked at as long as the spans before it brought fewer heads.
+    new = each.withColumn("_new", F.row_number().over(Window.partitionBy("query_id", "head").orderBy("rank", "_r")) == 1)
+    by_rank = Window.partitionBy("query_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    taken = new.withColumn("_before", F.coalesce(F.count_if("_new").over(by_rank), F.lit(0))).where(F.col("_before") < heads)
+    return taken.select("query_id", "unit", "head", F.lit(contribution).alias("contribution"), (F.lit(order).cast("long") * 1_000_000 + F.col("rank") * 1000 + F.col("_r")).alias("ordinal"))
+
+
 def noisy_or(contributions: Column) -> Column:
     """1 - prod(1 - c) of an array, multiplied in sorted order."""
     return 1 - F.aggregate(F.sort_array(contributions), F.lit(1.0), lambda a, c: a * (1 - c))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import search_tokens
+from ..sources.storage import kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,6 +45,80 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
+def embedder(encode: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
+    """A function from a text column to a column of vectors by a model: ``encode`` gets a batch of texts and gives a row each.
+
+    It is loaded where the batches are; null texts have null vectors.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            there = batch.notna()
+            made = iter(np.asarray(encode(batch[there].tolist()), np.float64)) if there.any() else iter(())
+            yield pd.Series([next(made) if has else None for has in there], dtype=object)
+
+    return embed
+
+
+def _distances(pivots: list[list[float]], v: Column) -> Column:
+    """The distances of a unit vector to each pivot."""
+    return F.array(*(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(F.array(*map(F.lit, p)), v))) for p in pivots))
+
+
+def _unit(v: Column) -> Column:
+    norm = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: x.cast("double") / norm)
+
+
+def cells(vectors: DataFrame, n_pivots: int = 16) -> tuple[DataFrame, DataFrame, list[list[float]]]:
+    """(vectors with their cell and distance to its pivot, cells with their least and greatest distance and size, pivots).
+
+    vectors (corpus, unit, v) of a length above 0. Pivots are the vectors with the least hashes, n_pivots at most, so they are the same at every
+    run; each vector is in the cell of its nearest pivot. The first result is written and can be searched again and again.
+    """
+    real = vectors.where(dot(F.col("v"), F.col("v")) > 0).select("corpus", "unit", _unit(F.col("v")).alias("u"))
+    chosen = real.orderBy(F.xxhash64("corpus", "unit"), "unit").limit(n_pivots).select("u").collect()
+    pivots = [list(r["u"]) for r in chosen]
+    if not pivots:
+        return real.withColumns({"cell": F.lit(0), "d": F.lit(0.0)}), real.select("corpus", F.lit(0).alias("cell"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit(0).cast("long").alias("size")), pivots
+    near = real.withColumn("_d", _distances(pivots, F.col("u"))).withColumn("d", F.array_min("_d"))
+    placed = kept(near.withColumn("cell", (F.array_position("_d", F.col("d")) - 1).cast("int")).drop("_d"), "cells")
+    return placed, placed.groupBy("corpus", "cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("size")), pivots
+
+
+def nearest_by_cells(vectors: DataFrame, queries: DataFrame, k: int, n_pivots: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(what ``nearest`` gives, (query_id, cells, searched)): exact, without the cells that cannot hold a neighbour.
+
+    A vector in a cell is at least as far from a query as their distances to the pivot differ. First each query
+    searches its nearest cells that hold k vectors together; the k-th distance found bounds the rest. Of
+    the other cells those that may be nearer are searched, and of these the vectors that may.
+    """
+    placed, by_cell, pivots = cells(vectors, n_pivots)
+    q = queries.where(dot(F.col("q"), F.col("q")) > 0).select("query_id", "corpus", _unit(F.col("q")).alias("q"))
+    q = kept(q.withColumn("_to", _distances(pivots, F.col("q")) if pivots else F.array(F.lit(0.0))), "asked")
+    pairs = q.join(by_cell, "corpus").withColumn("to", F.get("_to", F.col("cell")))
+    bound = pairs.select("query_id", "corpus", "cell", "size", "to", F.greatest(F.lit(0.0), F.col("to") - F.col("hi"), F.col("lo") - F.col("to")).alias("bound"))
+    order = Window.partitionBy("query_id", "corpus").orderBy("bound", "to", "cell")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bound = kept(bound.withColumn("first", before < k), "bounds")
+
+    def found(asked: DataFrame) -> DataFrame:
+        both = placed.join(asked, ["corpus", "cell"]).where(F.abs(F.col("to") - F.col("d")) <= F.col("most")) if "most" in asked.columns else placed.join(asked, ["corpus", "cell"])
+        return both.join(q.select("query_id", "corpus", "q"), ["query_id", "corpus"]).select("query_id", "corpus", "unit", dot(F.col("u"), F.col("q")).alias("similarity"))
+
+    ranked = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("similarity", 9)), "unit")
+    top = lambda rows: rows.select("*", F.row_number().over(ranked).alias("rank")).where(F.col("rank") <= k)
+    one = kept(top(found(bound.where("first").select("query_id", "corpus", "cell"))), "first-neighbours")
+    # Similarities are compared to nine places, so what is equal to that is not cut off.
+    worst = one.where(F.col("rank") == k).select("query_id", "corpus", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity")) + 1e-8).alias("most"))
+    more = bound.where(~F.col("first")).join(worst, ["query_id", "corpus"]).where(F.col("bound") <= F.col("most"))
+    two = found(more.select("query_id", "corpus", "cell", "to", "most"))
+    searched = bound.join(more.select("query_id", "corpus", "cell", F.lit(True).alias("_m")), ["query_id", "corpus", "cell"], "left")
+    cost = searched.groupBy("query_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("first") | F.col("_m").isNotNull()).alias("searched"))
+    return top(one.drop("rank").unionByName(two)), cost
+
+
 def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, length: float = 2.0, tables: int = 4, distance: float = 1.2) -> DataFrame:
     """An approximate variant by random projections, for corpora beyond brute force."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -122,6 +122,44 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(e, q, 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
+@_query("knn_by_cells", ORACLES["knn_cosine"])
+def knn_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same neighbours, without the cells that cannot hold any."""
+    e = spread(table(spark, d, "embeddings")).select(F.col("label").alias("corpus"), F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
+    q = e.where(F.col("unit") % 20 == 0).select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q"))
+    near, _ = vectors.nearest_by_cells(e, q, 10)
+    return near.select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
+SQL_SPANS = SQL_TURN_ASK + sql_bm25(80) + """,
+f AS (SELECT 'f_' || turn_id AS unit, turn_id AS span, turn AS seq, turn % 4 <> 3 AS eligible FROM turn_docs WHERE length(text) % 3 > 0 UNION ALL SELECT 'g_' || turn_id, turn_id, 1000 + turn, true FROM turn_docs WHERE role = 'user'),
+fh AS (SELECT query_id, f.unit, row_number() OVER (PARTITION BY query_id ORDER BY rank, f.seq, f.unit) AS rank FROM hits JOIN f ON hits.unit = f.span),
+d AS (SELECT query_id, unit, row_number() OVER (PARTITION BY query_id ORDER BY rank, unit) AS r FROM fh WHERE unit IN (SELECT unit FROM f WHERE eligible)),
+direct AS (SELECT query_id, unit, 'bm25:' || unit AS head, 0.4 AS c, 1000000 + r AS ordinal FROM d WHERE r <= 10),
+s AS (SELECT h.query_id, h.unit AS span, h.rank, f.unit, row_number() OVER (PARTITION BY h.query_id, h.unit ORDER BY f.seq, f.unit) AS k FROM hits h LEFT JOIN f ON h.unit = f.span AND f.eligible),
+s2 AS (SELECT query_id, rank, k, coalesce(unit, span) AS unit, CASE WHEN unit IS NULL THEN 'bm25:span:' || span ELSE 'bm25:' || unit END AS head FROM s WHERE k <= 10),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, head ORDER BY rank, k) = 1 AS new FROM s2),
+s4 AS (SELECT *, coalesce(count(*) FILTER (new) OVER (PARTITION BY query_id ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s3),
+spans AS (SELECT query_id, unit, head, 0.4 AS c, 2000000 + rank * 1000 + k AS ordinal FROM s4 WHERE b < 10),
+heads AS (SELECT query_id, unit, head, max(c) AS c, min(ordinal) AS ordinal FROM (SELECT * FROM direct UNION ALL SELECT * FROM spans) GROUP BY ALL),
+units AS (SELECT query_id, unit, 1 - product(1 - c) AS confidence, count(*) AS n_heads, min(ordinal) AS ordinal FROM heads GROUP BY ALL)
+"""
+
+
+@_query("facts_and_spans", "WITH" + SQL_SPANS + "SELECT query_id, unit, n_heads, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY round(confidence, 9) DESC, ordinal, unit) AS rank FROM units")
+def facts_and_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that are hit themselves and through their spans, one head each; superseded ones take no place."""
+    from pyspark.sql.window import Window
+
+    w, t = fusion.Weights(), turns(spark, d).select(F.col("turn_id").alias("span"), "idx", "role", F.length("content").alias("_l"))
+    first = t.where(F.col("_l") % 3 > 0).select(F.concat(F.lit("f_"), "span").alias("unit"), "span", F.col("idx").alias("seq"), (F.col("idx") % 4 != 3).alias("eligible"))
+    f = kept(first.unionByName(t.where("role = 'user'").select(F.concat(F.lit("g_"), "span").alias("unit"), "span", (F.col("idx") + 1000).alias("seq"), F.lit(True).alias("eligible"))), "facts-of-spans")
+    hits = turn_hits(spark, d, 80)
+    of_facts = hits.select("query_id", F.col("unit").alias("span"), "rank").join(f, "span").select("query_id", "unit", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "seq", "unit")).alias("rank"))
+    channels = [fusion.direct(of_facts, f, "bm25", w.strong_direct, 1), fusion.through_spans(hits, f.select("span", "unit", "seq"), f, "bm25", w.strong_direct, 2)]
+    return fusion.fuse(channels).select("query_id", "unit", "n_heads", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+
+
 SQL_CHANNELS = SQL_TURN_ASK + sql_bm25(80) + """,
 near AS (SELECT query_id, unit, unit AS head_unit, 'bm25_turn' AS chan, 0.4 AS c, 1000000 + rank AS ordinal FROM hits WHERE rank <= 10),
 same AS (SELECT t.user_id, t.turn_id, t.session_id, t.turn, h.query_id, h.rank FROM hits h JOIN turn_docs t ON h.unit = t.turn_id),

@@ -163,3 +163,48 @@ def test_roster_has_undated_facts_last(spark):
     hits = spark.createDataFrame([("q", "f1", "b", None, 1), ("q", "f2", "a", "2024-02-01", 2), ("q", "f3", "a", "2024-01-01", 9), ("q", "f3", "b", "2024-01-01", 3), ("r", "f1", "b", None, 1)], "q string, fact string, label string, day string, seen int")
     found = [tuple(r) for r in context.roster(hits, "fact", "label", "day", "seen", ["q"]).select("q", "position", "fact", "labels").orderBy("q", "position").collect()]
     assert found == [("q", 1, "f3", ["b", "a"]), ("q", 2, "f2", ["a"]), ("q", 3, "f1", ["b"]), ("r", 1, "f1", ["b"])]
+
+
+def test_neighbours_by_cells_equal_all_comparisons(spark):
+    import numpy as np
+
+    from factloom.operators import vectors
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = [("c" if k % 5 else "d", k, list(map(float, centres[k % 6] + 0.1 * rng.normal(size=8)))) for k in range(400)]
+    rows += [("c", 1000 + k, rows[1][2]) for k in range(15)] + [("c", 2000, [0.0] * 8), ("e", 3000, [1.0] * 8)]
+    v = spark.createDataFrame(rows, "corpus string, unit long, v array<double>")
+    q = v.where("unit % 20 = 0 and unit <> 2000").select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q"))
+    near, cost = vectors.nearest_by_cells(v, q, 7, 12)
+    wanted = vectors.nearest(v.where("unit <> 2000"), q, 7)
+    as_rows = lambda df: sorted((r["query_id"], r["rank"], r["unit"], round(r["similarity"], 8)) for r in df.collect())
+    assert as_rows(near) == as_rows(wanted)
+    total = cost.agg(F.sum("cells"), F.sum("searched")).first()
+    assert 2 * total[1] < total[0]
+    assert vectors.nearest_by_cells(v.limit(0), q, 7)[0].count() == 0
+
+
+def test_an_embedder_gets_batches_without_nulls(spark):
+    import numpy as np
+
+    from factloom.operators.vectors import embedder
+
+    embed = embedder(lambda texts: np.array([[len(t), t.count("a")] for t in texts]))
+    found = spark.createDataFrame([(1, "banana"), (2, None), (3, "")], "k int, t string").select("k", embed("t").alias("v")).orderBy("k").collect()
+    assert [r["v"] for r in found] == [[6.0, 3.0], None, [0.0, 0.0]]
+
+
+def test_superseded_facts_take_no_place_and_spans_share_heads(spark):
+    from factloom.operators import fusion
+
+    hits = spark.createDataFrame([("q", f"f{k}", k + 1) for k in range(5)], "query_id string, unit string, rank int")
+    units = spark.createDataFrame([(f"f{k}", k not in (0, 2)) for k in range(5)], "unit string, eligible boolean")
+    direct = fusion.direct(hits, units, "bm25", 0.4, 1, 2)
+    assert [r["unit"] for r in direct.orderBy("ordinal").collect()] == ["f1", "f3"]
+    spans = spark.createDataFrame([("q", "s1", 1), ("q", "s2", 2), ("q", "s3", 3)], "query_id string, unit string, rank int")
+    links = spark.createDataFrame([("s1", "f0", 1), ("s1", "f1", 2), ("s2", "f2", 1), ("s3", "f4", 1)], "span string, unit string, seq int")
+    through = fusion.through_spans(spans, links, units, "bm25", 0.4, 2, 2)
+    assert [(r["unit"], r["head"]) for r in through.orderBy("ordinal").collect()] == [("f1", "bm25:f1"), ("s2", "bm25:span:s2")]
+    fused = {r["unit"]: (r["n_heads"], round(r["confidence"], 4)) for r in fusion.fuse([direct, through]).collect()}
+    assert fused == {"f1": (1, 0.4), "f3": (1, 0.4), "s2": (1, 0.4)}
