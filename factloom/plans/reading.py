@@ -138,8 +138,8 @@ def value_board(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("polarity_modality", r"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(no longer|not |n''t\b|never |stopped |quit |cancell?ed |gave up|no more |ceased |discontinued |used to )') THEN 'negative' ELSE 'positive' END AS polarity,
-CASE WHEN regexp_matches(text, '(?i)\b(moved|relocated|switched|changed|quit|left|joined|became|started\s+(using|working|living|taking)|now\s+(lives?|uses?|works?|prefers?|takes?)|upgraded\s+to|switched\s+to)\b') THEN 'current_state' ELSE 'past_event' END AS modality FROM conversations""")
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '""" + tx.NEGATION.replace("'", "''") + r"""') THEN 'negative' ELSE 'positive' END AS polarity,
+CASE WHEN regexp_matches(text, '""" + tx.STATE_CHANGE + r"""') THEN 'current_state' ELSE 'past_event' END AS modality FROM conversations""")
 def polarity_modality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", tx.polarity(F.col("text")).alias("polarity"), tx.modality(F.lit("past_event"), F.col("text")).alias("modality"))
 
