@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates
-from ..functions.text import canonical_predicate, entity_id, modality, plain, polarity, stable_id
+from ..functions import dates, quantities
+from ..functions.text import canonical, canonical_predicate, entity_id, modality, plain, polarity, stable_id, word_tokens
 from .facts import confidence
 from .maintenance import update_like
 
@@ -108,25 +108,51 @@ def user_only(facts: DataFrame, spans: DataFrame) -> DataFrame:
     return facts.join(only, "fact_id", "left_anti")
 
 
-def facts_of_items(items: DataFrame) -> DataFrame:
+def alignment(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """items with exact (the span holds the support as it stands) and aligned (the share of the support's words that the span has)."""
+    words = lambda c: F.array_distinct(F.filter(word_tokens(F.col(c)), lambda t: F.length(t) > 2))
+    held = items.join(spans.select("span_id", F.col("text").alias("_span")), "span_id", "left").withColumns({"_sw": words("support_text"), "_tw": words("_span")})
+    share = F.when(F.size("_sw") > 0, F.size(F.array_intersect("_sw", "_tw")) / F.size("_sw")).otherwise(0.0)
+    exact = F.coalesce((canonical(F.col("support_text")) != "") & canonical(F.col("_span")).contains(canonical(F.col("support_text"))), F.lit(False))
+    return held.withColumns({"exact": exact, "aligned": share}).drop("_span", "_sw", "_tw")
+
+
+def facts_of_items(items: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """Facts from items (item_id, user_id, session_id, span_id, role, session_time, session_date, predicate_raw,
     event_type, kind, modality, subject, support_text, occurred_start, occurred_expr, occurred_anchor, confidence).
 
-    The steps in order: wording (source type, modality, polarity), predicate and subject, dates, backfill,
-    confidence, and whether the fact is update-like.
+    Where items also have quantity_value and quantity_unit, facts have quantity, unit, low, high and grounded; where they have
+    objects, object_ids; where they have valid_from or valid_until (dates or partial dates), these times. The steps in
+    order: wording (source type, modality, polarity), predicate and subject, quantity, dates, backfill, confidence, and
+    whether the fact is update-like. With spans (span_id, text) the confidence measures how the support stands in its span; without, the
+    item's word is taken for it.
     """
+    has = set(items.columns)
     said = F.concat_ws(" ", "predicate_raw", "support_text")
-    worded = items.select(
+    worded = (items if spans is None else alignment(items, spans)).select(
         "*", stable_id("fact", F.col("item_id")).alias("fact_id"), F.array("span_id").alias("span_ids"), source_type(said).alias("source_type"),
         modality(F.lower(F.trim(plain(F.col("modality")))), said).alias("_m"), canonical_predicate(F.col("predicate_raw"), F.col("event_type"), F.col("kind")).alias("predicate"),
         entity_id(F.when(plain(F.col("subject")) == "", "user").otherwise(F.col("subject"))).alias("subject_entity_id"),
     ).withColumn("modality", F.col("_m")).drop("_m")
+    if "quantity_value" in has:
+        stated = worded.withColumns({"quantity": F.col("quantity_value").try_cast("double"), "unit": quantities.unit(F.col("quantity_unit"))})
+        stated = stated.withColumns({"_range": quantities.quantity_range(F.col("quantity"), F.col("unit"), F.col("support_text")), "grounded": quantities.grounded(F.col("quantity"), said)})
+        worded = stated.withColumns({"low": F.col("_range.low"), "high": F.col("_range.high")}).drop("_range", "quantity_value", "quantity_unit")
+    if "objects" in has:
+        worded = worded.withColumn("object_ids", F.array_distinct(F.transform(F.filter("objects", lambda o: F.trim(plain(o)) != ""), lambda o: entity_id(o))))
     worded = worded.withColumns({"polarity": polarity(F.concat_ws(" ", "predicate_raw", "predicate", "support_text")), "_prefer": direction(F.col("modality"), said), "_text": said})
     dated = field_date(worded, "occurred_start", "occurred_expr", "occurred_anchor", "session_date", "_prefer", "_text", "occurred_date")
-    timed = dated.withColumns({"occurred_start": F.unix_timestamp(F.try_to_timestamp(F.substring("occurred_date", 1, 10), F.lit("yyyy-MM-dd"))).cast("double"), "time_precision": dates.precision(F.col("occurred_date")), "valid_from": F.lit(None).cast("double"), "document_time": F.col("session_time")})
-    filled = backfill_time(timed)
+    epoch = lambda c: F.unix_timestamp(F.coalesce(*(F.try_to_timestamp(F.substring(c, 1, n), F.lit(f)) for n, f in ((10, "yyyy-MM-dd"), (7, "yyyy-MM"), (4, "yyyy"))))).cast("double")
+    times = {"occurred_start": F.unix_timestamp(F.try_to_timestamp(F.substring("occurred_date", 1, 10), F.lit("yyyy-MM-dd"))).cast("double"), "time_precision": dates.precision(F.col("occurred_date")), "valid_from": epoch("valid_from") if "valid_from" in has else F.lit(None).cast("double"), "document_time": F.col("session_time")}
+    if "valid_until" in has:
+        times |= {"valid_until": epoch("valid_until"), "occurred_end": times["occurred_start"]}
+    timed = dated.withColumns(times)
+    filled = backfill_time(sane_intervals(timed) if "valid_until" in has else timed)
     explicit = F.col("source_type") == "explicit_text"
-    scored = confidence(F.col("span_id").isNotNull(), F.lit(True), F.lit(1.0), explicit, F.lit(1.0), F.col("occurred_date").isNotNull(), F.lit(False), F.col("confidence").try_cast("double"))
+    exact, aligned = (F.lit(True), F.lit(1.0)) if spans is None else (F.col("exact"), F.col("aligned"))
+    complete = F.lit(1.0) if not has & {"objects", "quantity_value"} else (F.lit(1.0) + F.col("occurred_date").isNotNull().cast("int") + (F.coalesce(F.size("object_ids"), F.lit(0)) > 0 if "objects" in has else F.lit(False)).cast("int")) / 3
+    measured = F.coalesce(F.col("grounded"), F.lit(False)) if "quantity_value" in has else F.lit(False)
+    scored = confidence(F.col("span_id").isNotNull(), exact, complete, explicit, aligned, F.col("occurred_date").isNotNull(), measured, F.col("confidence").try_cast("double"))
     return filled.withColumns({"confidence": F.round(scored, 3), "update_like": update_like(F.col("kind"), F.col("modality"), F.col("source_type"), F.col("_text"))}).drop("_prefer", "_text", "occurred_expr", "occurred_anchor")
 
 

@@ -240,6 +240,30 @@ def facts_of_items(spark: SparkSession, d: str) -> DataFrame:
     return f.select("item_id", "source_type", "polarity", "modality", "update_like", F.coalesce("occurred_date", F.lit("")).alias("occurred_date"), F.coalesce("time_source", F.lit("")).alias("time_source"))
 
 
+@_query("quantities_of_items", """
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_quantity::BIGINT AS q FROM lineitem)
+SELECT l_orderkey || '-' || n || '-' || q AS item_id, CASE n WHEN 1 THEN q WHEN 2 THEN q + 2 WHEN 3 THEN 4 WHEN 4 THEN 21 WHEN 5 THEN 1000 + q WHEN 6 THEN q END::DOUBLE AS quantity,
+  CASE n WHEN 1 THEN 'count' WHEN 2 THEN 'count' WHEN 3 THEN 'laps' WHEN 4 THEN 'duration' WHEN 5 THEN '' WHEN 6 THEN 'count' ELSE 'money' END AS unit,
+  CASE n WHEN 2 THEN q WHEN 3 THEN 3 END::DOUBLE AS low, CASE n WHEN 2 THEN q + 5 WHEN 3 THEN 5 END::DOUBLE AS high, CASE WHEN n IN (2, 3) THEN false WHEN n <= 6 THEN true END AS grounded,
+  round(0.30 + 0.20 + 0.20 * 2 / 3 + 0.15 + 0.10 + CASE WHEN n IN (1, 4, 5, 6) THEN 0.02 ELSE 0 END + 0.05 * 0.5, 3) AS confidence FROM l""")
+def quantities_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities in figures and words, with their ranges, units and whether the text states them."""
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    text = F.when(n == 1, F.format_string("bought %d boxes", q)).when(n == 2, F.format_string("between %d and %d visits", q, q + 5)).when(n == 3, "ran three to five laps").when(n == 4, "stayed for Twenty-one days")
+    text = text.when(n == 5, F.format_string("had 1,%03d coins", q)).when(n == 6, F.format_string("fell from %d to %d points", q + 5, q)).otherwise("paid well")
+    value = F.when(n == 2, q + 2).when(n == 3, 4).when(n == 4, 21).when(n == 5, q + 1000).otherwise(q).cast("string")
+    units = F.element_at(F.array(*map(F.lit, ("times", "visit_count", "laps", "days", "none", "count", "money"))), n.cast("int"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", q)
+    none = lambda *names: [F.lit("").alias(c) for c in names]
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct().select(
+        key.alias("item_id"), F.lit("u").alias("user_id"), F.lit("s").alias("session_id"), key.alias("span_id"), F.lit("user").alias("role"), F.lit(0.0).alias("session_time"), F.lit("2024-01-01").alias("session_date"),
+        F.lit("said a number").alias("predicate_raw"), F.lit("other").alias("event_type"), F.lit("event").alias("kind"), F.lit("past_event").alias("modality"), *none("subject", "occurred_start", "occurred_expr"),
+        F.lit("none").alias("occurred_anchor"), text.alias("support_text"), F.lit("0.5").alias("confidence"), F.when(n == 7, "a lot").otherwise(value).alias("quantity_value"), units.alias("quantity_unit"), F.array(F.lit("thing")).alias("objects"),
+    )
+    spans = rows.select("span_id", F.concat(F.lit("Well, I "), "support_text", F.lit(" then.")).alias("text"))
+    return items.facts_of_items(rows, spans).select("item_id", "quantity", "unit", "low", "high", "grounded", "confidence")
+
+
 @_query("interval_sanity", """WITH l AS (SELECT l_orderkey, l_linenumber, o_orderdate::DATE + 40 AS a, l_shipdate::DATE AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT l_orderkey, l_linenumber, CASE WHEN b >= a THEN strftime(b, '%Y-%m-%d') END AS valid_until, strftime(greatest(a, b), '%Y-%m-%d') AS occurred_end FROM l""")
 def interval_sanity(spark: SparkSession, d: str) -> DataFrame:
