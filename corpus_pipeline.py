@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next stage's docs. All but the last keep the columns of documents.
+again as the next stage's docs. All but the last keep the columns of documents. Nulls, empty and very long
+texts, repeated rows, empty tables and clashing columns have the results that the operators' modules state.
 """
 
 from __future__ import annotations
@@ -10,33 +11,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import bin_slack_packing, edit_decontamination, jaccard_join, quality_rules, quality_trees
-from factloom.llm.common import materialise, spread, table
+from factloom.llm.common import materialise, small_batches, spread, table
 from factloom.llm.queries import VOCABULARY
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
+    small_batches(spark)
     forest = quality_trees.train(docs, table(spark, sf_dir, "labels"))
     return quality_trees.keep_good(docs, forest)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that fail a quality rule."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
+    small_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
+    small_batches(spark)
     return edit_decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: one row a piece, as op8 returns them."""
+    small_batches(spark)
     return bin_slack_packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
