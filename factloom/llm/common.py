@@ -25,17 +25,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Rows that go to a Python worker at once: texts are long, and both sides hold a batch.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Makes batches of rows no larger than BATCH_ROWS from here on in this session; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[str]]:
     """df with its columns of these names (in any case) under other names, and all its names as they now are, in order."""
     taken, have = {n.lower() for n in names}, {c.lower() for c in df.columns}
