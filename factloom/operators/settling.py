@@ -1,4 +1,4 @@
-"""What is settled between rounds: a planner's claims, profiles of entities, and how far transcripts are stored."""
+"""What is settled between rounds: a planner's claims, questions, conflicts and aims, profiles of entities, and how far transcripts are stored."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ from pyspark.sql.window import Window
 STATUSES = ("supported", "disputed", "hypothesis")
 
 
+def _tidy(c: Column, most: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " ")), 1, most)
+
+
 def _line(c: str, most: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " ")), 1, most)
+    return _tidy(F.col(c), most)
 
 
 def claims(updates: DataFrame, known: DataFrame) -> DataFrame:
@@ -38,6 +42,55 @@ def claims(updates: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("question_id", "claim_id", "statement", "evidence_ids", "dropped_ids", status.alias("status"), F.coalesce("material", F.lit(True)).alias("material"), position.alias("position"))
 
 
+def open_questions(updates: DataFrame, most: int = 12) -> DataFrame:
+    """(run_id, question, material, position): what is open after all updates of a planner's run.
+
+    updates (run_id, step, questions array of (question, material), resolved array of strings). A
+    list of questions replaces all before it, of which the first most count and blank ones
+    go; without a list (null, not empty) the earlier ones stay but those resolved since. So only the last
+    list and what was resolved after it matter, and no update has to wait for the one before it.
+    """
+    last = updates.where("questions IS NOT NULL").groupBy("run_id").agg(F.max_by(F.struct("step", F.slice("questions", 1, most).alias("q")), "step").alias("_l"))
+    asked = last.select("run_id", "_l.step", F.posexplode("_l.q").alias("_pos", "_q")).withColumns({"question": _tidy(F.col("_q.question"), 500), "material": F.coalesce("_q.material", F.lit(True))}).where("question <> ''")
+    gone = updates.select("run_id", F.explode("resolved").alias("_q"), F.col("step").alias("_at")).select("run_id", _tidy(F.col("_q"), 500).alias("question"), "_at").groupBy("run_id", "question").agg(F.max("_at").alias("_at"))
+    left = asked.join(gone, ["run_id", "question"], "left").where("_at IS NULL OR _at <= step")
+    position = F.row_number().over(Window.partitionBy("run_id").orderBy("_pos")).cast("long")
+    return left.select("run_id", "question", "material", position.alias("position"))
+
+
+def conflicts(updates: DataFrame, known: DataFrame, most: int = 12) -> DataFrame:
+    """(run_id, position, description, evidence_ids, resolved, resolution): the conflicts of the last update that lists any.
+
+    updates (run_id, step, conflicts array of (description, evidence_ids, resolved, resolution));
+    of a list the first most count, null entries go. known (run_id, given, evidence_id): what a
+    given id stands for; ids that are not given there are dropped, others keep their order.
+    """
+    last = updates.where("conflicts IS NOT NULL").groupBy("run_id").agg(F.max_by(F.slice("conflicts", 1, most), "step").alias("_c"))
+    each = last.select("run_id", F.posexplode("_c").alias("_pos", "_c")).where("_c IS NOT NULL")
+    ids = each.select("run_id", "_pos", F.posexplode("_c.evidence_ids").alias("_at", "given")).join(known.select("run_id", "given", "evidence_id").distinct(), ["run_id", "given"])
+    held = ids.groupBy("run_id", "_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "evidence_id"))), lambda x: x["evidence_id"]).alias("_ids"))
+    position = F.row_number().over(Window.partitionBy("run_id").orderBy("_pos")).cast("long")
+    return each.join(held, ["run_id", "_pos"], "left").select(
+        "run_id", position.alias("position"), _tidy(F.col("_c.description"), 500).alias("description"), F.coalesce("_ids", F.array().cast("array<string>")).alias("evidence_ids"), F.coalesce("_c.resolved", F.lit(False)).alias("resolved"), _tidy(F.col("_c.resolution"), 500).alias("resolution"),
+    )
+
+
+# The kinds of question that a planner may name.
+CLASSES = ("ordinary", "enumeration", "count", "sum", "comparison")
+
+
+def aims(runs: DataFrame, updates: DataFrame) -> DataFrame:
+    """(run_id, objective, kind, needs_numbers): the last objective that is not blank, and the last kind that is one of CLASSES.
+
+    runs (run_id, objective), updates (run_id, step, objective, kind, needs_numbers); only
+    comparisons may need a count or sum (needs_numbers).
+    """
+    said, named = _tidy(F.col("objective"), 500), F.coalesce(F.col("kind").isin(*CLASSES), F.lit(False))
+    needs = (F.col("kind") == "comparison") & F.coalesce("needs_numbers", F.lit(False))
+    last = updates.groupBy("run_id").agg(F.max_by(said, F.when(said != "", F.col("step"))).alias("_o"), F.max_by(F.struct("kind", needs.alias("needs")), F.when(named, F.col("step"))).alias("_k"))
+    return runs.join(last, "run_id", "left").select("run_id", F.coalesce("_o", "objective").alias("objective"), F.col("_k.kind").alias("kind"), F.col("_k.needs").alias("needs_numbers"))
+
+
 def profile_id(user: str, entity: str, text: str) -> Column:
     return F.concat(F.lit("profile_"), F.substring(F.sha2(F.concat_ws("\x1f", user, entity, text).cast("binary"), 256), 1, 32))
 
