@@ -6,13 +6,14 @@ one equi-join with the edges, and what was reached before is taken out by an ant
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import entity_id
+from ..functions.text import entity_id, stable_id
 from ..sources.storage import kept
 from .matching import names_holding
 
@@ -29,6 +30,69 @@ def edges_of_facts(facts: DataFrame, fact: str, user: str, objects: str, day: Co
     return facts.select(F.col(fact).alias("src"), F.explode(every).alias("_e")).where(F.col("_e.dst").isNotNull()).select("src", "_e.edge_type", "_e.dst")
 
 
+@dataclass(frozen=True)
+class Confidence:
+    # How sure an edge of each kind is.
+    evidences: float = 0.98
+    roles: float = 0.90
+    mentions: float = 0.90
+    mention_link: float = 0.91
+    occurred: float = 0.86
+    quantity: float = 0.86
+
+
+def _last_of_id(items: Column, name: str) -> Column:
+    """Of the items with one id the last, as a later write of an id replaces the earlier one; compares within one fact only."""
+    ids = F.transform(items, lambda x: x[name])
+    return F.filter(items, lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size(ids)), x[name]))
+
+
+def _roles(facts: DataFrame) -> DataFrame:
+    """facts with _e: (role, entity_id, entity_name) of the roles that have a name."""
+    named = F.filter(F.coalesce("roles", F.array()), lambda r: F.coalesce(r["name"] != "", F.lit(False)))
+    return facts.withColumn("_e", F.transform(named, lambda r: F.struct(r["role"].alias("role"), entity_id(r["name"]).alias("entity_id"), r["name"].alias("entity_name"))))
+
+
+def materialise(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame:
+    """(edge_id, user_id, src, edge_type, dst, predicate_raw, predicate, confidence): all edges of each fact, in one pass without a shuffle.
+
+    facts (fact_id, user_id, span_ids, roles array of (role, name), day, quantity_value,
+    quantity_unit). A span EVIDENCES the fact; the role "subject" is SUBJECT_OF, others are OBJECT_OF, and both
+    are MENTIONS too; OCCURRED_DURING with a day, HAS_QUANTITY with a value or unit. Null and empty names make no
+    edges. Edges have ids of what they connect, so writing a fact twice changes nothing.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+
+    def edge(kind: str, dst: Column, said: Column, predicate: Column, confidence: float, *parts: Column) -> Column:
+        made = stable_id("fact_edge", F.col("fact_id"), *(parts or (dst,)), F.lit(kind))
+        return F.struct(made.alias("edge_id"), F.lit(kind).alias("edge_type"), dst.alias("dst"), said.alias("predicate_raw"), predicate.alias("predicate"), F.lit(confidence).alias("confidence"))
+
+    def role_edge(e: Column) -> Column:
+        ends = (e["entity_id"], F.concat(e["role"], F.lit(": "), e["entity_name"]), e["role"], sure.roles, e["entity_id"], e["role"])
+        return F.when(e["role"] == "subject", edge("SUBJECT_OF", *ends)).otherwise(edge("OBJECT_OF", *ends))
+
+    spans = F.transform(F.filter(F.coalesce("span_ids", F.array().cast("array<string>")), lambda s: s.isNotNull()), lambda s: edge("EVIDENCES", s, F.lit("source trace evidences memory unit"), F.lit("evidenced_by_source_trace"), sure.evidences))
+    mentions = F.transform("_e", lambda e: edge("MENTIONS", e["entity_id"], F.concat(F.lit("mentions "), e["entity_name"]), F.lit("mentions"), sure.mentions, e["entity_id"], e["role"]))
+    value, unit = F.col("quantity_value"), F.col("quantity_unit")
+    some = F.array(
+        F.when(F.col("day").isNotNull(), edge("OCCURRED_DURING", F.col("day"), F.lit("fact occurred during date"), F.lit("occurred_during"), sure.occurred)),
+        F.when(value.isNotNull() | F.coalesce(unit != "", F.lit(False)), edge("HAS_QUANTITY", F.concat_ws(":", text(value), text(unit)), F.lit("fact has quantity"), F.lit("has_quantity"), sure.quantity)),
+    )
+    every = F.concat(spans, F.transform("_e", role_edge), mentions, F.filter(some, lambda x: x.isNotNull()))
+    return _roles(facts).select("user_id", F.col("fact_id").alias("src"), F.explode(_last_of_id(every, "edge_id")).alias("_x")).select("_x.edge_id", "user_id", "src", "_x.edge_type", "_x.dst", "_x.predicate_raw", "_x.predicate", "_x.confidence")
+
+
+def mention_rows(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame:
+    """(mention_id, user_id, entity_id, entity_name, span_id, fact_id, role, link_confidence): each role's entity in each of the fact's spans.
+
+    facts as in ``materialise``; a name that a role repeats in another spelling of one entity is written once, as the last one.
+    """
+    each = _roles(facts).select("user_id", "fact_id", F.explode(F.array_distinct("span_ids")).alias("span_id"), "_e").where("span_id IS NOT NULL")
+    made = F.transform("_e", lambda e: F.struct(stable_id("mention", F.col("span_id"), F.col("fact_id"), e["role"], e["entity_id"]).alias("mention_id"), e["entity_id"].alias("entity_id"), e["entity_name"].alias("entity_name"), e["role"].alias("role")))
+    rows = each.select("user_id", "fact_id", "span_id", F.explode(_last_of_id(made, "mention_id")).alias("_m"))
+    return rows.select("_m.mention_id", "user_id", "_m.entity_id", "_m.entity_name", "span_id", "fact_id", "_m.role", F.lit(sure.mention_link).alias("link_confidence"))
+
+
 def registry(mentions: DataFrame, name: str, kind: str, mention: str, seq: str) -> DataFrame:
     """(entity_id, entity_type, surface_forms, mention_count): forms in first-seen order, the first type that is not 'concept'."""
     seen = mentions.select(entity_id(F.col(name)).alias("entity_id"), F.col(name).alias("_n"), F.col(kind).alias("_k"), F.col(mention).alias("_m"), F.col(seq).alias("_s"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answering, boards, evidence, maintaining, reading, retrieval, settling, streams, versions, writing
+from . import answering, boards, evidence, maintaining, reading, retrieval, settling, streams, versions, wide, writing
 
-_MODULES = (retrieval, versions, reading, writing, answering, maintaining, evidence, settling, boards, streams)
+_MODULES = (retrieval, versions, reading, writing, answering, maintaining, evidence, settling, boards, wide, streams)
 
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
