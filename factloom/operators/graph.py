@@ -41,16 +41,12 @@ class Confidence:
     quantity: float = 0.86
 
 
-def _last_of_id(items: Column, name: str) -> Column:
-    """Of the items with one id the last, as a later write of an id replaces the earlier one; compares within one fact only."""
-    ids = F.transform(items, lambda x: x[name])
-    return F.filter(items, lambda x, i: ~F.array_contains(F.slice(ids, i + 2, F.size(ids)), x[name]))
-
-
 def _roles(facts: DataFrame) -> DataFrame:
-    """facts with _e: (role, entity_id, entity_name) of the roles that have a name."""
+    """facts with _e: (role, entity_id, entity_name) of the roles that have a name; of one entity in one role the last, as its edges have one id."""
     named = F.filter(F.coalesce("roles", F.array()), lambda r: F.coalesce(r["name"] != "", F.lit(False)))
-    return facts.withColumn("_e", F.transform(named, lambda r: F.struct(r["role"].alias("role"), entity_id(r["name"]).alias("entity_id"), r["name"].alias("entity_name"))))
+    made = facts.withColumn("_e", F.transform(named, lambda r: F.struct(r["role"].alias("role"), entity_id(r["name"]).alias("entity_id"), r["name"].alias("entity_name"))))
+    again = lambda x, i: F.exists(F.slice("_e", i + 2, F.size("_e")), lambda y: (y["entity_id"] == x["entity_id"]) & (y["role"].eqNullSafe(x["role"])))
+    return made.withColumn("_e", F.filter("_e", lambda x, i: ~again(x, i)))
 
 
 def materialise(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame:
@@ -63,23 +59,25 @@ def materialise(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame:
     """
     text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
 
-    def edge(kind: str, dst: Column, said: Column, predicate: Column, confidence: float, *parts: Column) -> Column:
-        made = stable_id("fact_edge", F.col("fact_id"), *(parts or (dst,)), F.lit(kind))
-        return F.struct(made.alias("edge_id"), F.lit(kind).alias("edge_type"), dst.alias("dst"), said.alias("predicate_raw"), predicate.alias("predicate"), F.lit(confidence).alias("confidence"))
+    def edge(kind: str, dst: Column, said: Column, predicate: Column, confidence: float, role: Column | None = None) -> Column:
+        # What the id is made of is put together here and hashed after the explode, once an edge.
+        parts = dst if role is None else F.concat_ws("|", dst, role)
+        return F.struct(F.lit(kind).alias("edge_type"), dst.alias("dst"), said.alias("predicate_raw"), predicate.alias("predicate"), F.lit(confidence).alias("confidence"), parts.alias("parts"))
 
     def role_edge(e: Column) -> Column:
-        ends = (e["entity_id"], F.concat(e["role"], F.lit(": "), e["entity_name"]), e["role"], sure.roles, e["entity_id"], e["role"])
+        ends = (e["entity_id"], F.concat(e["role"], F.lit(": "), e["entity_name"]), e["role"], sure.roles, e["role"])
         return F.when(e["role"] == "subject", edge("SUBJECT_OF", *ends)).otherwise(edge("OBJECT_OF", *ends))
 
-    spans = F.transform(F.filter(F.coalesce("span_ids", F.array().cast("array<string>")), lambda s: s.isNotNull()), lambda s: edge("EVIDENCES", s, F.lit("source trace evidences memory unit"), F.lit("evidenced_by_source_trace"), sure.evidences))
-    mentions = F.transform("_e", lambda e: edge("MENTIONS", e["entity_id"], F.concat(F.lit("mentions "), e["entity_name"]), F.lit("mentions"), sure.mentions, e["entity_id"], e["role"]))
+    spans = F.transform(F.array_distinct(F.filter(F.coalesce("span_ids", F.array().cast("array<string>")), lambda s: s.isNotNull())), lambda s: edge("EVIDENCES", s, F.lit("source trace evidences memory unit"), F.lit("evidenced_by_source_trace"), sure.evidences))
+    mentions = F.transform("_e", lambda e: edge("MENTIONS", e["entity_id"], F.concat(F.lit("mentions "), e["entity_name"]), F.lit("mentions"), sure.mentions, e["role"]))
     value, unit = F.col("quantity_value"), F.col("quantity_unit")
     some = F.array(
         F.when(F.col("day").isNotNull(), edge("OCCURRED_DURING", F.col("day"), F.lit("fact occurred during date"), F.lit("occurred_during"), sure.occurred)),
         F.when(value.isNotNull() | F.coalesce(unit != "", F.lit(False)), edge("HAS_QUANTITY", F.concat_ws(":", text(value), text(unit)), F.lit("fact has quantity"), F.lit("has_quantity"), sure.quantity)),
     )
-    every = F.concat(spans, F.transform("_e", role_edge), mentions, F.filter(some, lambda x: x.isNotNull()))
-    return _roles(facts).select("user_id", F.col("fact_id").alias("src"), F.explode(_last_of_id(every, "edge_id")).alias("_x")).select("_x.edge_id", "user_id", "src", "_x.edge_type", "_x.dst", "_x.predicate_raw", "_x.predicate", "_x.confidence")
+    each = _roles(facts).select("user_id", F.col("fact_id").alias("src"), F.explode(F.concat(spans, F.transform("_e", role_edge), mentions, some)).alias("_x")).where("_x IS NOT NULL")
+    made = stable_id("fact_edge", F.col("src"), F.col("_x.parts"), F.col("_x.edge_type"))
+    return each.select(made.alias("edge_id"), "user_id", "src", "_x.edge_type", "_x.dst", "_x.predicate_raw", "_x.predicate", "_x.confidence")
 
 
 def mention_rows(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame:
@@ -88,9 +86,9 @@ def mention_rows(facts: DataFrame, sure: Confidence = Confidence()) -> DataFrame
     facts as in ``materialise``; a name that a role repeats in another spelling of one entity is written once, as the last one.
     """
     each = _roles(facts).select("user_id", "fact_id", F.explode(F.array_distinct("span_ids")).alias("span_id"), "_e").where("span_id IS NOT NULL")
-    made = F.transform("_e", lambda e: F.struct(stable_id("mention", F.col("span_id"), F.col("fact_id"), e["role"], e["entity_id"]).alias("mention_id"), e["entity_id"].alias("entity_id"), e["entity_name"].alias("entity_name"), e["role"].alias("role")))
-    rows = each.select("user_id", "fact_id", "span_id", F.explode(_last_of_id(made, "mention_id")).alias("_m"))
-    return rows.select("_m.mention_id", "user_id", "_m.entity_id", "_m.entity_name", "span_id", "fact_id", "_m.role", F.lit(sure.mention_link).alias("link_confidence"))
+    rows = each.select("user_id", "fact_id", "span_id", F.explode("_e").alias("_m"))
+    made = stable_id("mention", F.col("span_id"), F.col("fact_id"), F.col("_m.role"), F.col("_m.entity_id"))
+    return rows.select(made.alias("mention_id"), "user_id", "_m.entity_id", "_m.entity_name", "span_id", "fact_id", "_m.role", F.lit(sure.mention_link).alias("link_confidence"))
 
 
 def registry(mentions: DataFrame, name: str, kind: str, mention: str, seq: str) -> DataFrame:
