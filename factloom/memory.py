@@ -11,10 +11,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.runs import Limits
 from .functions.text import entity_id
-from .operators import context, facts, filters, fusion, graph, ingest, lexical
+from .operators import context, facts, filters, fusion, graph, ingest, lexical, refining
 from .operators.index import Index
 from .sources.storage import Store
 
@@ -67,6 +68,65 @@ class MemoryFrame:
             kept = filters.narrow(kept.join(sessions, "unit", "left"), scopes, scope).drop("session_id")
         return kept
 
+    def _cards(self) -> DataFrame:
+        """(unit, user_id, at) and the columns of a card: of facts and of turns."""
+        turns = self.tables["turns"].select(F.col("turn_id").alias("unit"), "user_id", F.col("timestamp").alias("at"), "session_id", "role", "content", F.lit("turn").alias("kind"), F.timestamp_seconds("timestamp").cast("timestamp_ntz").cast("string").alias("created"))
+        out = refining.cards(turns)
+        if "facts" in self.tables:
+            held = self.tables["facts"].withColumns({"unit": F.col("fact_id"), "at": F.col("valid_from") / 1e6, "valid_from": F.timestamp_micros("valid_from").cast("timestamp_ntz").cast("string")})
+            given = {"kind": F.lit("fact"), "content": F.concat_ws(" ", "predicate", "object", "support"), "predicate_raw": F.col("predicate"), "roles": F.array(F.struct(F.lit("object").alias("role"), F.col("object").alias("name")))}
+            held = held.withColumns({c: v for c, v in given.items() if c not in held.columns})
+            out = out.unionByName(refining.cards(held).select(*out.columns))
+        return out
+
+    def refine(self, queries: DataFrame, wanted: refining.CardFilter, limit: int = 10, offset: int = 0) -> DataFrame:
+        """(query_id, user_id, unit, rank, score, position, total): a page of a wide search, of which only what is wanted stays."""
+        found = self.search(queries, max(limit * 10 + offset, 120), "wide").join(self._cards(), ["user_id", "unit"])
+        kept = refining.refine_cards(found, wanted).select("query_id", "user_id", "unit", "rank", "score")
+        return filters.page(kept, ["query_id"], [F.col("rank")], offset, limit)
+
+    def result(self, asked: DataFrame) -> DataFrame:
+        """(id, kind, row as JSON) of what ids (user_id, id) stand for, with or without the prefix of an evidence id, within their user's rows.
+
+        kind is fact, turn or not_found.
+        """
+        named = asked.withColumn("id", F.concat_ws("\x1f", "user_id", filters.strip_evidence_prefix(F.trim("id"))))
+        own = lambda name, key: self.tables[name].withColumn("_key", F.concat_ws("\x1f", "user_id", key))
+        tables = [("fact", own("facts", "fact_id"), "_key")] if "facts" in self.tables else []
+        found = filters.lookup("id", [*tables, ("turn", own("turns", "turn_id"), "_key")], named.select("id").distinct())
+        parts = F.split("id", "\x1f")
+        return found.select(parts[0].alias("user_id"), parts[1].alias("id"), "kind", "row")
+
+    def session(self, asked: DataFrame) -> DataFrame:
+        """(user_id, session_id, position, turn_id, role, content): all turns of sessions (user_id, session_id) in their order."""
+        turns = self.tables["turns"].join(asked.select("user_id", "session_id").distinct(), ["user_id", "session_id"])
+        order = Window.partitionBy("user_id", "session_id").orderBy("idx", "turn_id")
+        return turns.select("user_id", "session_id", F.row_number().over(order).alias("position"), "turn_id", "role", "content")
+
+    def event_timeline(self, phrases: DataFrame, limit: int = 5, low: float | None = None, high: float | None = None) -> DataFrame:
+        """(query_id, user_id, event, unit, at, rank, position): the best evidence of each phrase (query_id, user_id, event), and its place in time.
+
+        low and high limit the time in seconds; what has none stays, and comes last.
+        """
+        one = F.concat_ws("\x1f", "query_id", "event")
+        found = self.search(phrases.select(one.alias("query_id"), "user_id", F.col("event").alias("text")).distinct(), limit)
+        named = phrases.select(one.alias("_q"), "query_id", "event").distinct()
+        each = found.withColumnRenamed("query_id", "_q").join(named, "_q").join(self._cards().select("user_id", "unit", "at"), ["user_id", "unit"])
+        order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("at"), "rank", "event", "unit")
+        return filters.window(each, "at", low, high).select("query_id", "user_id", "event", "unit", "at", "rank", F.row_number().over(order).alias("position"))
+
+    def evidence_count(self, queries: DataFrame, limit: int = 20, low: float | None = None, high: float | None = None) -> DataFrame:
+        """(query_id, unit, labels, day, position): what speaks for the labels of queries (query_id, user_id, text, labels array), each unit once with all its labels.
+
+        Labels of a query may mean the same, so their hits are united, not added up.
+        """
+        each = queries.select("query_id", "user_id", "text", F.posexplode("labels").alias("_pos", "label"))
+        one = F.concat_ws("\x1f", "query_id", F.lpad(F.col("_pos").cast("string"), 9, "0"))
+        found = self.search(each.select(one.alias("query_id"), "user_id", F.trim(F.concat_ws(" ", "text", "label")).alias("text")), limit)
+        hits = found.withColumnRenamed("query_id", "_q").join(each.select(one.alias("_q"), "query_id", "label", "_pos"), "_q").join(self._cards().select("user_id", "unit", "at"), ["user_id", "unit"])
+        seen = hits.withColumns({"day": F.timestamp_seconds("at").cast("timestamp_ntz").cast("date").cast("string"), "_seen": F.col("_pos").cast("long") * 1_000_000 + F.col("rank")})
+        return context.roster(filters.window(seen, "at", low, high), "unit", "label", "day", "_seen", ["query_id"])
+
     def build_context(self, queries: DataFrame, tokens: int, limit: int = 24) -> DataFrame:
         """(query_id, position, line, unit): what fits a reader's budget, best first."""
         texts = self.tables["turns"].select(F.col("turn_id").alias("unit"), F.concat_ws(": ", "role", "content").alias("line"))

@@ -110,10 +110,10 @@ def strip_evidence_prefix(value: Column) -> Column:
 
 
 def lookup(key: Column, tables: Sequence[tuple[str, DataFrame, str]], asked: DataFrame) -> DataFrame:
-    """(id, kind, row as JSON) of asked ids in the first table that has them, else kind not_found."""
+    """(id, kind, row as JSON) of asked ids in the first table that has them, else kind not_found. A key column that starts with _ is no part of the row."""
     parts = None
     for priority, (kind, df, column) in enumerate(tables):
-        hit = asked.join(df, asked["id"] == df[column]).select(asked["id"], F.lit(priority).alias("p"), F.lit(kind).alias("kind"), F.to_json(F.struct(*(df[c] for c in df.columns))).alias("row"))
+        hit = asked.join(df, asked["id"] == df[column]).select(asked["id"], F.lit(priority).alias("p"), F.lit(kind).alias("kind"), F.to_json(F.struct(*(df[c] for c in df.columns if c != column or not column.startswith("_")))).alias("row"))
         parts = hit if parts is None else parts.unionByName(hit)
     best = parts.groupBy("id").agg(F.min(F.struct("p", "kind", "row")).alias("_b"))
     return asked.join(best, "id", "left").select("id", F.coalesce("_b.kind", F.lit("not_found")).alias("kind"), F.col("_b.row").alias("row"))

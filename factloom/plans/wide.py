@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph, lexical, vectors, wide
+from ..operators import graph, lexical, refining, vectors, wide
+from ..operators.refining import CardFilter
 from ..sources.adapters import facts, turns
 from ..sources.storage import kept, spread
 from .answering import SQL_FACTS
@@ -125,3 +126,32 @@ def edges_whole(spark: SparkSession, d: str) -> DataFrame:
 @_query("mention_rows", f"WITH {SQL_ROLES} SELECT {_sql_id('mention', 'span_id', 'r.fact_id', 'role', 'entity_id')} AS mention_id, user_id, entity_id, name AS entity_name, span_id, r.fact_id, role, 0.91::DOUBLE AS link_confidence FROM r JOIN s ON r.fact_id = s.fact_id")
 def mention_rows(spark: SparkSession, d: str) -> DataFrame:
     return graph.mention_rows(_with_roles(spark, d))
+
+
+# Each filter with the condition that DuckDB has for it.
+FILTERS = {
+    "by_source": (CardFilter(source_types=["view"], channels=["click", "view"]), "source IN ('view', 'click')"),
+    "by_type_or_kind": (CardFilter(event_types=["view"], types=["odd"]), "event_type = 'view' OR seq % 2 = 1"),
+    "by_roles": (CardFilter(entity_roles={"object": ["KEY 1", "key 2"]}), "object IS NOT NULL AND (object LIKE '1%' OR object LIKE '2%')"),
+    "by_missing_role": (CardFilter(entity_roles={"place": "key"}), "false"),
+    "by_entity": (CardFilter(entity="Key 4"), "coalesce(object LIKE '4%', false)"),
+    "by_session_status_unit": (CardFilter(session_id="s3", status="current", quantity_units=["count", "money"]), "seq % 5 = 3 AND seq % 4 > 0 AND seq % 3 > 0"),
+    "by_confidence": (CardFilter(min_confidence=0.5, modalities=["fact"]), "quantity >= 50 AND seq % 7 > 0"),
+    "by_occurred": (CardFilter(occurred_from="2024-01-05", occurred_to="2024-01-20T12:00:00"), "seq % 6 > 0 AND said BETWEEN 5 AND 20"),
+    "by_created": (CardFilter(created_from="2024-01-09", created_to="not a day"), "seq % 9 > 0 AND said >= 9"),
+    "by_valid": (CardFilter(valid_from="2024-01-05", valid_to="2024-01-20"), "(seq % 6 = 0 OR said >= 5) AND (seq % 9 = 0 OR said <= 20)"),
+    "by_terms": (CardFilter(include_terms=["A", "Key 1"], exclude_terms=["view"], kinds=["even"], source_roles=["user"]), "seq % 2 = 0 AND event_type <> 'view' AND coalesce(object LIKE '1%', false)"),
+}
+
+
+@_query("refine_cards", f"WITH {SQL_FACTS}, c AS (SELECT *, seq % 28 + 1 AS said, CASE WHEN seq % 8 > 0 THEN event_type END AS source FROM facts) SELECT fact_id, {', '.join(f'coalesce({sql}, false) AS {name}' for name, (_, sql) in FILTERS.items())} FROM c")
+def refine_cards(spark: SparkSession, d: str) -> DataFrame:
+    f, seq = facts(spark, d), F.col("seq")
+    day = F.concat(F.lit("2024-01-"), F.lpad((seq % 28 + 1).cast("string"), 2, "0"))
+    undated, unsaid = F.when(seq % 6 > 0, day), F.when(seq % 9 > 0, day).otherwise(F.when(seq % 2 == 0, "someday"))
+    rows = f.select(
+        "fact_id", F.when(seq % 8 > 0, F.col("event_type")).alias("source_type"), F.col("event_type").alias("type"), F.when(seq % 2 == 0, "even").otherwise("odd").alias("kind"), F.when(seq % 7 > 0, "fact").alias("modality"), F.lit("user").alias("role"), F.concat(F.lit("s"), (seq % 5).cast("string")).alias("session_id"),
+        F.when(seq % 4 > 0, "current").alias("status"), F.when(seq % 3 > 0, "count").alias("quantity_unit"), F.concat(F.lit("a "), F.col("event_type")).alias("content"), (F.col("quantity") / 100).alias("confidence"), undated.alias("occurred"), unsaid.alias("created"), undated.alias("valid_from"), unsaid.alias("valid_until"),
+        F.array(F.struct(F.lit("object").alias("role"), F.concat(F.lit("Key "), "object").alias("name"))).alias("roles"),
+    )
+    return refining.cards(rows).select("fact_id", *(refining.matches(wanted).alias(name) for name, (wanted, _) in FILTERS.items()))

@@ -64,3 +64,30 @@ def test_excerpts(spark):
     assert "needle" in got and len(got) < 1000 and excerpt_one("short", ["a"]) == "short" and len(excerpt_one(text, [])) == 3200
     row = spark.createDataFrame([(text,), (None,)], "t string").select(excerpts("t", query_terms(F.lit("the needle")))).collect()
     assert "needle" in row[0][0] and row[1][0] == ""
+
+
+def test_refined_results_sessions_and_counts(spark, memory):
+    from factloom.operators.refining import CardFilter
+
+    q = asked(spark, "flew flight Oslo puppy")
+    units = lambda df: {r["unit"] for r in df.collect()}
+    assert units(memory.refine(q, CardFilter(types=["fact"], exclude_terms=["puppy"]))) == {"f1", "f3"}
+    assert units(memory.refine(q, CardFilter(source_roles=["assistant"]))) == {"s1_1"}
+    assert units(memory.refine(q, CardFilter(entity_roles={"object": ["osl"]}))) == {"f1"}
+    page = memory.refine(q, CardFilter(include_terms=["o"]), limit=1, offset=1).collect()
+    assert len(page) == 1 and page[0]["total"] > 1 and page[0]["position"] == 2
+    ids = spark.createDataFrame([("u", "ev_fact:f1"), ("u", "ev_turn:s1:s1_0"), ("v", "f1"), ("u", "no")], "user_id string, id string")
+    assert {(r["user_id"], r["id"], r["kind"]) for r in memory.result(ids).collect()} == {("u", "f1", "fact"), ("u", "s1_0", "turn"), ("v", "f1", "not_found"), ("u", "no", "not_found")}
+    whole = memory.session(spark.createDataFrame([("u", "s1"), ("v", "s1")], "user_id string, session_id string"))
+    assert [(r["position"], r["turn_id"]) for r in whole.orderBy("position").collect()] == [(1, "s1_0"), (2, "s1_1")]
+
+
+def test_timelines_of_phrases_and_rosters_of_labels(spark, memory):
+    phrases = spark.createDataFrame([("q", "u", "adopted puppy"), ("q", "u", "flew Rome")], "query_id string, user_id string, event string")
+    found = memory.event_timeline(phrases).orderBy("position").collect()
+    assert [r["at"] for r in found] == sorted(r["at"] for r in found)
+    assert {r["unit"] for r in found if r["event"] == "adopted puppy"} == {"f2", "s2_0"} and any(r["unit"] == "f3" and r["event"] == "flew Rome" for r in found)
+    assert {r["unit"] for r in memory.event_timeline(phrases, high=2.5).collect()}.isdisjoint({"f3"})
+    asks = spark.createDataFrame([("q", "u", "flew", ["Oslo", "Rome"])], "query_id string, user_id string, text string, labels array<string>")
+    counted = {r["unit"]: r["labels"] for r in memory.evidence_count(asks).collect()}
+    assert set(counted["f1"]) == {"Oslo", "Rome"} and set(counted["f3"]) == {"Oslo", "Rome"}
