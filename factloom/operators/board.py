@@ -18,13 +18,13 @@ from ..functions.text import excerpt, plain, query_terms
 
 # Wording that asks for older values, speaks of changes, of sums and of places; how
 # ranges and times of day are written; the numbers that ranges have as words.
-HISTORY = r"(?i)\b(previous|former|formerly|used to|earlier|before |prior|originally|initial(?:ly)?|at first|old|last time|history|past)\b"
-DELTA = r"(?i)\b(new\s+followers?|additional|gained|growth|increase|delta|last\s+\w+\s+weeks?)\b"
-AGGREGATE = r"(?i)\b(total|sum|combined|altogether|overall|all|in\s+total|plus|together|completed\s+.*courses?|course[s]?\s+.*completed|donations?|expenses?)\b"
-STATE = r"(?i)\b(where|location|stored?|keep|kept|put|place)\b"
-TIME = r"(?i)\b(\d{1,2}:\d{2})\s*(am|pm)?\b"
+HISTORY = r"(?iU)\b(previous|former|formerly|used to|earlier|before |prior|originally|initial(?:ly)?|at first|old|last time|history|past)\b"
+DELTA = r"(?iU)\b(new\s+followers?|additional|gained|growth|increase|delta|last\s+\w+\s+weeks?)\b"
+AGGREGATE = r"(?iU)\b(total|sum|combined|altogether|overall|all|in\s+total|plus|together|completed\s+.*courses?|course[s]?\s+.*completed|donations?|expenses?)\b"
+STATE = r"(?iU)\b(where|location|stored?|keep|kept|put|place)\b"
+TIME = r"(?iU)\b(\d{1,2}:\d{2})\s*(am|pm)?\b"
 _WORD = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve"
-RANGE = rf"(?i)\b(?:(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)|({_WORD})\s*[-–]\s*({_WORD}))\s+(hours?|minutes?|days?|weeks?)\b"
+RANGE = rf"(?iU)\b(?:(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)|({_WORD})\s*[-–]\s*({_WORD}))\s+(hours?|minutes?|days?|weeks?)\b"
 DELTA_PREDICATES = ("growth", "engagement", "likes", "comments")
 TOTAL_PREDICATES = ("count", "total", "nearing")
 VALUE_TYPES = ("money", "count", "time", "duration")
