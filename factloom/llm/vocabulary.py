@@ -3,7 +3,7 @@
 Most pre-tokens of a text are one token of the vocabulary. ``prove`` finds out ahead of
 any text, on the driver, which vocabulary strings encode alone as exactly one token; the
 executors look those up and send only the other pre-tokens through the merges (each once
-for a run of texts, as results are kept in a bounded table).
+for a run of texts, whatever stands beside it, as results are kept in a bounded table).
 
 The short way holds only where this module splits texts as the library does. It is
 used for stretches whose characters are all in ``_KNOWN``, whose case, normal form and class
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -105,12 +106,20 @@ class Encoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole, self.letters = whole, byte_letters()
-        self.counts = _Table(dict.fromkeys(whole, 1), lambda stretch: sum(map(len, self._merged(stretch))))
-        self.ids = _Table({w: _packed([i]) for w, i in whole.items()}, lambda stretch: b"".join(map(_packed, self._merged(stretch))))
+        self.counts = _Table(dict.fromkeys(whole, 1), self._count)
+        self.ids = _Table({w: _packed([i]) for w, i in whole.items()}, self._ids)
 
-    def _merged(self, stretch: str) -> list[list[int]]:
-        """Ids of each pre-token: by look-up where proved, else by the model's merges."""
-        return [[self.whole[p]] if p in self.whole else [t.id for t in self.library.model.tokenize("".join(self.letters[b] for b in p.encode()))] for p in _PIECES.findall(stretch)]
+    def _count(self, stretch: str) -> int:
+        pieces = _PIECES.findall(stretch)
+        return len(self._merged(stretch)) if len(pieces) == 1 else sum(map(self.counts.__getitem__, pieces))
+
+    def _ids(self, stretch: str) -> bytes:
+        pieces = _PIECES.findall(stretch)
+        return _packed([t.id for t in self._merged(stretch)]) if len(pieces) == 1 else b"".join(map(self.ids.__getitem__, pieces))
+
+    def _merged(self, piece: str) -> list:
+        """The tokens of one pre-token by the model's merges; in ASCII each byte's letter is the character itself."""
+        return self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
 
     def _hard(self, text: str) -> bool:
         return bool(_UNKNOWN.search(text)) or any(s in text for s in self.special)
@@ -133,7 +142,7 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)

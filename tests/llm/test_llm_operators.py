@@ -115,6 +115,16 @@ def test_tokens_equal_the_library(spark):
         assert (found[k]["n_tokens"], found[k]["n_bytes"], found[k]["over_limit"]) == (len(ids[k]), len((t or "").encode()), len(ids[k]) > 3)
 
 
+def test_each_piece_is_merged_once_whatever_stands_beside_it(monkeypatch):
+    own, lib, merged = vocabulary.Encoder(*vocabulary.read(PATH)), library(), []
+    merge = own._merged
+    monkeypatch.setattr(own, "_merged", lambda piece: merged.append(piece) or merge(piece))
+    text = "qxzvwk qxzvwk, (qxzvwk) Qxzvwk's \u201cqxzvwk\u201d qüxzvwk; qxzvwk7"
+    ids = lib.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids) and own.count(text) == len(ids)
+    assert merged.count("qxzvwk") == 2 and merged.count("qüxzvwk") == 2  # once for the ids, once for the count
+
+
 # ---- 3
 
 
