@@ -460,6 +460,40 @@ def test_all_parts_of_an_article_are_taken():
     assert html_wrappers.extract(f"<html><body>{body}</body></html>", None) == "First part. The second, longer part."
 
 
+def in_article(body, k):
+    return f"<html><body><article><h1>T{k}</h1>{body}</article></body></html>"
+
+
+@pytest.mark.parametrize("n", [3, 30])
+def test_pages_with_a_named_article_come_to_the_expression(spark, monkeypatch, n):
+    monkeypatch.setattr(html_wrappers, "PART", 7)  # parts, and parts of parts
+    notice = '<div class="legal">All prices with tax, all words without warranty.</div>'
+    pages = [("http://a.io/", in_article(f'<p>{words_of(k)}</p>{notice}<div class="legal">Law {words_of(50 + k)}</div>', k)) for k in range(n)]
+    found = html_wrappers.infer([h for _, h in pages])["named"]
+    assert [e["pages"] for e in found.values()] == [n] and "#slot" in html_wrappers.regex(*found.values())
+    wanted = [f"T{k} {words_of(k)} Law {words_of(50 + k)}" for k in range(n)]  # the same name: constant, a notice; varying, a paragraph
+    assert extracted(spark, pages + pages[:2]) == dict(enumerate(wanted + wanted[:2]))
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0)
+    assert extracted(spark, pages) == dict(enumerate(wanted))
+
+
+def test_notices_stay_where_the_expression_tells_only_copies_apart(spark):
+    same = f'<p>{words_of(1)}</p><div class="legal">All words without warranty.</div>'
+    found = extracted(spark, [("http://c.io/", in_article(same + f"<p>Edition {k}</p>", "")) for k in range(4)])
+    assert [found[k] for k in range(4)] == [f"T {words_of(1)} All words without warranty. Edition {k}" for k in range(4)]
+
+
+def test_what_varies_is_the_article_whatever_the_names_say(spark):
+    box = f'<div class="content"><p>{words_of(1, 30)}</p></div>'
+    alone = [("http://a.io/", f'<body>{box}<div class="k3"><p>{words_of(10 + k)}</p></div></body>') for k in range(6)]
+    longer = f'<div class="content"><p>{words_of(2, 30)}</p></div>'
+    several = [("http://s.io/", f'<body>{longer}<div class="story"><p>{words_of(30 + k, 25)}</p></div><div class="k4"><p>{words_of(60 + k)}</p></div></body>') for k in range(6)]
+    found = extracted(spark, alone + several)
+    assert [found[k] for k in range(12)] == [words_of(10 + k) for k in range(6)] + [words_of(30 + k, 25) for k in range(6)]
+    firm = [("http://f.io/", f"<body><article><p>{words_of(1, 30)}</p></article><p>{words_of(10 + k)}</p></body>") for k in range(6)]
+    assert set(extracted(spark, firm).values()) == {words_of(1, 30)}  # a tag is no guess
+
+
 # ---- 7
 
 
