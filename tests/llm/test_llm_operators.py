@@ -494,6 +494,12 @@ def test_what_varies_is_the_article_whatever_the_names_say(spark):
     assert set(extracted(spark, firm).values()) == {words_of(1, 30)}  # a tag is no guess
 
 
+def test_text_under_doubtful_names_does_not_choose_a_candidate():
+    for tag in ("div", "span"):
+        body = f'<div class="content"><p>The few words.</p></div><div class="story"><{tag} class="legal">{words_of(1)}</{tag}><p>x</p></div>'
+        assert html_wrappers.extract(f"<body>{body}</body>", None) == "The few words."
+
+
 # ---- 7
 
 
