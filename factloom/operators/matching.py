@@ -2,7 +2,7 @@
 
 Each side is cut into grams or words, the other side is looked up by its rarest one, and only what
 meets there is compared. Nothing is compared with everything, so a session or user with very many rows
-costs its own rows and what really shares something rare.
+costs its own rows and what really shares something rare. Only a session's few items are compared with its spans as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..sources.storage import kept
 GRAM = 3
 #: Letters of a gram in texts: the shortest quote.
 QUOTE = 6
+#: Items of one session that are compared with all its spans; that costs less than the grams of the spans.
+COMPARED = 64
 
 
 def grams(text: Column, size: int) -> Column:
@@ -27,7 +29,7 @@ def grams(text: Column, size: int) -> Column:
 
 def _rarest(asked: DataFrame, counts: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     """asked (key, by, gram) with the one gram of each key that fewest rows have; none where a gram is nowhere."""
-    known = asked.join(counts, [*by, "gram"], "left").select(*key, *by, "gram", F.coalesce("n", F.lit(0)).alias("n"))
+    known = asked.join(counts.hint("merge"), [*by, "gram"], "left").select(*key, *by, "gram", F.coalesce("n", F.lit(0)).alias("n"))
     least = known.groupBy(*key, *by).agg(F.min(F.struct("n", "gram")).alias("_g"))
     return least.where(F.col("_g.n") > 0).select(*key, *by, F.col("_g.gram").alias("gram"))
 
@@ -83,14 +85,15 @@ def timeline_by_terms(terms: DataFrame, mentions: DataFrame, facts: DataFrame, m
 def quotes_in_spans(quotes: DataFrame, spans: DataFrame) -> DataFrame:
     """(item_id, span_id): the spans of an item's session that hold its quote. quotes (item_id, session_id, _q), spans (session_id, span_id, _s).
 
-    A quote of QUOTE letters or more is looked up by its rarest gram among the session's spans.
+    A quote of QUOTE letters or more is looked up by its rarest gram among the session's spans. Spark takes the grams for as small as
+    the texts' files, so no side of them is left to it to broadcast.
     """
     asked = quotes.select("item_id", "session_id", "_q", F.explode(F.transform(grams(F.col("_q"), QUOTE), lambda g: F.xxhash64(g))).alias("gram"))
     held = spans.select("session_id", "span_id", F.explode(F.transform(grams(F.col("_s"), QUOTE), lambda g: F.xxhash64(g))).alias("gram"))
-    counts = held.join(asked.select("session_id", "gram").distinct(), ["session_id", "gram"]).groupBy("session_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = held.join(asked.select("session_id", "gram").distinct().hint("merge"), ["session_id", "gram"]).groupBy("session_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     probes = _rarest(asked, counts, ["item_id", "_q"], ["session_id"])
-    near = held.join(probes, ["session_id", "gram"]).select("session_id", "span_id", "item_id", "_q")
-    return near.join(spans, ["session_id", "span_id"]).where(F.col("_s").contains(F.col("_q"))).select("item_id", "span_id")
+    near = held.join(probes.hint("merge"), ["session_id", "gram"]).select("session_id", "span_id", "item_id", "_q")
+    return near.join(spans.hint("merge"), ["session_id", "span_id"]).where(F.col("_s").contains(F.col("_q"))).select("item_id", "span_id")
 
 
 def spans_covering(quotes: DataFrame, spans: DataFrame, least: float) -> DataFrame:
@@ -102,27 +105,51 @@ def spans_covering(quotes: DataFrame, spans: DataFrame, least: float) -> DataFra
     held = spans.select("session_id", "span_id", F.explode("_st").alias("gram"))
     counts = held.groupBy("session_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     asked = quotes.select("item_id", "session_id", F.size("_qt").alias("_n"), F.explode("_qt").alias("gram"))
-    priced = asked.join(counts, ["session_id", "gram"], "left").select("item_id", "session_id", "_n", "gram", F.coalesce("n", F.lit(0)).alias("n"))
+    priced = asked.join(counts.hint("merge"), ["session_id", "gram"], "left").select("item_id", "session_id", "_n", "gram", F.coalesce("n", F.lit(0)).alias("n"))
     order = Window.partitionBy("item_id").orderBy("n", "gram")
     probes = priced.select("*", F.row_number().over(order).alias("_r")).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1)
-    near = held.join(probes.select("item_id", "session_id", "gram"), ["session_id", "gram"]).select("item_id", "session_id", "span_id").distinct()
-    both = near.join(quotes, ["item_id", "session_id"]).join(spans, ["session_id", "span_id"])
+    near = held.join(probes.select("item_id", "session_id", "gram").hint("merge"), ["session_id", "gram"]).select("item_id", "session_id", "span_id").distinct()
+    both = near.join(quotes.hint("merge"), ["item_id", "session_id"]).join(spans.hint("merge"), ["session_id", "span_id"])
     covered = both.select("item_id", "span_id", (F.size(F.array_intersect("_qt", "_st")) / F.size("_qt")).alias("overlap"))
     return covered.where(F.col("overlap") >= least)
 
 
+def _by_comparing(q: DataFrame, s: DataFrame, least: float) -> DataFrame:
+    """(item_id, n, exact, near) of each item against all spans of its session."""
+    share = F.when(~F.col("_holds") & (F.size("_qt") >= 3), F.size(F.array_intersect("_qt", "_st")) / F.size("_qt"))
+    both = s.join(q.hint("merge"), "session_id").select("*", F.col("_s").contains(F.col("_q")).alias("_holds"))
+    pairs = both.select("session_id", "item_id", "span_id", "_at", "_holds", share.alias("overlap"))
+    near = F.when(F.col("overlap") >= least, F.struct((-F.col("overlap")).alias("_o"), "_at", "span_id"))
+    # The join's partitions hold whole sessions, so this needs no further shuffle.
+    each = pairs.groupBy("session_id", "item_id").agg(F.count_if("_holds").alias("n"), F.min(F.when(F.col("_holds"), F.col("span_id"))).alias("exact"), F.min(near).alias("near"))
+    return each.select("item_id", "n", "exact", "near")
+
+
+def _by_index(q: DataFrame, s: DataFrame, least: float) -> DataFrame:
+    """What ``_by_comparing`` gives, by rarest grams and words; items that nothing is found for are left out."""
+    exact = kept(quotes_in_spans(q.select("item_id", "session_id", "_q"), s.select("session_id", "span_id", "_s")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("exact")), "exact-quotes")
+    rest = q.where(F.size("_qt") >= 3).join(exact.select("item_id").hint("merge"), "item_id", "left_anti").select("item_id", "session_id", "_qt")
+    near = spans_covering(rest, s.select("session_id", "span_id", "_st"), least).join(s.select("span_id", "_at").hint("merge"), "span_id")
+    best = near.groupBy("item_id").agg(F.min(F.struct((-F.col("overlap")).alias("_o"), "_at", "span_id")).alias("near"))
+    return exact.unionByName(best.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
 def recover_provenance(items: DataFrame, span_table: DataFrame, least_overlap: float = 0.8) -> DataFrame:
     """(item_id, span_id): the one span of the session that holds an item's quote, or whose words cover most of it.
 
     items (item_id, session_id, quote), spans (session_id, span_id, text and, if there is one, idx). A quote under six
     letters, or one that several spans hold, has none; of spans that cover equally much the first counts, by idx and id.
+    Up to COMPARED items of a session are compared with all its spans; in sessions of more, indexes say which ones to compare.
     """
     words = lambda c: F.array_distinct(F.filter(word_tokens(F.col(c)), lambda t: F.length(t) > 2))
-    q = items.where(F.length(F.trim(plain(F.col("quote")))) >= QUOTE).select("item_id", "session_id", canonical(F.col("quote")).alias("_q"), words("quote").alias("_qt")).where(F.length("_q") >= QUOTE)
+    asked = items.where(F.length(F.trim(plain(F.col("quote")))) >= QUOTE).select("item_id", "session_id", canonical(F.col("quote")).alias("_q"), words("quote").alias("_qt")).where(F.length("_q") >= QUOTE)
     place = F.col("idx").cast("long") if "idx" in span_table.columns else F.lit(0).cast("long")
+    q = kept(asked, "quotes")
     s = kept(span_table.select("session_id", "span_id", place.alias("_at"), canonical(F.col("text")).alias("_s"), words("text").alias("_st")), "spans")
-    exact = kept(quotes_in_spans(q.select("item_id", "session_id", "_q"), s.select("session_id", "span_id", "_s")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("span_id")), "exact-quotes")
-    rest = q.where(F.size("_qt") >= 3).join(exact.select("item_id"), "item_id", "left_anti").select("item_id", "session_id", "_qt")
-    near = spans_covering(rest, s.select("session_id", "span_id", "_st"), least_overlap).join(s.select("span_id", "_at"), "span_id")
-    best = near.groupBy("item_id").agg(F.min(F.struct(-F.col("overlap"), F.col("_at"), F.col("span_id")))["span_id"].alias("span_id"))
-    return exact.where(F.col("n") == 1).select("item_id", "span_id").unionByName(best)
+    crowded = kept(q.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPARED).select("session_id"), "crowded-sessions")
+    found = _by_comparing(q.join(crowded, "session_id", "left_anti"), s, least_overlap)
+    if not crowded.isEmpty():
+        found = found.unionByName(_by_index(q.join(crowded, "session_id", "left_semi"), s.join(crowded, "session_id", "left_semi"), least_overlap))
+    each = found.groupBy("item_id").agg(F.sum("n").alias("n"), F.min("exact").alias("exact"), F.min("near").alias("near"))
+    one = F.when(F.col("n") == 1, F.col("exact")).when(F.col("n") == 0, F.col("near.span_id"))
+    return each.select("item_id", one.alias("span_id")).where(F.col("span_id").isNotNull())

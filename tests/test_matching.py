@@ -64,6 +64,17 @@ def test_provenance_equals_comparing_all_spans(spark):
     assert {r["item_id"]: r["span_id"] for r in found.collect()} == plain_provenance(items, spans)
 
 
+def test_sessions_of_few_items_are_compared_without_grams(spark, monkeypatch):
+    spans = [(f"s{n}", f"s{n}_{k}", k, f"the {n} cats of {k} houses sleep until evening {n * k}") for n in range(3) for k in range(5)] + [("hot", f"h{k}", k, f"row number {k} of the hot session") for k in range(100)]
+    items = [(k, s, t[4:]) for k, (s, _, _, t) in enumerate(spans)] + [(1000, "s1", "evening until sleep houses cats the")]
+    seen = []
+    indexed = matching.quotes_in_spans
+    monkeypatch.setattr(matching, "quotes_in_spans", lambda q, s: seen.extend(r[0] for r in s.select("session_id").distinct().collect()) or indexed(q, s))
+    found = matching.recover_provenance(spark.createDataFrame(items, "item_id long, session_id string, quote string"), spark.createDataFrame(spans, "session_id string, span_id string, idx long, text string"))
+    assert {r["item_id"]: r["span_id"] for r in found.collect()} == plain_provenance(items, spans)
+    assert seen == ["hot"]
+
+
 def test_a_long_chain_and_circles_have_heads(spark):
     chain = [(f"c{k + 1:04d}", f"c{k:04d}") for k in range(1000)]
     circle = [("x2", "x1"), ("x3", "x2"), ("x1", "x3"), ("x1", "tail")]
