@@ -75,6 +75,16 @@ def test_sessions_of_few_items_are_compared_without_grams(spark, monkeypatch):
     assert seen == ["hot"]
 
 
+def test_grams_are_never_broadcast_by_the_size_of_their_texts(spark):
+    from factloom.sources.storage import kept
+
+    q = kept(spark.createDataFrame([(k, "s", f"quote number {k}", ["quote", "number", str(k)]) for k in range(70)], "item_id long, session_id string, _q string, _qt array<string>"), "quotes")
+    s = kept(spark.createDataFrame([("s", f"p{k}", f"a quote number {k} in here", ["quote", "number", str(k)]) for k in range(70)], "session_id string, span_id string, _s string, _st array<string>"), "spans")
+    for found in (matching.quotes_in_spans(q, s), matching.spans_covering(q, s, 0.8)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r["item_id"] for r in found.collect()} == set(range(70))
+
+
 def test_a_long_chain_and_circles_have_heads(spark):
     chain = [(f"c{k + 1:04d}", f"c{k:04d}") for k in range(1000)]
     circle = [("x2", "x1"), ("x3", "x2"), ("x1", "x3"), ("x1", "tail")]
