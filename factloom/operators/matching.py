@@ -63,9 +63,13 @@ def mentions_by_terms(terms: DataFrame, mentions: DataFrame, most: int, most_ter
     clean = terms.withColumn("term", F.lower(F.trim(plain(F.col("term"))))).where(F.col("term") != "")
     first = clean.select("*", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("_p")).where(F.col("_p") <= most_terms)
     held = names_holding(first.select("term"), mentions.select("name"))
-    pairs = first.join(held, "term").join(mentions, ["user_id", "name"])
-    best = Window.partitionBy("query_id", "_p").orderBy(F.desc("confidence"), F.desc("seq"))
-    each = pairs.select("query_id", "mention_id", "name", "_p", F.row_number().over(best).alias("_r")).where(F.col("_r") <= most)
+    # A term's best mentions are the same for all queries of a user, and of one name no more than the best can be among them.
+    newest = [F.desc("confidence"), F.desc("seq")]
+    named = mentions.select("user_id", "mention_id", "name", "confidence", "seq", F.row_number().over(Window.partitionBy("user_id", "name").orderBy(*newest)).alias("_n")).where(F.col("_n") <= most)
+    pairs = first.select("user_id", "term").distinct().join(held, "term").join(named, ["user_id", "name"])
+    best = Window.partitionBy("user_id", "term").orderBy(*newest)
+    top = pairs.select("user_id", "term", "mention_id", "name", F.row_number().over(best).alias("_r")).where(F.col("_r") <= most)
+    each = first.join(top, ["user_id", "term"]).select("query_id", "mention_id", "name", "_p", "_r")
     once = each.groupBy("query_id", "mention_id").agg(F.min(F.struct("_p", "_r", "name")).alias("_f"))
     order = Window.partitionBy("query_id").orderBy("_f._p", "_f._r")
     return once.select("query_id", "mention_id", F.col("_f.name").alias("name"), F.row_number().over(order).alias("position")).where(F.col("position") <= most)

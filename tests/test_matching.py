@@ -28,6 +28,19 @@ def test_mentions_follow_the_order_of_terms(spark):
     assert [r["mention_id"] for r in matching.mentions_by_terms(*given, 4, 1).where("query_id = 'q'").orderBy("position").collect()] == [1, 0]
 
 
+def test_terms_of_many_queries_bring_their_mentions_once(spark, monkeypatch):
+    mentions = [("u", k, "red car" if k % 2 else f"car {k}", k % 7 / 10, k) for k in range(200)]
+    terms = [(q, "u", p, t) for q in range(50) for p, t in enumerate(["car", "red"])]
+    ranked = []
+    at = matching.Window.partitionBy
+    monkeypatch.setattr(matching.Window, "partitionBy", lambda *c: ranked.append(c) or at(*c))
+    found = matching.mentions_by_terms(spark.createDataFrame(terms, "query_id long, user_id string, place int, term string"), spark.createDataFrame(mentions, "user_id string, mention_id long, name string, confidence double, seq long"), 5)
+    best = lambda t: [m for _, m, n, _, _ in sorted(mentions, key=lambda m: (-m[3], -m[4])) if t in n][:5]
+    once = list(dict.fromkeys([*best("car"), *best("red")]))[:5]
+    assert sorted((r["query_id"], r["position"], r["mention_id"]) for r in found.collect()) == [(q, k + 1, m) for q in range(50) for k, m in enumerate(once)]
+    assert ("user_id", "term") in ranked and ("query_id", "_p") not in ranked
+
+
 def plain_provenance(items, spans):
     out = {}
     words = lambda t: {w for w in re.findall(r"[a-z0-9]+", t.lower()) if len(w) > 2}
