@@ -129,13 +129,17 @@ def explore(starts: DataFrame, edges: DataFrame, depth: int, types: list[str] |
 def two_hop(heads: DataFrame, members: DataFrame, most: int) -> DataFrame:
     """(head, other, via): units that share an entity with a head, at most so many a head, by entity and unit.
 
-    heads (head), members (unit, entity, degree): entities in more units are asked last.
+    heads (head), members (unit, entity, degree): entities in more units are asked last. Of an entity no unit after its first
+    most besides the head can count, as these all come before it; so heads meet them only, not all the entity's units.
     """
     via = heads.join(members, F.col("head") == F.col("unit")).select("head", "entity", "degree")
-    near = via.join(members.select(F.col("unit").alias("other"), "entity"), "entity").where(F.col("other") != F.col("head"))
-    first = near.groupBy("head", "other").agg(F.min(F.struct("degree", "entity")).alias("_v"))
+    units = members.where(F.col("unit").isNotNull()).select(F.col("unit").alias("other"), "entity").distinct()
+    first = Window.partitionBy("entity").orderBy("other")
+    units = units.select("entity", "other", F.row_number().over(first).alias("_n")).where(F.col("_n") <= most + 1)
+    near = via.join(units, "entity").where(F.col("other") != F.col("head"))
+    least = near.groupBy("head", "other").agg(F.min(F.struct("degree", "entity")).alias("_v"))
     order = Window.partitionBy("head").orderBy("_v.degree", "_v.entity", "other")
-    return first.select("head", "other", F.col("_v.entity").alias("via"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= most)
+    return least.select("head", "other", F.col("_v.entity").alias("via"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= most)
 
 
 def mentions_of(terms: DataFrame, names: DataFrame, most: int) -> DataFrame:

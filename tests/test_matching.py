@@ -108,6 +108,24 @@ def test_a_long_chain_and_circles_have_heads(spark):
     assert found["alone"] == ("alone", 0, False)
 
 
+def test_two_hop_meets_the_first_units_of_an_entity_only(spark):
+    rng = random.Random(3)
+    pairs = {(f"u{rng.randrange(60):02d}", f"e{rng.randrange(9)}") for _ in range(150)} | {(f"u{k:02d}", "hub") for k in range(60)}
+    degree = {e: sum(x == e for _, x in pairs) for _, e in pairs}
+    members = spark.createDataFrame([(u, e, degree[e]) for u, e in [*pairs, ("u00", "hub")]] + [(None, "hub", 60), ("u99", None, 1)], "unit string, entity string, degree int")
+    found = graph.two_hop(spark.createDataFrame([(f"u{k:02d}",) for k in range(60)], "head string"), members, 4)
+    wanted = []
+    for head in (f"u{k:02d}" for k in range(60)):
+        via = {}
+        for o, e in pairs:
+            if o != head and (head, e) in pairs:
+                via[o] = min(via.get(o, (99, "")), (degree[e], e))
+        wanted += [(head, o, e, k + 1) for k, ((_, e), o) in enumerate(sorted((v, o) for o, v in via.items())[:4])]
+    assert sorted(map(tuple, found.collect())) == wanted
+    limits = graph.two_hop(members.select(F.col("unit").alias("head")), members, 4)._jdf.queryExecution().executedPlan().toString()
+    assert limits.count("WindowGroupLimit [entity") >= 1
+
+
 def test_chains_of_aliases_have_no_longest_length(spark):
     rows = [(f"e{k}", [f"e{k - 1}"] if k else [], 10_000 - k, "q") for k in range(300)]
     found = evidence.resolve_aliases(spark.createDataFrame(rows, "evidence_id string, aliases array<string>, place int, q string"), ["q"])
