@@ -36,14 +36,22 @@ def row_hash(key: str, text: str) -> Column:
 
 
 def _leaves(cells: DataFrame, cell_bits: int, first: int, limit: int) -> DataFrame:
-    """For each cell (cell, bytes, rows) its shortest prefix that fits: (cell, depth, shard_bytes, shard_rows); none if even the cell doesn't."""
+    """For each cell (cell, bytes, rows) its shortest prefix that fits: (cell, depth, shard_bytes, shard_rows); none if even the cell doesn't.
+
+    cells is a written table. The prefixes of all depths are added up and those that fit under one that does not are written; no
+    join sees the others, which Spark takes for as few as the cells.
+    """
     levels = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(first), F.lit(cell_bits))).alias("depth"))
     levels = levels.select("*", F.expr(f"shiftright(cell, {cell_bits} - depth)").alias("shard"))
     sizes = levels.groupBy("depth", "shard").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-    fit = sizes.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
-    top = fit.alias("a").join(fit.select(F.col("depth").alias("_d"), F.col("shard").alias("_s")).alias("b"), (F.col("depth") == F.col("_d") + 1) & (F.expr("shiftright(shard, 1)") == F.col("_s")), "left_anti")
+    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
+    above = sizes.groupBy("depth", F.expr("shiftright(shard, 1)").alias("_up")).agg(F.sum("shard_bytes").alias("_b"), F.sum("shard_rows").alias("_n"), F.collect_list(F.struct("shard", "shard_bytes", "shard_rows")).alias("_two"))
     # A leaf fits while the prefix one bit shorter does not; each cell has at most one.
-    found = levels.select("cell", "depth", "shard").join(top, ["depth", "shard"])
+    split = above.where((F.col("depth") == first) | ((F.col("_b") > limit) & (F.col("_n") > 1)))
+    top = materialise(split.select("depth", F.inline("_two")).where(fits), "sharding-leaves")
+    depths = sorted(r["depth"] for r in top.select("depth").distinct().collect())  # BITS at most
+    near = cells.select("cell", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("depth"))
+    found = near.select("*", F.expr(f"shiftright(cell, {cell_bits} - depth)").alias("shard")).join(top, ["depth", "shard"])
     return found.select("cell", "depth", "shard", "shard_bytes", "shard_rows")
 
 
@@ -61,14 +69,14 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text",
     cells = placed.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     cells = materialise(cells, "sharding-cells")
     coarse = _leaves(cells, bits, 0, limit)
-    first = placed.join(coarse, "cell", "left")
+    first = placed.join(coarse.hint("merge"), "cell", "left")
     done = first.where(F.col("depth").isNotNull()).select(key, "n_bytes", "_h", "depth", "shard", "shard_bytes", "shard_rows")
     # The rest: rows of cells that hold several rows and too many bytes.
     crowded = cells.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select("cell")
     rest = placed.join(crowded, "cell", "left_semi")
-    fine = rest.groupBy(F.col("_h").alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    fine = materialise(rest.groupBy(F.col("_h").alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "sharding-fine")
     deep = _leaves(fine, BITS, bits, limit).withColumnRenamed("cell", "_h")
-    last = rest.select(key, "n_bytes", "_h").join(deep, "_h", "left")
+    last = rest.select(key, "n_bytes", "_h").join(deep.hint("merge"), "_h", "left")
     deeper = last.where(F.col("depth").isNotNull()).select(key, "n_bytes", "_h", "depth", "shard", "shard_bytes", "shard_rows")
     # Equal rows that fit no more together: as many to a part as the limit holds.
     equal = last.where(F.col("depth").isNull()).select(key, "n_bytes", "_h", F.lit(BITS).alias("depth"), F.col("_h").alias("shard"))

@@ -2,12 +2,15 @@
 and repeated rows, empty tables, and further columns whose names clash with results or with
 what the operators call their own columns."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm import bin_slack_packing, edit_decontamination, extendible_sharding, html_wrappers, jaccard_join, quality_rules, quality_trees, quote_linking, token_counts, url_rules
+from factloom.llm.common import materialise
 from factloom.llm.queries import VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -189,3 +192,19 @@ def test_stages_at_the_edges(spark, folder, number):
             assert set(kept) == {k for k, _ in TEXTS}
     empty = stage(spark, d.limit(0), folder)
     assert empty.count() == 0
+
+
+def test_joins_of_the_directory_see_its_leaves_only(spark):
+    """All prefixes of all depths are many times the cells, whose file is all that Spark knows of them."""
+    rng = random.Random(7)
+    rows = {rng.randrange(2**10): (rng.randint(0, 400), rng.randint(1, 3)) for _ in range(600)}
+    cells = materialise(spark.createDataFrame([(c, b, n) for c, (b, n) in rows.items()], "cell long, bytes long, rows long"), "cells")
+    found = extendible_sharding._leaves(cells, 10, 0, 1000)
+    assert "sequence(" not in found._jdf.queryExecution().executedPlan().toString()
+    sums = {}
+    for c, (b, n) in rows.items():
+        for depth in range(11):
+            have = sums.get((depth, c >> (10 - depth)), (0, 0))
+            sums[depth, c >> (10 - depth)] = (have[0] + b, have[1] + n)
+    leaf = {c: next((depth, c >> (10 - depth), *s) for depth in range(11) for s in [sums[depth, c >> (10 - depth)]] if s[0] <= 1000 or s[1] == 1) for c in rows}
+    assert {r["cell"]: tuple(r)[1:] for r in found.collect()} == leaf
