@@ -34,15 +34,15 @@ LATE = 86400000000
 SQL_LATE = f"WITH {SQL_FACTS}, late AS (SELECT *, valid_from + (seq % 7) * {LATE} AS arrived FROM facts), sliced AS (SELECT *, CASE WHEN arrived < {DAYS[0]} THEN 0 WHEN arrived < {DAYS[1]} THEN 1 WHEN arrived < {DAYS[2]} THEN 2 ELSE 3 END AS slice FROM late)"
 
 
-def _run(df: DataFrame, bounds: list, by: str, make: Callable[[DataFrame], DataFrame], mode: str, again: bool = False, fail: Callable[[int], None] | None = None) -> Ledger:
-    """The ledger of a stream over df that comes in slices, each read by a run of its own."""
+def _run(df: DataFrame, bounds: list, by: str, make: Callable[[DataFrame], DataFrame], mode: str, again: bool = False, fail: Callable[[int], None] | None = None, sink: Callable[[Ledger], Callable] | None = None) -> Ledger:
+    """The ledger of a stream over df that comes in slices, each read by a run of its own. sink: what writes its batches, if not the ledger."""
     spark = df.sparkSession
     root = shared_folder(spark, "stream")
     ledger = Ledger(spark, f"{root}/out")
 
     def start(k: int):
         stream = make(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
-        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(ledger.sink(fail)).start()
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(sink(ledger) if sink else ledger.sink(fail)).start()
 
     with windows.state_store(spark):
         run_in_slices(df, f"{root}/in", bounds, by, start, again)
@@ -157,4 +157,5 @@ SELECT user_id, event_type, id AS loser, CASE WHEN leads THEN nxt[2] ELSE top[2]
 def stream_supersede(spark: SparkSession, d: str) -> DataFrame:
     """Closings of facts that come late: a fact that its slot's head outranks is closed on arrival."""
     f = _arrivals(spark, d).select("user_id", "event_type", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 12, "0")).alias("fact_id"), "valid_from", "arrived")
-    return _run(f, DAYS, "arrived", lambda s: state.supersede_stream(s.drop("arrived"), ["user_id", "event_type"]), "append").read().drop("batch")
+    sink = lambda ledger: state.superseding(ledger, Ledger(spark, f"{ledger.root}-heads"), ["user_id", "event_type"])
+    return _run(f, DAYS, "arrived", lambda s: s, "append", sink=sink).read().drop("batch")

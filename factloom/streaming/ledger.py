@@ -48,6 +48,17 @@ class Ledger:
         marked = self.marks().select("batch")
         return self.spark.read.option("mergeSchema", "false").parquet(f"{self.root}/data").join(F.broadcast(marked), "batch", "left_semi")
 
+    def batch(self, batch: int, like: DataFrame) -> DataFrame:
+        """The rows of one batch alone, with the columns and in the session of ``like``."""
+        return like.sparkSession.read.schema(like.schema).parquet(f"{self.root}/data/batch={batch}")
+
+    def forget(self, batch: int) -> None:
+        """Deletes a batch that nothing reads any more, its mark first."""
+        context = self.spark.sparkContext
+        for part in ("marks", "data"):
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}/batch={batch}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
     def latest(self, *keys: str) -> DataFrame:
         """The last row of each key: what an update-mode stream has come to."""
         last = Window.partitionBy(*keys).orderBy(F.desc("batch"))

@@ -1,5 +1,8 @@
 """Streams of several runs: windows and timers, resumption after a failure, counters and rings."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -95,3 +98,41 @@ def test_a_ring_holds_the_last_samples_in_any_order_of_arrival(spark, tmp_path):
         run_in_slices(df, f"{tmp_path}/in", [1], "arrived", lambda n: stream(spark, tmp_path, df.schema, lambda s: recent.ring(s.drop("arrived"), ["k"], 3), "update", ledger))
     found = {r["k"]: r for r in ledger.latest("k").collect()}
     assert [(found[k]["n"], found[k]["first"], found[k]["last"], found[k]["least"], found[k]["most"]) for k in "ab"] == [(3, 3, 5, 1.0, 9.0), (1, 1, 1, None, None)]
+
+
+def test_late_facts_are_closed_in_the_order_of_their_keys_however_many_come_at_once(spark, tmp_path):
+    from factloom.plans import streams
+
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(hours=rng.randrange(24 * 29)), k % 2, "view", 1.0, "{}") for k in rng.sample(range(400), 120)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = sorted((r["user_id"], r["loser"], r["winner"], r["valid_until"]) for r in streams.stream_supersede(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    heads, wanted = {}, []
+    micros = lambda ts: (ts - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    slices = [(sum(micros(ts) + e % 7 * streams.LATE >= d for d in streams.DAYS), micros(ts), f"f{e:012d}", f"u{u}") for e, ts, u, *_ in rows]
+    for _, at, fact, user in sorted(slices):
+        old = heads.get(user)
+        heads[user] = max((at, fact), old or (at, fact))
+        if old:
+            loser, winner = sorted([old, (at, fact)])
+            wanted.append((user, loser[1], winner[1], winner[0]))
+    assert found == sorted(wanted)
+
+
+def test_a_batch_of_heads_that_comes_again_writes_the_same(spark, tmp_path):
+    from factloom.streaming import state
+
+    closed, heads = Ledger(spark, f"{tmp_path}/out"), Ledger(spark, f"{tmp_path}/heads")
+    put = state.superseding(closed, heads, ["k"])
+    batches = [[("a", 5, "x"), ("a", 5, "x"), ("b", 1, "y")], [("a", 3, "w"), ("a", 5, "x"), ("a", 7, "z")], [("a", 6, "v"), ("b", 2, "u")], [("a", 9, "t")]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            put(spark.createDataFrame(rows, "k string, valid_from long, fact_id string"), n)
+    assert sorted(tuple(r) for r in closed.read().drop("batch").collect()) == [("a", "v", "z", 7), ("a", "w", "x", 5), ("a", "x", "z", 7), ("a", "z", "t", 9), ("b", "y", "u", 2)]
+    assert {r["batch"] for r in heads.marks().collect()} == {2, 3}
