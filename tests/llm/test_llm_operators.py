@@ -500,6 +500,26 @@ def test_text_under_doubtful_names_does_not_choose_a_candidate():
         assert html_wrappers.extract(f"<body>{body}</body>", None) == "The few words."
 
 
+def test_rare_blocks_stay_in_the_expression_however_many(spark):
+    """They tell by their amount that constants are a template, and what is rare in the first pages may be on all that follow."""
+    rare = lambda k: "".join(f"<r{k}x{j}>Rare words {k} of block {j}</r{k}x{j}>" for j in range(45))
+    pages = [f"<body><p>{'menu entry ' * 60}</p>{rare(k)}<b>{words_of(k)}</b></body>" for k in range(60)]
+    found = html_wrappers.infer(pages)["expression"]
+    blocks = [b for page in pages for b in html_wrappers.stream(html_wrappers.read(page))[1]]
+    assert sum(t[html_wrappers._CHARS] for t in found["tokens"]) == sum(len(b[1]) for b in blocks)
+    assert html_wrappers.decides(found)
+    got = html_wrappers.extract_pages(spark.createDataFrame([(k, "http://a.b/c", page) for k, page in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert all("menu entry" not in r["text"] and "block 44" in r["text"] for r in got)
+
+
+def test_matching_blocks_are_those_of_the_whole_lists():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(40))] for _ in range(2))
+        b = [x for x in b if x % 3]
+        assert list(html_wrappers._matches(a, b)) == [tuple(m) for m in html_wrappers.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()]
+
+
 # ---- 7
 
 
