@@ -45,6 +45,81 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
+#: Numbers in a block of vectors, and half as many in one of queries; products that one task holds at a time.
+BLOCK = 2**21
+PRODUCTS = 2**22
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scalar products of rows, added up place by place as ``dot`` does; a and b transposed."""
+    total = np.zeros(a.shape[1])
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
+def _near(v: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of q, rows of v, similarities): at least all pairs that can be among the k nearest of a query, the exact way.
+
+    Matrix products find them with a margin far beyond their error and beyond nine places; what has no finite length is taken whole.
+    """
+    with np.errstate(all="ignore"):
+        vt, qt = np.ascontiguousarray(v.T), np.ascontiguousarray(q.T)
+        nv, nq = np.sqrt(_sums(vt, vt)), np.sqrt(_sums(qt, qt))
+        fine_v, fine_q = np.isfinite(nv) & (nv > 0), np.isfinite(nq) & (nq > 0)
+        unit = np.where(fine_v, vt / nv, 0.0)
+        step = max(1, PRODUCTS // len(v))
+        for at in range(0, len(q), step):
+            some = slice(at, at + step)
+            about = (q[some] / nq[some, None]) @ unit
+            about[:, ~fine_v] = -np.inf
+            least = np.partition(about, -k, axis=1)[:, -k, None] if len(v) > k else np.full((len(about), 1), -np.inf)
+            rows, cols = np.nonzero((about >= least - 1e-8) | ~fine_v | ~fine_q[some, None])
+            rows += at
+            yield rows, cols, _sums(vt[:, cols], qt[:, rows]) / (nv[cols] * nq[rows])
+
+
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """What ``nearest`` gives, by matrix products of blocks: each block of a corpus's vectors meets each block of its queries in one task.
+
+    All pairs are compared. Of equal vectors the k first units can be neighbours, so no more are taken to the blocks. A corpus with nulls or
+    with vectors of several lengths goes through ``nearest``. Without a length a similarity is NaN here, which ranks first, as in SQL.
+    """
+    whole = lambda c: F.coalesce(~F.exists(c, lambda x: x.isNull()), F.lit(False))
+    known = lambda df, c: df.groupBy("corpus").agg(F.count(F.lit(1)).alias("_n" + c), F.min(F.size(c)).alias("_lo" + c), F.max(F.size(c)).alias("_hi" + c), F.min(whole(F.col(c))).alias("_w" + c))
+    even = F.col("_wv") & F.col("_wq") & (F.col("_lov") == F.col("_hiv")) & (F.col("_loq") == F.col("_hiq")) & (F.col("_lov") == F.col("_loq")) & (F.col("_lov") > 0)
+    blocks = lambda n, size: F.ceil(F.col(n) * F.col("_hiv") / size)
+    both = known(vectors, "v").join(known(queries, "q"), "corpus")
+    corpora = kept(both.select("corpus", even.alias("_even"), blocks("_nv", BLOCK).alias("_vs"), blocks("_nq", BLOCK // 2).alias("_qs")), "corpora")
+    plain = corpora.where("_even").drop("_even")
+    first = Window.partitionBy("corpus", "v").orderBy("unit")
+    v = vectors.join(plain, "corpus").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    v = v.select("corpus", "unit", "v", F.pmod(F.xxhash64("unit"), F.col("_vs")).alias("_b"), every("_qs").alias("_c"))
+    q = queries.join(plain, "corpus").select(F.col("corpus").alias("_of"), "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("_qs")).alias("_d"), every("_vs").alias("_a"))
+
+    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": right["query_id"][:0], "corpus": left["corpus"][:0], "unit": left["unit"][:0], "similarity": np.zeros(0)})
+        left, out = left.sort_values("unit", ignore_index=True), []
+        for rows, cols, similarity in _near(np.array(left["v"].tolist(), np.float64), np.array(right["q"].tolist(), np.float64), k):
+            found = pd.DataFrame({"row": rows, "col": cols, "similarity": similarity})
+            # Units are in order, and of one similarity the first k can count.
+            out.append(found[found.groupby(["row", "similarity"], dropna=False).cumcount() < k])
+        found = pd.concat(out)
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[found["row"]], "corpus": left["corpus"].iloc[0], "unit": left["unit"].to_numpy()[found["col"]], "similarity": found["similarity"].to_numpy()})
+
+    kinds = {**dict(vectors.dtypes), **dict(queries.dtypes)}
+    near = v.groupBy("corpus", "_b", "_c").cogroup(q.groupBy("_of", "_a", "_d")).applyInPandas(compared, f"query_id {kinds['query_id']}, corpus {kinds['corpus']}, unit {kinds['unit']}, similarity double")
+    order = Window.partitionBy("query_id", "corpus").orderBy(F.desc(F.round("similarity", 9)), "unit")
+    near = near.withColumn("similarity", F.coalesce("similarity", F.lit(float("nan"))))  # pandas hands NaN over as null
+    top = near.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    odd = corpora.where(~F.col("_even")).select("corpus")
+    if odd.isEmpty():
+        return top
+    return top.unionByName(nearest(vectors.join(odd, "corpus", "left_semi"), queries.join(odd, "corpus", "left_semi"), k))
+
+
 def embedder(encode: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
     """A function from a text column to a column of vectors by a model: ``encode`` gets a batch of texts and gives a row each.
 

@@ -119,7 +119,7 @@ SELECT query_id, unit, rank, round(s, 4) AS similarity FROM (SELECT *, row_numbe
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("label").alias("corpus"), F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
     q = e.where(F.col("unit") % 20 == 0).select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q"))
-    return vectors.nearest(e, q, 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+    return vectors.nearest_in_blocks(e, q, 10).select("query_id", "unit", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
 
 
 @_query("knn_by_cells", ORACLES["knn_cosine"])

@@ -237,6 +237,28 @@ def test_neighbours_by_cells_equal_all_comparisons(spark):
     assert vectors.nearest_by_cells(v.limit(0), q, 7)[0].count() == 0
 
 
+def test_neighbours_in_blocks_equal_all_comparisons(spark, monkeypatch):
+    import numpy as np
+
+    from factloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 400)  # 50 vectors, 25 queries
+    rng = np.random.default_rng(6)
+    rows = [("c" if k % 5 else "d", k, list(map(float, rng.integers(-2, 3, 8)))) for k in range(400)]
+    rows = [(c, u, x if any(x) else [1.0] * 8) for c, u, x in rows]
+    rows += [("c", 1000 + k, rows[1][2]) for k in range(60)] + [("e", 3000, [1.0] * 8), ("o", 3020, [1.0, 2.0]), ("o", 3021, [1.0, 1.0]), ("o", 3022, None)]
+    v = spark.createDataFrame(rows, "corpus string, unit long, v array<double>")
+    q = v.where("unit % 20 = 0 or unit = 1").select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q"))
+    found, wanted = vectors.nearest_in_blocks(v, q, 7), vectors.nearest(v, q, 7)
+    as_rows = lambda df: sorted((r["query_id"], r["corpus"], r["rank"], r["unit"], r["similarity"]) for r in df.collect())
+    some = lambda df: [r for r in as_rows(df.where("corpus <> 'o'"))]
+    assert some(found) == some(wanted)
+    assert [(r["unit"], r["rank"]) for r in found.where("corpus = 'o'").orderBy("rank").collect()] == [(3020, 1), (3021, 2), (3022, 3)]
+    zero = spark.createDataFrame([("z", 1, [0.0, 0.0]), ("z", 2, [1.0, 0.0])], "corpus string, unit long, v array<double>")
+    ranked = vectors.nearest_in_blocks(zero, zero.where("unit = 2").select(F.col("unit").alias("query_id"), "corpus", F.col("v").alias("q")), 5).orderBy("rank").collect()
+    assert [r["unit"] for r in ranked] == [1, 2]
+
+
 def test_an_embedder_gets_batches_without_nulls(spark):
     import numpy as np
 
